@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality
+from . import bpe, licenses, mixing, quality
 
-MODULES = (mixing, licenses, quality)
+MODULES = (bpe, mixing, licenses, quality)
 
 
 def queries() -> dict:
