@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, quality
+from . import bpe, langid, licenses, mixing, quality
 
-MODULES = (bpe, mixing, licenses, quality)
+MODULES = (bpe, mixing, langid, licenses, quality)
 
 
 def queries() -> dict:
