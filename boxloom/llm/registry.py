@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, mixing, quality
+from . import bpe, langid, licenses, mixing, quality, warc
 
-MODULES = (bpe, mixing, langid, licenses, quality)
+MODULES = (bpe, mixing, langid, licenses, warc, quality)
 
 
 def queries() -> dict:
