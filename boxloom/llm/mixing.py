@@ -12,8 +12,9 @@ from .common import table
 
 #: Weights of the sources in order of code point, repeating; a source is used at most so many times.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Words of a block, words of a shard and the seed of the selection.
-BLOCK, SHARD, SEED = 16, 1 << 22, "mix-1"
+#: Words of a block; a source of n words has the square root of n / SHARD shards, so that both their number and their
+#: size grow slower than the source; the seed of the selection.
+BLOCK, SHARD, SEED = 16, 256, "mix-1"
 
 
 def size_of(text: Column) -> Column:
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEE
 
     Sources in order of code point (null last) weigh `weights`, repeating, and share as many words as there are; a
     target stops at `most` times its source. Blocks of `block` words go to sources by highest quotients of the targets,
-    then to a source's shards (by hash of doc_id, about `shard` words each) by highest quotients of their sizes. A
+    then to a source's shards (by hash of doc_id; sqrt(words / `shard`) of them) by highest quotients of their sizes. A
     shard's rows stand in the order of md5(seed, doc_id); its quota takes whole passes over it, then the blocks at its
     start, so `taken` is at most `most` times the size. Null or wordless texts have size 0 and are taken 0 times; equal
     rows count each; an empty table gives no row. Reruns agree: nothing depends on the partitions.
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEE
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     plan = targets(ranked, weights, most).withColumn("one", F.lit(1))
     plan = apportioned(plan, ["one"], ["rank"], F.col("target"), F.round(F.col("total") / block))
-    plan = plan.select(F.col("source").alias("_s"), "rank", "source_size", "target", F.col("quota").alias("blocks"), F.ceil((F.col("source_size") + 1) / shard).alias("shards"))
+    plan = plan.select(F.col("source").alias("_s"), "rank", "source_size", "target", F.col("quota").alias("blocks"), F.ceil(F.sqrt((F.col("source_size") + 1) / shard)).alias("shards"))
 
     dealt = rows.join(plan, rows["_source"].eqNullSafe(plan["_s"])).drop("_s")
     dealt = dealt.withColumn("shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("shards")))
@@ -128,7 +129,7 @@ t as (select source, rank, source_size, total, least(cap::double, coalesce(final
 q as (select rank, count(*) as blocks from (
         select rank, row_number() over (order by target / (2 * k + 1) desc, rank, k) as place, total
         from t, range((3 * source_size // {BLOCK} + 2)::bigint) as g(k)) where place <= round(total / {BLOCK}.0) group by rank),
-p as (select t.*, coalesce(blocks, 0) as blocks, ceil((source_size + 1) / {SHARD}.0)::bigint as shards from t left join q using (rank)),
+p as (select t.*, coalesce(blocks, 0) as blocks, ceil(sqrt((source_size + 1) / {SHARD}.0))::bigint as shards from t left join q using (rank)),
 e as (select d.*, rank, source_size, target, blocks, ('0x' || key[:8])::bigint % shards as shard from d join p on d.source is not distinct from p.source),
 h as (select rank, shard, sum(size)::bigint as words, max(blocks) as blocks from e group by rank, shard),
 a as (select rank, shard, count(*) as quota from (
