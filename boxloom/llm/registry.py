@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, licenses, mixing, quality, warc
+from . import bpe, embeddings, langid, licenses, mixing, ngrams, quality, warc
 
-MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality)
+MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality, ngrams)
 
 
 def queries() -> dict:
