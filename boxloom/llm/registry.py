@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, licenses, mixing, ngrams, quality, warc
+from . import bpe, embeddings, langid, licenses, mixing, ngrams, quality, substrings, warc
 
-MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality, ngrams)
+MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality, ngrams, substrings)
 
 
 def queries() -> dict:
