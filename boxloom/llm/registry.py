@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, licenses, mixing, ngrams, quality, substrings, warc
+from . import bpe, embeddings, langid, licenses, mixing, ngrams, quality, substrings, suffixes, warc
 
-MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality, ngrams, substrings)
+MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality, ngrams, substrings, suffixes)
 
 
 def queries() -> dict:
