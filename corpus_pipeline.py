@@ -1,3 +1,87 @@
+"""A corpus pipeline: language ID, near duplicates, repeated passages, source mix, tokens; each stage reads what the last one wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boxloom.llm import bpe, langid, mixing, ngrams, substrings
+from boxloom.llm.common import LAST_ID, scratch, words
+
+#: Documents whose language has a lower mean marginal are rejected.
+LEAST_SCORE = 0.5
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, text, source, row): all columns stay together in one, whatever their names."""
+    return docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("row"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, tk, row): null ids last, and a hash of the text that tells rows with one id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
+
+
+def _with_text(df: DataFrame, text, columns: list[str]) -> DataFrame:
+    """The columns of `row`, with another text and its length."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return df.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the CRF gives a language with a score of LEAST_SCORE or more; texts without a letter go."""
+    found = langid.predict(_rows(docs), langid.train(docs), ("row",))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that of the smallest doc_id."""
+    kept = ngrams.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("text_key").alias("tk")).distinct()
+    return _keyed(docs).join(kept, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("row.*")
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that a smaller doc_id has; what is left of a changed text is joined by single spaces, nothing left means it goes."""
+    found = substrings.dedup(docs, texts=True).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "tk", "n_words", "n_removed", "kept_text").dropDuplicates(["id", "tk"])
+    met = _keyed(docs).join(found, ["id", "tk"]).where("n_removed = 0 or n_removed < n_words")
+    return _with_text(met, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")), docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it whole; a part that is taken beyond that is its first words, joined by single spaces."""
+    mixed = mixing.mix(_rows(docs), keep=("row",)).where("taken > 0")
+    whole, part = F.expr("taken div size").cast("int"), F.expr("taken % size").cast("int")
+    pieces = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    each = mixed.withColumn("part", F.explode(pieces))
+    text = F.when(F.col("part") == 0, F.col("row.text")).otherwise(F.array_join(F.slice(words(F.col("row.text")), 1, F.greatest("part", F.lit(1))), " "))
+    return _with_text(each, text, docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids (little-endian uint32), their digest and that of what they decode to."""
+    coded = bpe.encode(docs, ("doc_id", "source")).withColumn("n_tokens", bpe.n_tokens(F.col("ids"))).withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("kept", F.col("ids"))
+    decoded = bpe.decode(coded).select("doc_id", "source", "n_tokens", F.col("kept").alias("ids"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return decoded
+
+
+STAGES = [
+    ("language_id", identify),
+    ("near_duplicates", join_near),
+    ("substring_dedup", drop_passages),
+    ("source_mix", mix_sources),
+    ("byte_bpe", tokenize),
+]
+#: SQL can't express the language model and the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`; each result but the last is written to the shared folder and read again."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        df = stage(spark, df, sf_dir)
+        if i < len(STAGES) - 1:
+            path = scratch(spark, name)
+            df.write.parquet(path)
+            df = spark.read.parquet(path)
+    return df
