@@ -254,7 +254,7 @@ def predict(docs: DataFrame, crf: Crf, keep: tuple[str, ...] = ()) -> DataFrame:
     table gives none. Row by row in Arrow batches, no shuffle; the model is broadcast (SLOTS x labels floats).
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, 300, 1)
     rows = docs.select("doc_id", *keep, F.col("text").alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(functools.partial(_label, model=_Sent(spark.sparkContext.broadcast(crf))), schema).select("doc_id", "lang_pred", "score", *keep)
