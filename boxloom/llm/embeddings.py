@@ -15,7 +15,7 @@ from .common import LAST_ID, arrow_batches, components, stored, table
 
 THRESHOLD = 0.95
 #: Vectors of a cell aimed at, pivots at most, rows of a home block and of a block that it is compared with.
-CELL, PIVOTS, HOME, BLOCK = 4096, 256, 4096, 1024
+CELL, PIVOTS, HOME, BLOCK = 16384, 256, 4096, 1024
 #: Angles are taken as equal within this; float32 cosines are checked again in double from so much below the threshold.
 SLACK, COARSE = 1e-7, 1e-4
 
