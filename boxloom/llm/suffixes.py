@@ -192,30 +192,40 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The strings that have a shared anchor, as contexts: bytes from the first string's start to the last one's end."""
+    """The strings that have a shared anchor, as contexts: bytes from the first string's start to the last one's end; each once in a text, with all its starts."""
     for batch in batches:
         raws = batch.column("raw").to_pylist()
         shared = batch.column("gs")
         ids, tk, held, size = batch.column("id").to_pylist(), batch.column("tk").to_pylist(), [], 0
         sets = [x.values.to_numpy() for x in shared]
-        for text, first, last, at, g in anchors(raws, length, gram):
+        rows: dict[tuple, list] = {}
+        done = 0
+        for text, first, last, _, g in anchors(raws, length, gram):
             cut = np.searchsorted(text, np.arange(len(raws) + 1))
-            for i in np.unique(text):
-                rows = np.arange(cut[i], cut[i + 1])
-                for r in rows[np.isin(g[rows], sets[i])].tolist():
-                    a, z = int(first[r]), int(last[r])
+            for i in np.unique(text).tolist():
+                if i != done:
+                    held += rows.values()
+                    rows, done = {}, i
+                some = np.arange(cut[i], cut[i + 1])
+                some = some[np.isin(g[some], sets[i])]
+                for a, z, gram_hash in zip(first[some].tolist(), last[some].tolist(), g[some].tolist()):
                     body = raws[i][a : z + length]
+                    if (row := rows.get(body)) is not None:
+                        row[5].append(a)
+                        continue
                     key = hashlib.blake2b(body, digest_size=16).digest()
-                    held.append((int(g[r]), int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), ids[i], tk[i], a, z - a + 1, body))
+                    rows[body] = [gram_hash, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), ids[i], tk[i], [a], z - a + 1, body]
                     size += len(body) + 64
-                    if size > 4 << 20:
-                        yield _batch(held)
-                        held, size = [], 0
+                if size > 4 << 20:
+                    held += rows.values()
+                    yield _batch(held)
+                    held, rows, size = [], {}, 0
+        held += rows.values()
         if held:
             yield _batch(held)
 
 
-_CONTEXT = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("id", pa.int64()), ("tk", pa.int64()), ("start", pa.int64()), ("strings", pa.int64()), ("body", pa.binary())])
+_CONTEXT = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("id", pa.int64()), ("tk", pa.int64()), ("starts", pa.list_(pa.int64())), ("strings", pa.int64()), ("body", pa.binary())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -271,9 +281,13 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     """What is left of each text without the bytes of the strings that start in its runs, and the number of spans removed."""
     for batch in batches:
         left, removed, spans = [], [], []
-        for raw, runs in zip(batch.column("raw").to_pylist(), batch.column("runs")):
-            a = runs.values.field("a").to_numpy()
-            z = runs.values.field("z").to_numpy() + length
+        for raw, contexts in zip(batch.column("raw").to_pylist(), batch.column("contexts")):
+            found = []
+            for starts, runs in zip(contexts.values.field("starts"), contexts.values.field("runs")):
+                at = starts.values.to_numpy()[:, None]
+                found.append(np.stack([(at + runs.values.field(x).to_numpy()).ravel() for x in ("first", "last")]))
+            a, z = np.concatenate(found, axis=1)
+            z = z + length
             order = np.argsort(a, kind="stable")
             a, z = a[order], np.maximum.accumulate(z[order])
             new = np.flatnonzero(np.append(True, a[1:] > z[:-1]))
@@ -313,9 +327,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     wanted = stored(shared.groupBy("tk").agg(F.collect_set("g").alias("gs")).join(texts, "tk").select("id", "tk", "gs"), "shared")
 
     one = rows.join(wanted, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("id", "tk", "raw", "gs")
-    contexts = one.mapInArrow(functools.partial(_contexts, length=length, gram=gram), "g long, c1 long, c2 long, id long, tk long, start long, strings long, body binary")
+    contexts = one.mapInArrow(functools.partial(_contexts, length=length, gram=gram), "g long, c1 long, c2 long, id long, tk long, starts array<long>, strings long, body binary")
     contexts = stored(contexts, "contexts")
-    distinct = contexts.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), F.any_value("strings").alias("strings"), F.any_value("body").alias("body"))
+    distinct = contexts.groupBy("g", "c1", "c2").agg(F.sum(F.size("starts")).alias("n"), F.any_value("strings").alias("strings"), F.any_value("body").alias("body"))
     groups = distinct.groupBy("g").agg(F.count("*").alias("many"), F.sum(F.octet_length("body").cast("long")).alias("bytes")).where("many > 1")
     met = distinct.join(groups, "g")
     arrays = met.where(F.col("bytes") <= ARRAY).select("g", "c1", "c2", "strings", "body").repartition("g").sortWithinPartitions("g")
@@ -326,9 +340,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     whole = distinct.where("n > 1").select("c1", "c2", F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).alias("last"))
     again = in_arrays.unionAll(in_strings).unionAll(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
-    placed = contexts.select("c1", "c2", "id", "tk", "start").join(again, ["c1", "c2"]).select("id", "tk", "start", F.explode("runs").alias("r"))
-    placed = placed.groupBy("id", "tk").agg(F.collect_list(F.struct((F.col("start") + F.col("r.first")).alias("a"), (F.col("start") + F.col("r.last")).alias("z"))).alias("runs"))
-    cut = rows.join(placed, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("id", "tk", "raw", "runs")
+    placed = contexts.select("c1", "c2", "id", "tk", "starts").join(again, ["c1", "c2"]).groupBy("id", "tk").agg(F.collect_list(F.struct("starts", "runs")).alias("contexts"))
+    cut = rows.join(placed, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("id", "tk", "raw", "contexts")
     cut = cut.mapInArrow(functools.partial(_cut, length=length), "id long, tk long, left binary, removed long, spans long").select("id", "tk", "removed", "spans", "left", F.sha2("left", 256).alias("rest"))
 
     of = sizes.join(texts.select("tk", "copies"), "tk").join(cut, ["id", "tk"], "left")
