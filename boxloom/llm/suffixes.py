@@ -329,15 +329,19 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     one = rows.join(wanted, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("id", "tk", "raw", "gs")
     contexts = one.mapInArrow(functools.partial(_contexts, length=length, gram=gram), "g long, c1 long, c2 long, id long, tk long, starts array<long>, strings long, body binary")
     contexts = stored(contexts, "contexts")
-    distinct = contexts.groupBy("g", "c1", "c2").agg(F.sum(F.size("starts")).alias("n"), F.any_value("strings").alias("strings"), F.any_value("body").alias("body"))
-    groups = distinct.groupBy("g").agg(F.count("*").alias("many"), F.sum(F.octet_length("body").cast("long")).alias("bytes")).where("many > 1")
-    met = distinct.join(groups, "g")
+    context = ["g", "c1", "c2"]
+    light = contexts.select(*context, "strings", F.size("starts").alias("k"), F.octet_length("body").cast("long").alias("len"))
+    each = light.groupBy(*context).agg(F.sum("k").alias("n"), F.max("strings").alias("strings"), F.max("len").alias("len"))
+    groups = each.groupBy("g").agg(F.count("*").alias("many"), F.sum("len").alias("bytes")).where("many > 1")
+    wanted = each.join(groups, "g").select(*context, "bytes")
+    distinct = contexts.groupBy(*context).agg(F.any_value("strings").alias("strings"), F.any_value("body").alias("body"))
+    met = distinct.join(wanted, context)  # by the keys that distinct is dealt by, so that bodies stay where they are
     arrays = met.where(F.col("bytes") <= ARRAY).select("g", "c1", "c2", "strings", "body").repartition("g").sortWithinPartitions("g")
     in_arrays = arrays.mapInArrow(functools.partial(_factors, length=length), "c1 long, c2 long, first long, last long")
     strings = met.where(F.col("bytes") > ARRAY).select("c1", "c2", "strings", "body").mapInArrow(functools.partial(_strings, length=length), "c1 long, c2 long, first long, a long, b long")
     repeated = strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
     in_strings = strings.join(repeated, ["a", "b"]).select("c1", "c2", "first", F.col("first").alias("last"))
-    whole = distinct.where("n > 1").select("c1", "c2", F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).alias("last"))
+    whole = each.where("n > 1").select("c1", "c2", F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).alias("last"))
     again = in_arrays.unionAll(in_strings).unionAll(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
     placed = contexts.select("c1", "c2", "id", "tk", "starts").join(again, ["c1", "c2"]).groupBy("id", "tk").agg(F.collect_list(F.struct("starts", "runs")).alias("contexts"))
