@@ -20,7 +20,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: No pair: more than any rank.
 NONE = np.int32(2**31 - 1)
 #: Matches up to this many bytes are merged many at a time; a worker remembers the ids of so many different matches.
-SHORT, REMEMBERED = 64, 250_000
+SHORT, REMEMBERED = 64, 200_000
 #: Texts beyond this many characters are matched piece by piece, never as one list.
 LONG_TEXT = 1 << 20
 
@@ -195,7 +195,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", voca
     which has no ids; equal rows give equal results; an empty table gives none. Row by row in Arrow batches, no shuffle.
     A worker holds one batch, the vocabulary and REMEMBERED matches; texts over LONG_TEXT are taken in parts.
     """
-    arrow_batches(docs.sparkSession, 500, 2)
+    arrow_batches(docs.sparkSession)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = rows.drop("_text").schema.add("ids", "binary")

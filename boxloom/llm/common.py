@@ -54,7 +54,7 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000, mb: int = 4) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 500, mb: int = 1) -> None:
     """Bounds the Arrow batches that Python tasks get, so that long texts can't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)

@@ -121,7 +121,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: tupl
     pairs. The pivots (PIVOTS per dimension at most) are drawn by a hash of the id; one row per cell reaches the driver.
     """
     spark = vectors.sparkSession
-    arrow_batches(spark, 2000)
+    arrow_batches(spark, 2000, 4)
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("_id"), "vec_id", v.alias("v"), *keep)
     classes = stored(rows.where(comparable(F.col("v"))).groupBy("v").agg(F.min("_id").alias("class_id"), F.count("*").alias("copies")), "vectors")

@@ -17,8 +17,8 @@ from .common import arrow_batches, table
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 150, 8000, 64
 #: Feature slots, steps of the fit, its rate and L2 penalty, and words of a training sequence.
 SLOTS, STEPS, RATE, PENALTY, SEQUENCE = 1 << 17, 40, 0.15, 1e-4, 96
-#: Words of a chunk in forward-backward; words whose scores a worker remembers.
-CHUNK, REMEMBERED = 128, 300_000
+#: Words of a chunk in forward-backward; words whose scores a task remembers.
+CHUNK, REMEMBERED = 128, 150_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -186,7 +186,7 @@ def mean_marginals(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) ->
 
 
 class _Scorer:
-    """Remembers the scores of words within a worker."""
+    """Remembers the scores of words within a task."""
 
     def __init__(self, crf: Crf):
         self.crf, self.at, self.table = crf, {}, np.empty((0, len(crf.labels)), np.float32)
@@ -201,14 +201,8 @@ class _Scorer:
         return self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def _label(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    if model.id not in _scorers:
-        _scorers.clear()
-        _scorers[model.id] = _Scorer(model.value)
-    scorer = _scorers[model.id]
+    scorer = _Scorer(model.value)
     labels = np.array([*scorer.crf.labels, UNKNOWN], object)
     for batch in batches:
         found = [words_of(t) for t in batch.column("_text").to_pylist()]
@@ -254,21 +248,10 @@ def predict(docs: DataFrame, crf: Crf, keep: tuple[str, ...] = ()) -> DataFrame:
     table gives none. Row by row in Arrow batches, no shuffle; the model is broadcast (SLOTS x labels floats).
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 300, 1)
+    arrow_batches(spark)
     rows = docs.select("doc_id", *keep, F.col("text").alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(functools.partial(_label, model=_Sent(spark.sparkContext.broadcast(crf))), schema).select("doc_id", "lang_pred", "score", *keep)
-
-
-class _Sent:
-    """A broadcast model and what tells it from others within a worker."""
-
-    def __init__(self, sent):
-        self.sent, self.id = sent, sent._jbroadcast.id()
-
-    @property
-    def value(self):
-        return self.sent.value
+    return rows.mapInArrow(functools.partial(_label, model=spark.sparkContext.broadcast(crf)), schema).select("doc_id", "lang_pred", "score", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ LENGTH, GRAM = 200, 32
 #: Bytes of a suffix array; a group of contexts of more bytes is split by string instead.
 ARRAY = 1 << 20
 #: Bytes of a text that are hashed together.
-SEGMENT = 4 << 20
+SEGMENT = 512 << 10
 _FACTOR = 0x9E3779B97F4A7C15 | 5
 
 
@@ -312,7 +312,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     shuffle. Texts that occur twice are removed whole; one of each stands for them.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")
     )

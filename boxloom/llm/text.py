@@ -10,7 +10,7 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BACK = pow(_BASE, -1, 1 << 64)
 #: Bytes that are hashed together; longer texts are cut between words.
-SEGMENT = 2 << 20
+SEGMENT = 256 << 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
