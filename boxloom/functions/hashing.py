@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: the version named inside every hashed envelope.
 VERSION = "anchor-canonical-json-v1"
@@ -62,7 +63,7 @@ def stable_hex(tag: str, *fields: Column) -> Column:
     return F.sha2(F.concat(F.lit(head), F.concat_ws(",", *fields), F.lit(tail)), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_udf(values: pd.Series) -> pd.Series:
     """Canonical JSON of JSON texts; null stays null."""
     return values.map(lambda x: None if x is None else canonical_json(json.loads(x)))
@@ -80,7 +81,7 @@ def point_priority(traj: Column, point: Column, tag: str) -> Column:
     """Keyed 64-bit priority of a trajectory point, as 16 hex digits, whose order is that of the unsigned number."""
     seed = np.uint64(int.from_bytes(stable_digest(tag)[:8], "little"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def priority(t: pd.Series, p: pd.Series) -> pd.Series:
         key = t.to_numpy(np.int64).view(np.uint64) ^ (p.to_numpy(np.int64).astype(np.uint64) << np.uint64(32)) ^ seed
         return pd.Series([f"{x:016x}" for x in splitmix(key).tolist()])

@@ -1,9 +1,9 @@
 """Diagnostics of a relation's geometry: quantiles of shape, fractions of repeated endpoints and of boxes at the boundary."""
 
-from __future__ import annotations
-
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +41,6 @@ def boundary_fraction(df: DataFrame) -> DataFrame:
 
 def exact_sum(df: DataFrame, column: str) -> int:
     """The exact sum of doubles as an integer number of 2^-1074: mantissas add up by exponent, then big integers on the driver (2,046 rows at most)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("struct<e:int,hi:bigint,lo:bigint>")
     def parts(x: pd.Series) -> pd.DataFrame:
         m, e = np.frexp(x.to_numpy(float))
