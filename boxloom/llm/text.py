@@ -90,11 +90,3 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
         out += h[j : len(h) - k + 1 + j]
     return mixed(out)
 
-
-def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-    """Hash of h[start:end] for each pair of places, from running sums; `salt` chooses the hash."""
-    base = (_BASE + 8 * salt) & (1 << 64) - 1
-    h = mixed(h + np.uint64(salt))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(base, len(h)), out=total[1:])
-    return mixed((total[end] - total[start]) * powers(pow(base, -1, 1 << 64), len(h))[start] + (end - start).astype(np.uint64))
