@@ -42,9 +42,7 @@ def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a smaller doc_id has; what is left of a changed text is joined by single spaces, nothing left means it goes."""
-    found = substrings.dedup(docs, texts=True).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "tk", "n_words", "n_removed", "kept_text").dropDuplicates(["id", "tk"])
-    met = _keyed(docs).join(found, ["id", "tk"]).where("n_removed = 0 or n_removed < n_words")
-    return _with_text(met, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")), docs.columns)
+    return substrings.remainders(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,3 +356,18 @@ def test_registry():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert Path(public_tokenizers.path(bpe.VOCABULARY)).exists()
+
+
+def test_remainders_are_what_dedup_keeps(spark):
+    docs = odd_docs(spark)
+    want = {(order(r["doc_id"]), r["tk"]): r for r in substrings.dedup(docs).collect()}
+    rows = docs.withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    got = substrings.remainders(docs.withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))).collect()
+    assert len(got) == sum(w["n_removed"] == 0 or w["n_removed"] < w["n_words"] for w in (want[order(r["doc_id"]), r["_tk"]] for r in rows))
+    texts = {(order(r["doc_id"]), r["_tk"]): r["text"] for r in rows}
+    for r in got:
+        key = (order(r["doc_id"]), r["_tk"])
+        if want[key]["n_removed"]:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == want[key]["kept_sha256"] and r["n_chars"] == len(r["text"])
+        else:
+            assert r["text"] == texts[key]
