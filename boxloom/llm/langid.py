@@ -226,14 +226,16 @@ def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CHA
     """A CRF fitted on the driver to a bounded sample: docs_each rows of up to `chars` characters of each of the `languages` commonest labels.
 
     Rows that are held out, or without label, id or text, are never drawn. The rows are those of least xxhash64 of the
-    id, so the sample doesn't depend on partitions. Each task keeps its docs_each least rows of a label before the
-    shuffle, so a label with most of the rows adds no more than others.
+    id, so the sample doesn't depend on partitions. Keys are drawn first, and each task keeps its docs_each least of a
+    label before the shuffle; only the texts of drawn keys move.
     """
     free = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(1, chars))
     common = [r[0] for r in free.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "text")
-    drawn = free.where(F.col("lang").isin(common)).select("doc_id", "text", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_each)
-    rows = sorted(drawn.select("lang", "_n", "text").collect())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id")
+    keys = free.where(F.col("lang").isin(common)).select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_each)
+    drawn = free.join(F.broadcast(keys), ["doc_id", "lang"])  # docs_each * languages keys at most
+    at_most = Window.partitionBy("lang").orderBy("_n", F.xxhash64("text"))  # rows that repeat an id
+    rows = sorted(drawn.select("lang", "_n", "text", F.row_number().over(at_most).alias("_k")).where(F.col("_k") <= docs_each).select("lang", "_n", "text").collect())
     crf = Crf(sorted(common))
     at = {lang: i for i, lang in enumerate(crf.labels)}
     crf.fit([words_of(r["text"]) for r in rows], [at[r["lang"]] for r in rows])
