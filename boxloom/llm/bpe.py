@@ -19,8 +19,8 @@ from .common import arrow_batches, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: No pair: more than any rank.
 NONE = np.int32(2**31 - 1)
-#: Matches up to this many bytes are merged many at a time; a worker remembers the ids of so many different matches.
-SHORT, REMEMBERED = 64, 200_000
+#: Matches up to this many bytes are merged many at a time; a task remembers the ids of so many different matches.
+SHORT, REMEMBERED = 64, 100_000
 #: Texts beyond this many characters are matched piece by piece, never as one list.
 LONG_TEXT = 1 << 20
 
@@ -152,6 +152,13 @@ def learn(r: Ranks, pieces: Iterable[str]) -> None:
             r.known.update(zip((p for p, _ in part), merge_many(r, [b for _, b in part])))
 
 
+@functools.cache
+def tokens(path: str) -> dict[int, bytes]:
+    """Tokens by id, without what only merging needs."""
+    with open(path, "rb") as lines:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+
+
 @functools.cache
 def ranks(path: str) -> Ranks:
     """Read once per Python worker."""
@@ -177,10 +184,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
             out.append(ids)
         rest = batch.drop_columns(["_text"])
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.binary())], [*rest.schema.names, "ids"])
+    r.known.clear()  # an idle worker keeps no matches
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    token = ranks(path).tokens.__getitem__
+    token = tokens(path).__getitem__
     for batch in batches:
         out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
         rest = batch.drop_columns(["ids"])
