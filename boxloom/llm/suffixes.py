@@ -174,16 +174,28 @@ def previous_factors(b: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Rows (g, tk, more, again): a gram, a text it anchors, the batch's other such texts, and whether it does so twice in one text."""
+    """Rows (g, tk, more, again): a gram, a text it anchors, the batch's other such texts, and whether it does so twice in one text.
+
+    A text of more than SEGMENT bytes comes in parts: a gram that anchored one of its earlier parts is met again.
+    """
     for batch in batches:
-        tk = batch.column("tk").to_numpy()
-        for text, _, _, _, g in anchors(batch.column("raw").to_pylist(), length, gram):
+        tk, raws = batch.column("tk").to_numpy(), batch.column("raw").to_pylist()
+        parted, met = -1, set()
+        for text, _, _, _, g in anchors(raws, length, gram):
             t = tk[text]
+            before = np.zeros(len(g), bool)
+            for i in np.unique(text[[0, -1]]).tolist() if len(text) else []:  # only the first and the last text can go on in another part
+                if len(raws[i]) - length + 1 > SEGMENT:
+                    if i != parted:
+                        parted, met = i, set()
+                    own = text == i
+                    before[own] = [x in met for x in g[own].tolist()]
+                    met.update(g[own].tolist())
             order = np.lexsort((t, g))
             g, t = g[order], t[order]
             first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
             many = np.diff(np.append(first, len(g)))
-            same = np.append(False, (g[1:] == g[:-1]) & (t[1:] == t[:-1]))[: len(g)]
+            same = np.append(False, (g[1:] == g[:-1]) & (t[1:] == t[:-1]))[: len(g)] | before[order]
             again = np.add.reduceat(same, first) > 0 if len(first) else np.zeros(0, bool)
             more = [None] * len(first)
             for i in np.flatnonzero(many > 1).tolist():

@@ -9,8 +9,10 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from boxloom.llm import bpe, embeddings, langid, licenses, mixing, ngrams, quality, registry, substrings, suffixes, warc
@@ -204,6 +206,32 @@ def test_suffixes_against_brute_force(spark, monkeypatch):
     assert suffixes.dedup(docs.limit(0)).count() == 0
 
 
+def test_suffixes_repeat_within_parts_of_a_long_text(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    say = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage = say(200)
+    long = say(1000) + passage + say(suffixes.SEGMENT) + passage + say(500)
+    docs = spark.createDataFrame([(1, long), (2, say(900))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in suffixes.dedup(docs).collect()}
+    assert got == {1: (len(long), 400, 2, long.replace(passage, "").encode()), 2: (900, 0, 0, None)}
+
+    batch = pa.RecordBatch.from_pydict({"tk": [5, 6, 7], "raw": [say(250).encode(), (passage + say(3000) + passage).encode(), (passage + say(600)).encode()]})
+    whole = {r["g"] for b in suffixes._fingerprints(iter([batch]), 200, 32) for r in b.to_pylist() if r["again"]}
+    assert whole
+    for segment in (201, 300, 1000):
+        monkeypatch.setattr(suffixes, "SEGMENT", segment)
+        assert whole <= {r["g"] for b in suffixes._fingerprints(iter([batch]), 200, 32) for r in b.to_pylist() if r["again"]}
+
+
+def test_suffixes_in_small_parts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SEGMENT", 300)
+    cloudpickle.register_pickle_by_value(suffixes)  # so that workers get the patched module
+    try:
+        test_suffixes_against_brute_force(spark, monkeypatch)
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffixes)
+
+
 @pytest.mark.parametrize("length", [8, 20, 50])
 def test_factors_of_random_strings(length):
     rng = np.random.default_rng(length)
