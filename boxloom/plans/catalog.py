@@ -86,10 +86,10 @@ select pos, r_id, s_id from d join b on g = place"""
 
 for _f in FIXTURES:
     _core(_f)
-for _f in ("ord1", "part2", "evt2_l1", "emb3"):
+for _f in ("ord1", "ord_all", "part2", "evt2_l1", "emb3"):
     _samples(_f)
 
-for _f in ("ord1", "part2", "evt2_l1", "emb2"):
+for _f in ("ord1", "ord_all", "part2", "evt2_l1", "emb2"):
     _d, _cte = DIMENSION[_f], sides_sql(_f)
     add(f"box_join_pairs_{_f}", lambda spark, sf, f=_f: joins.pairs(joins.grid_pairs(FIXTURES[f](spark, sf))), f"with {_cte} select r_id, s_id from p")
     add(f"box_theta_join_count_{_f}", lambda spark, sf, f=_f: joins.count(joins.theta_pairs(FIXTURES[f](spark, sf))), f"with {_cte} select count(*) as w from p")

@@ -12,10 +12,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ord1(spark: SparkSession, sf_dir: str) -> BoxJoin:
-    o = read(spark, sf_dir, "orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01")).cast("bigint"))
-    span = lambda df, days: boxes(df, "o_orderkey", ["day"], [F.col("day") + F.lit(days).cast("bigint")])
-    return BoxJoin(span(o.where("o_orderkey % 5 = 0"), 30), span(o.where("o_orderkey % 20 = 1"), 7))
+def _orders(r: str, s: str):
+    def made(spark: SparkSession, sf_dir: str) -> BoxJoin:
+        o = read(spark, sf_dir, "orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01")).cast("bigint"))
+        span = lambda df, days: boxes(df, "o_orderkey", ["day"], [F.col("day") + F.lit(days).cast("bigint")])
+        return BoxJoin(span(o.where(r), 30), span(o.where(s), 7))
+
+    return made
+
+
+#: Conditions of the two sides; those of ord_all split the whole table.
+ORDERS = {"ord1": ("o_orderkey % 5 = 0", "o_orderkey % 20 = 1"), "ord_all": ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1")}
 
 
 def part2(spark: SparkSession, sf_dir: str) -> BoxJoin:
@@ -42,14 +49,14 @@ def _embedded(d: int):
 
 
 EVENT_LEVELS = {"evt2_l1": (3_600_000, 500), "evt2_l2": (21_600_000, 1000)}
-FIXTURES = {"ord1": ord1, "part2": part2} | {k: _events(v) for k, v in EVENT_LEVELS.items()} | {f"emb{d}": _embedded(d) for d in (1, 2, 3, 4)}
-DIMENSION = {"ord1": 1, "part2": 2, "evt2_l1": 2, "evt2_l2": 2, "emb1": 1, "emb2": 2, "emb3": 3, "emb4": 4}
+FIXTURES = {k: _orders(*v) for k, v in ORDERS.items()} | {"part2": part2} | {k: _events(v) for k, v in EVENT_LEVELS.items()} | {f"emb{d}": _embedded(d) for d in (1, 2, 3, 4)}
+DIMENSION = {"ord1": 1, "ord_all": 1, "part2": 2, "evt2_l1": 2, "evt2_l2": 2, "emb1": 1, "emb2": 2, "emb3": 3, "emb4": 4}
 
 
 def _sql_sides() -> dict[str, tuple[str, str]]:
     day = "date_diff('day', date '1970-01-01', o_orderdate::date)::bigint"
     out = {
-        "ord1": tuple(f"select o_orderkey as id, {day} as l0, {day} + {n} as u0 from orders where {c}" for n, c in ((30, "o_orderkey % 5 = 0"), (7, "o_orderkey % 20 = 1"))),
+        **{k: tuple(f"select o_orderkey as id, {day} as l0, {day} + {n} as u0 from orders where {c}" for n, c in zip((30, 7), v)) for k, v in ORDERS.items()},
         "part2": tuple(
             f"select p_partkey as id, p_size::double as l0, p_retailprice::double as l1, p_size::double + {w} as u0, p_retailprice::double + {h} as u1 from part where p_partkey % 2 = {m}"
             for w, h, m in ((5, 2, 0), (1, 1, 1))

@@ -4,10 +4,12 @@ import collections
 import itertools
 import random
 
+import duckdb
 import pytest
 
 from boxloom.operators import boxes, decompose, joins, samplers, sweep, validation
 from boxloom.operators.boxes import BoxError, BoxJoin
+from boxloom.plans import catalog, fixtures
 
 
 def relation(spark, rows, d, kind="bigint"):
@@ -95,6 +97,17 @@ def test_holm(spark):
     assert {x["label"] for x in validation.holm(p).where("rejected").collect()} == {"a", "b"}
 
 
+def test_all_orders_are_on_a_side(spark, sf_dir):
+    j = fixtures.FIXTURES["ord_all"](spark, sf_dir)
+    assert j.r.count() + j.s.count() == fixtures.read(spark, sf_dir, "orders").count()
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{sf_dir}/orders.parquet'")
+    of = lambda name: [n for n in catalog.QUERIES if n.endswith(f"_{name}") or f"_{name}_" in n]
+    assert len(of("ord_all")) == len(of("ord1")) == 20
+    for name in ("box_summary_ord_all", "box_ownership_ord_all", "decomposed_count_ord_all", "sweep_weights_ord_all", "box_touch_pairs_ord_all", "sample_ord_all_lifted"):
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, sf_dir).collect())) == sorted(con.sql(catalog.SQL[name]).fetchall()), name
+
+
 def test_guards(spark):
     nan = relation(spark, [(1, float("nan"), 1.0)], 1, "double")
     with pytest.raises(Exception, match="finite"):
