@@ -64,7 +64,7 @@ def _deal(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], cell
         member = (angle <= radius + reach + SLACK) & (angle - angle[rows, home][:, None] <= 2 * reach + SLACK)
         member[rows, home] = True
         i, c = np.nonzero(member)
-        ids = batch.column("class_id").to_numpy()
+        ids = batch.column("node").to_numpy()
         mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
         parts = np.array([max(1, -(-cells.get(x + w * PIVOTS, (0, 1))[1] // HOME)) for x in range(len(pivots[w]))])
         raw = [x.tobytes() for x in units]
@@ -74,17 +74,17 @@ def _deal(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], cell
             for s in range(0, len(at), 4096):
                 p = at[s : s + 4096]
                 columns = [pa.array(cell[s : s + 4096] + w * PIVOTS), pa.array([role] * len(p)), pa.array(block[s : s + 4096]), pa.array(ids[p]), pa.array(copies[p]), pa.array([raw[x] for x in p], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["cell", "role", "block", "class_id", "copies", "unit"])
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "role", "block", "node", "copies", "unit"])
 
 
 def _matrix(scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     items = scalar.values
     units = items.field("unit")
-    return items.field("class_id").to_numpy(), items.field("copies").to_numpy(), np.frombuffer(b"".join(units.to_pylist())).reshape(len(units), -1)
+    return items.field("node").to_numpy(), items.field("copies").to_numpy(), np.frombuffer(b"".join(units.to_pylist())).reshape(len(units), -1)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """For a home block and a block of members: links of each home vector, and the smallest id of each linked vector's component within the two."""
+    """For a home block and a block of members: links of each home vector, and the smallest node of each linked vector's component within the two."""
     for batch in batches:
         for home, member in zip(batch.column("home"), batch.column("member")):
             a, _, x = _matrix(home)
@@ -104,7 +104,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
                 if (left == before[0]).all() and (right == before[1]).all():
                     break
             p, q = np.unique(i), np.unique(j)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[p], b[q]])), pa.array(np.concatenate([left[p], right[q]])), pa.array(np.concatenate([n[p], np.zeros(len(q), np.int64)]))], ["class_id", "root", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[p], b[q]])), pa.array(np.concatenate([left[p], right[q]])), pa.array(np.concatenate([n[p], np.zeros(len(q), np.int64)]))], ["node", "root", "links"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -124,33 +124,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: tupl
     arrow_batches(spark, 2000, 4)
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST_ID)).alias("_id"), "vec_id", v.alias("v"), *keep)
-    classes = stored(rows.where(comparable(F.col("v"))).groupBy("v").agg(F.min("_id").alias("class_id"), F.count("*").alias("copies")), "vectors")
+    classes = rows.where(comparable(F.col("v"))).groupBy("v").agg(F.min("_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("node", F.xxhash64("v")), "vectors")
 
     reach = math.acos(threshold)
     widths = {r["w"]: r["n"] for r in classes.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}
     pivots = {}
     for w, n in widths.items():
-        drawn = classes.where(F.size("v") == w).orderBy(F.xxhash64("class_id"), "class_id").limit(min(PIVOTS, -(-n // CELL)))
+        drawn = classes.where(F.size("v") == w).orderBy(F.xxhash64("class_id"), "class_id", "node").limit(min(PIVOTS, -(-n // CELL)))
         pivots[w] = _units(pa.array([r["v"] for r in drawn.select("v").collect()], pa.list_(pa.float64())))
     found = classes.mapInArrow(functools.partial(_homes, pivots=pivots), "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n"))
     cells = {r["cell"]: (r["r"], r["n"]) for r in found.collect()}
 
     blocks = max(1, -(-max(widths.values(), default=1) // BLOCK))
     deal = functools.partial(_deal, pivots=pivots, cells=cells, reach=reach, blocks=blocks)
-    dealt = classes.mapInArrow(deal, "cell long, role string, block long, class_id long, copies long, unit binary")
-    packed = dealt.groupBy("cell", "role", "block").agg(F.collect_list(F.struct("class_id", "copies", "unit")).alias("items"))
+    dealt = classes.mapInArrow(deal, "cell long, role string, block long, node long, copies long, unit binary")
+    packed = dealt.groupBy("cell", "role", "block").agg(F.collect_list(F.struct("node", "copies", "unit")).alias("items"))
     packed = stored(packed, "blocks")
     side = lambda role: packed.where(F.col("role") == role).select("cell", F.col("items").alias(role))
     met = side("home").join(side("member"), "cell")
-    links = stored(met.mapInArrow(functools.partial(_compare, threshold=threshold), "class_id long, root long, links long"), "links")
-
-    counted = links.groupBy("class_id").agg(F.sum("links").alias("links"))
-    joined = components(links.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    whole = (
-        classes.join(counted, "class_id", "left")
-        .join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("_component"))
-    )
+    links = stored(met.mapInArrow(functools.partial(_compare, threshold=threshold), "node long, root long, links long"), "links")
+
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    of = classes.join(counted, "node", "left").join(joined, "node", "left").withColumn("_root", F.coalesce("component", "node"))
+    least = of.groupBy("_root").agg(F.min("class_id").alias("_component"))
+    whole = of.join(least, "_root").select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "_component")
     out = rows.join(whole, F.col("v") == F.col("_v"), "left")
     component = F.coalesce("_component", "_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(component < LAST_ID, component).alias("component_id"), (F.col("_id") == component).alias("kept"), *keep)

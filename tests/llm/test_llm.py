@@ -156,6 +156,14 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_vectors_that_share_an_id(spark):
+    rows = [(None, [1.0, 0.1]), (None, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [-1.0, 0.0]), (3, [-1.0, 0.1])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((order(r["vec_id"]), r["n_links"], order(r["component_id"]), r["kept"]) for r in got) == [
+        (3, 1, 3, True), (7, 0, 7, True), (7, 1, 3, False), (order(None), 1, order(None), True), (order(None), 1, order(None), True),
+    ]
+
+
 def test_substrings_against_brute_force(spark):
     docs = odd_docs(spark)
     rows = [(order(i), WORD.findall(t)) for i, t in collected(docs)]
