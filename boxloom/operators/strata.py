@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_integers, stable_hex
-from .prefix import ranked
+from .prefix import ranked, running
 
 #: Tags of the hashed orders (fixed values).
 STRATUM_TAG, OBJECT_TAG, USER_TAG, IMAGE_TAG, PROPOSAL_TAG, QUOTA_TAG = (
@@ -41,13 +41,12 @@ def half_split(df: DataFrame, strata: Sequence[str], id: str, target: int, strat
     Within a stratum rows go in the order of their hashed id. A target that halves can't meet is an error.
     """
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
-    key = canonical_integers(*[F.col(c) for c in strata])
-    order = Window.orderBy(stable_hex(stratum_tag, key), *strata)
-    missing = F.lit(target) - F.sum(F.call_function("div", F.col("_size"), F.lit(2).cast("bigint"))).over(Window.partitionBy())
-    odd = sizes.withColumn("_missing", missing).withColumn("_odd", F.sum(F.col("_size") % 2).over(Window.partitionBy()))
+    halves = sizes.withColumn("_key", stable_hex(stratum_tag, canonical_integers(*[F.col(c) for c in strata]))).withColumn("_first", F.conv(F.substring("_key", 1, 15), 16, 10).cast("bigint"))
+    placed = running(halves, ["_first", "_key", *strata], {"_odds": F.col("_size") % 2}, "_first", before=False)  # _first is in the order of _key
+    totals = sizes.agg((F.lit(target) - F.sum(F.call_function("div", F.col("_size"), F.lit(2).cast("bigint")))).alias("_missing"), F.sum(F.col("_size") % 2).alias("_odd"))
+    odd = placed.crossJoin(F.broadcast(totals))
     fits = (F.col("_missing") >= 0) & (F.col("_missing") <= F.col("_odd"))
-    place = F.sum(F.col("_size") % 2).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    extra = ((F.col("_size") % 2 == 1) & (place <= F.col("_missing"))).cast("bigint")
+    extra = ((F.col("_size") % 2 == 1) & (F.col("_odds") <= F.col("_missing"))).cast("bigint")
     quota = F.when(fits, F.call_function("div", F.col("_size"), F.lit(2).cast("bigint")) + extra).otherwise(F.raise_error(F.lit("the target doesn't fit halves of the strata")).cast("bigint"))
     quotas = odd.select(*strata, quota.alias("_quota"))
     within = Window.partitionBy(*strata).orderBy(stable_hex(object_tag, F.col(id).cast("string")), id)

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import bits60
 from .boxes import BoxJoin
 from .joins import grid_pairs, invalid_pairs, pairs
-from .prefix import ranked
+from .prefix import ranked, running
 
 #: Join sizes for which the report is made, and buckets of the transition test.
 LEAST, MOST, BUCKETS = 2, 2000, 128
@@ -109,6 +109,6 @@ def distribution_report(join: BoxJoin, sample: DataFrame, buckets: int = BUCKETS
 def holm(pvalues: DataFrame, level: float = 0.01) -> DataFrame:
     """Adds `rejected` to pvalues(label, p): step-down in order of (p, label) while p <= level / (m - rank)."""
     m = pvalues.count()
-    placed = ranked(pvalues, ["p", "label"], "_rank").withColumn("_fine", F.when(F.col("p") <= F.lit(level) / (F.lit(m) - F.col("_rank")), 1).otherwise(0))
-    so_far = Window.orderBy("p", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.withColumn("rejected", F.min("_fine").over(so_far) == 1).drop("_rank", "_fine")
+    fine = F.col("p") <= F.lit(level) / (F.lit(m) - F.col("_rank"))
+    placed = ranked(pvalues, ["p", "label"], "_rank").withColumn("_failed", F.when(fine, 0).otherwise(1))
+    return running(placed, ["p", "label"], {"_failures": F.col("_failed")}, "p", before=False).withColumn("rejected", F.col("_failures") == 0).drop("_rank", "_failed", "_failures")

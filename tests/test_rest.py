@@ -1,14 +1,17 @@
 """Ranges, selection, records, hashing, files, the generator and the stream."""
 
+import functools
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from boxloom.functions import hashing
-from boxloom.operators import diagnostics, generator, ranges, records, strata
+from boxloom.operators import diagnostics, generator, prefix, ranges, records, strata, validation
 from boxloom.operators.boxes import BoxJoin
+from boxloom.plans import catalog
 from boxloom.plans.more import run_records
 from boxloom.sources import boxfile, runs
 from boxloom.streaming import activity
@@ -55,6 +58,17 @@ def test_range_samples(spark):
     assert len(rows) == 900 and {r["id"] for r in rows} == {2, 3, 4} and all(sum(r["id"] == k for r in rows) > 230 for k in (2, 3, 4))
 
 
+def test_half_split_and_holm_in_ranges(spark, sf_dir, monkeypatch):
+    for module in (strata, validation):
+        monkeypatch.setattr(module, "running", functools.partial(prefix.running, rows=3))
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{sf_dir}/part.parquet'")
+    assert sorted(map(tuple, catalog.QUERIES["split_half_part"](spark, sf_dir).select("p_partkey", "side").collect())) == sorted(con.sql(f"select p_partkey, side from ({catalog.SQL['split_half_part']})").fetchall())
+    p = [0.0001 * (i + 1) ** 2 for i in range(20)]
+    got = validation.holm(spark.createDataFrame([(f"{i:02}", x) for i, x in enumerate(p)], "label string, p double"), 0.05).collect()
+    assert {r["label"] for r in got if r["rejected"]} == {f"{i:02}" for i in range(20) if all(p[j] <= 0.05 / (20 - j) for j in range(i + 1))}
+
+
 def test_half_split_ignores_order(spark):
     rows = [(i, 5 if i < 5 else 4, 10_000.0 * (i % 2), 0.0) for i in range(9)]
     df = lambda x: spark.createDataFrame(x, "id bigint, kind int, x double, y double").withColumn("tx", strata.tile(F.col("x"), 10_000)).withColumn("ty", strata.tile(F.col("y"), 10_000))
