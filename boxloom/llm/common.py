@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Null ids order after every other id.
+#: What a null id is held as, beside a flag: null ids order after every other id, this one included.
 LAST_ID = 2**63 - 1
 
 
@@ -22,17 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, as in tests, one of our own where it is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="boxloom-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, which clear() deletes."""
+    return f"{shared_dir(spark)}/boxloom-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems have it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what the operators wrote beside their results. Results are lazy: call it once they have been read or written."""
+    remove(spark, session_dir(spark))
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -54,10 +73,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def order_of(c: Column) -> tuple[Column, Column]:
+    """(id, none): an id and whether it is null. Null ids order last, so minima and maxima of the two columns are those of the pair."""
+    return F.coalesce(c.cast("long"), F.lit(LAST_ID)).alias("id"), c.isNull().alias("none")
+
+
+def given(id: Column, none: Column) -> Column:
+    """The id that order_of() took apart."""
+    return F.when(~none, id)
+
+
+def later(id: Column, none: Column, least: Column, least_none: Column) -> Column:
+    """Whether an id orders after another one."""
+    return (id > least) | ((id == least) & none & ~least_none)
+
+
+def text_key(text: Column) -> Column:
+    """What says that two texts are the same: 128 bits of the SHA-256 of the UTF-8 bytes; null is the empty text."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 def arrow_batches(spark: SparkSession, rows: int = 500, mb: int = 1) -> None:
-    """Bounds the Arrow batches that Python tasks get, so that long texts can't fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+    """Bounds the Arrow batches that Python tasks get, so that long texts can't fill a worker's memory.
+
+    The bounds are settings of the session, read when a plan runs. They are only ever lowered, so that one operator never
+    widens the batches of another one whose plan is still to run.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}").lower())
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def groups_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -85,7 +130,7 @@ def groups_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]
 
 
 def components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
-    """(node, component) for each node of `edges` (columns a, b: long); component is the smallest node reachable.
+    """(node, component) for each node of `edges` (columns a, b of one type with an order); component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges are stars. Every step is two
     shuffles over at most as many edges as before; each round ends in a reliable checkpoint. Joins are many to one, so

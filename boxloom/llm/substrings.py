@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WORD, arrow_batches, shared_dir, stored, table, words
+from .common import WORD, arrow_batches, given, later, order_of, remove, scratch, stored, table, text_key, words
 from .text import runs, word_hashes
 
 #: Words of a window; words of the run that stands for a window in the index; batches of a whole table; runs before compaction.
-WINDOW, RUN, BATCHES, RUNS = 13, 4, 2, 6
+WINDOW, RUN, BATCHES, RUNS = 13, 4, 3, 1
+#: What tells rows apart: the id and 64 bits of the text's key.
+ROW = ["id", "none", "tk"]
 _WORDS = regex.compile(WORD)
 
 
@@ -63,65 +66,105 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], window: int, run: int) -> I
 
 
 class FingerprintIndex:
-    """Sorted immutable runs (g, tk, more) of historical window fingerprints, as bucketed tables in the shared folder.
+    """Sorted immutable runs (g, tk, more) of historical window fingerprints, as bucketed tables below a folder, with a manifest.
 
     Every run is dealt by g into the same buckets and sorted, so that a new batch's run meets itself and each older run in
-    a merge join that moves no row of either. Runs are only added; compaction writes one run in place of all and drops
-    those. The bucket count is the session's number of shuffle partitions when the index begins. The tables belong to a
-    database in that folder, so dropping a table deletes its files.
+    merge joins that move no row of either. Runs are only added; compaction writes one run in place of all, then a
+    manifest that names it, then deletes those, so a job that fails leaves a whole index. The bucket count is the session's
+    number of shuffle partitions when the index begins. An index outlives the session: open() finds it by its folder.
+    Spark needs a catalog entry to know of buckets, so an open index has a database of its own, which close() drops.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, run: int = RUN, most: int = RUNS):
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, run: int = RUN, most: int = RUNS, buckets: int | None = None):
         self.spark, self.window, self.run, self.most = spark, window, run, most
-        self.name = f"fingerprints_{uuid.uuid4().hex}"
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = path or scratch(spark, "index")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        spark.sql(f"create database {self.name} location '{shared_dir(spark)}/{self.name}'")
+        self.version = 0
+        self.database = f"fingerprints_{uuid.uuid4().hex}"
+        spark.sql(f"create database {self.database} location '{self.path}/catalog'")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, most: int = RUNS) -> FingerprintIndex:
+        """The index that was written to `path`."""
+        manifest = spark.read.parquet(f"{path}/manifest")
+        last = manifest.where(F.col("version") == manifest.agg(F.max("version")).first()[0]).first()
+        index = cls(spark, path, last["window"], last["run"], most, last["buckets"])
+        index.version, index.runs = last["version"], list(last["runs"])
+        for name in index.runs:
+            clustered = f"clustered by (g) sorted by (g) into {index.buckets} buckets location '{path}/{name}'"
+            spark.sql(f"create table {index.database}.{name} (g bigint, tk bigint, more array<bigint>) using parquet {clustered}")
+        return index
+
+    def __enter__(self) -> FingerprintIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.database}.{name}")
 
     def _put(self, rows: DataFrame) -> str:
-        name = f"{self.name}.run_{uuid.uuid4().hex}"
+        name = f"run_{uuid.uuid4().hex}"
         dealt = rows.repartition(self.buckets, "g").sortWithinPartitions("g")
-        dealt.write.bucketBy(self.buckets, "g").sortBy("g").saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.path}/{name}").saveAsTable(f"{self.database}.{name}")
         return name
 
+    def _record(self) -> None:
+        self.version += 1
+        row = [(self.runs, self.buckets, self.window, self.run)]
+        self.spark.createDataFrame(row, "runs array<string>, buckets int, window int, run int").coalesce(1).write.parquet(f"{self.path}/manifest/version={self.version}")
+
     def add(self, texts: DataFrame) -> DataFrame:
         """Indexes texts(tk, text) as a run. Returns (g, tk): the fingerprints that a text of the batch shares with another text, with both texts.
 
-        A fingerprint with very many texts is one row per Arrow batch, and joins meet one row per fingerprint.
+        Too many runs are compacted first. A fingerprint that very many texts have is one row per Arrow batch, and meets
+        one row that has its least and greatest text, so no task gathers its rows. What is found is written before
+        anything else happens to the index.
         """
+        self.compact()
         fingerprints = functools.partial(_fingerprints, window=self.window, run=self.run)
         own = self._put(texts.select("tk", "text").mapInArrow(fingerprints, "g long, tk long, more array<long>"))
-        new = self.spark.table(own)
-        top = F.greatest("tk", F.array_max(F.coalesce("more", F.array(F.col("tk")))))
-        within = new.withColumn("lo", F.min("tk").over(Window.partitionBy("g"))).withColumn("hi", F.max(top).over(Window.partitionBy("g")))
-        found = within.where("lo < hi").select("g", "tk", "more")
+        new = self._table(own)
+        top = F.greatest("tk", F.array_max("more"))
+        span = lambda df: df.groupBy("g").agg(F.min("tk").alias("lo"), F.max(top).alias("hi"))
+        found = new.join(span(new).where("lo < hi"), "g").select("g", "tk", "more")
         for name in self.runs:
-            old = self.spark.table(name)
+            old = self._table(name)
             for a, b in ((new, old), (old, new)):
-                least = b.groupBy("g").agg(F.min("tk").alias("lo"), F.max(top).alias("hi"))
-                met = a.join(least, "g").where((F.col("lo") < F.col("hi")) | (F.col("tk") != F.col("lo")) | F.col("more").isNotNull())
+                met = a.join(span(b), "g").where((F.col("lo") < F.col("hi")) | (F.col("tk") != F.col("lo")) | F.col("more").isNotNull())
                 found = found.unionAll(met.select("g", "tk", "more"))
+        each = F.concat(F.array("tk"), F.coalesce("more", F.array().cast("array<long>")))
+        found = stored(found.select("g", F.explode(each).alias("tk")), "found")
         self.runs.append(own)
-        return found.select("g", F.explode(F.concat(F.array("tk"), F.coalesce("more", F.array().cast("array<long>")))).alias("tk"))
+        self._record()
+        return found
 
     def compact(self) -> None:
         """Merges the runs into one once there are more than `most`."""
         if len(self.runs) > self.most:
-            rows = functools.reduce(DataFrame.unionAll, [self.spark.table(x) for x in self.runs])
-            merged = self._put(rows)
+            merged = self._put(functools.reduce(DataFrame.unionAll, [self._table(x) for x in self.runs]))
             old, self.runs = self.runs, [merged]
+            self._record()
             for name in old:
-                self.spark.sql(f"drop table {name}")
+                self.spark.sql(f"drop table {self.database}.{name}")
+                remove(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Forgets the catalog entries; the folder stays."""
+        self.spark.sql(f"drop database if exists {self.database} cascade")
 
     def drop(self) -> None:
-        self.spark.sql(f"drop database {self.name} cascade")
-        self.runs = []
+        self.close()
+        remove(self.spark, self.path)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of the windows whose fingerprint another text shares: one row per window of a batch, with its first place and the others."""
+    """The windows whose fingerprint another text shares, as 128-bit digests of their words: one row per window of a batch, with its first place and the others."""
     for batch in batches:
-        h, n = word_hashes(batch.column("text").to_pylist())
+        texts = batch.column("text").to_pylist()
+        h, n = word_hashes(texts)
         text, place, g = anchors(h, n, window, run)
         shared = batch.column("gs")
         own, row = shared.flatten().to_numpy(), np.repeat(np.arange(len(n)), shared.value_lengths().to_numpy())
@@ -129,11 +172,21 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterat
         at, to = np.searchsorted(text, np.arange(len(n) + 1)), np.searchsorted(row, np.arange(len(n) + 1))
         for i in range(len(n)):
             pick[at[i] : at[i + 1]] = np.isin(g[at[i] : at[i + 1]], own[to[i] : to[i + 1]])
-        text, place = text[pick], place[pick]
+        text = text[pick]
         if not len(text):
             continue
-        a, b = (runs(h ^ np.uint64(x), window)[place].view(np.int64) for x in (0, 0x5851F42D4C957F2D))
-        ids, tk, place = batch.column("id").to_numpy()[text], batch.column("tk").to_numpy()[text], (place - (np.cumsum(n) - n)[text]).astype(np.int32)
+        place = place[pick] - (np.cumsum(n) - n)[text]
+        digests = []
+        cut = np.searchsorted(text, np.arange(len(n) + 1))
+        for i in np.unique(text).tolist():
+            raw = " ".join(_WORDS.findall(texts[i])).encode("utf-8", "surrogatepass")
+            gap = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+            p = place[cut[i] : cut[i + 1]]
+            first, end = np.append(0, gap + 1)[p].tolist(), np.append(gap, len(raw))[p + window - 1].tolist()
+            digests += [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(first, end)]
+        a, b = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        ids, none, tk = (batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ROW)
+        place = place.astype(np.int32)
         order = np.lexsort((b, a))
         new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
         first = np.flatnonzero(new)
@@ -142,11 +195,11 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterat
         others = order[~new]
         cuts = np.zeros(len(first) + 1, np.int64)
         cuts[some + 1] = many[some] - 1
-        listed = pa.StructArray.from_arrays([pa.array(x[others]) for x in (ids, tk, place)], ["id", "tk", "place"])
+        listed = pa.StructArray.from_arrays([pa.array(x[others]) for x in (ids, none, tk, place)], [*ROW, "place"])
         more = pa.ListArray.from_arrays(pa.array(np.cumsum(cuts), pa.int32()), listed, mask=pa.array(many == 1))
         back = np.argsort(order[first], kind="stable")  # in order of place, which compresses better
         lead = order[first][back]
-        out = pa.RecordBatch.from_arrays([*(pa.array(x[lead]) for x in (a, b, ids, tk, place)), more.take(pa.array(back))], ["a", "b", "id", "tk", "place", "more"])
+        out = pa.RecordBatch.from_arrays([*(pa.array(x[lead]) for x in (a, b, ids, none, tk, place)), more.take(pa.array(back))], ["a", "b", *ROW, "place", "more"])
         for s in range(0, out.num_rows, 50_000):
             yield out.slice(s, 50_000)
 
@@ -172,37 +225,43 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(left, pa.string()), pa.array(removed, pa.int64())], [*rest.schema.names, "left", "removed"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    rows = docs.select(*order_of(F.col("doc_id")), text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    return rows.withColumn("tk", F.xxhash64("key"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: int = BATCHES) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, tk (xxhash64 of the text), n_words, n_removed, kept_sha256.
+def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: int = BATCHES, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """For each row of docs(doc_id, text): doc_id, key (128 bits of the text's SHA-256), n_words, n_removed, kept_sha256.
 
     Removes each word covered by a window of `window` consecutive words that also starts in a document with a smaller
     doc_id; windows are judged on the input. What is left are the other words joined by one space. Null texts have no
     words; texts shorter than a window lose nothing; windows never cross documents. A null doc_id orders last; rows that
-    repeat a doc_id never remove from each other. An empty table gives no row.
+    repeat a doc_id never remove from each other. An empty table gives no row. Other columns are not read, whatever their
+    names. A text is held as a whole, with its words, by the task that reads it.
 
     Batches in order of doc_id enter the index one after another. Only fingerprints that two different texts share are
-    looked at again: the smallest document of each text has those windows hashed in full (128 bits), and windows that a
-    smaller document also has are removed. A window is one row per Arrow batch, so one that very many texts share stays
-    far from filling a task. Other documents of the same text lose all, as their windows all start in the smallest.
+    looked at again: the smallest document of each text has the words of those windows digested (128 bits of BLAKE2b), and
+    windows that a smaller document also has are removed. A window is one row per Arrow batch and meets the one row that
+    has its smallest document, so one that very many texts share fills no task. Other documents of the same text lose
+    all, as their windows all start in the smallest.
+
+    With an `index` that has `history` (doc_id, text: all that was added before), docs are one more batch of it: they lose
+    windows to documents of either, and only their rows are returned.
     """
-    rows, sizes, least, places = _found(docs, window, run, batches)
-    cut = rows.join(places, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("id", "tk", "text", "places").mapInArrow(functools.partial(_cut, window=window), "id long, tk long, left string, removed long")
-    cut = cut.select("id", "tk", "removed", F.sha2("left", 256).alias("rest"))
-    of = sizes.join(least.withColumnRenamed("id", "least"), "tk").join(cut, ["id", "tk"], "left")
+    rows, sizes, least, places = _found(docs, window, run, batches, index=index, history=history)
+    cut = rows.join(places, ROW).dropDuplicates(ROW).select(*ROW, "text", "places").mapInArrow(functools.partial(_cut, window=window), "id long, none boolean, tk long, left string, removed long")
+    cut = cut.select(*ROW, "removed", F.sha2("left", 256).alias("rest"))
+    of = sizes.where("new").join(least, "key").join(cut, ROW, "left")
     copy = _copy(window)
     return of.select(
-        F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"), "tk", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        given(F.col("id"), F.col("none")).alias("doc_id"), "key", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("rest", "whole")).alias("kept_sha256"),
     )
 
 
-def _copy(window: int):
+def _copy(window: int) -> Column:
     """Whether a smaller document has the whole text, and the text has windows."""
-    return (F.col("id") > F.col("least")) & (F.col("n_words") >= window)
+    return later(F.col("id"), F.col("none"), F.col("least"), F.col("least_none")) & (F.col("n_words") >= window)
 
 
 def remainders(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: int = BATCHES) -> DataFrame:
@@ -213,10 +272,10 @@ def remainders(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: i
     """
     rows, sizes, least, places = _found(docs, window, run, batches, whole=False)
     others = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.struct(*others, F.col("text").isNull().alias("_null")).alias("row"))
-    listed = keyed.groupBy("id", "tk").agg(F.collect_list("row").alias("listed"))
-    known = sizes.join(least.withColumnRenamed("id", "least"), "tk").where(~_copy(window)).select("id", "tk", "n_words").distinct().join(listed, ["id", "tk"])
-    met = rows.join(places, ["id", "tk"], "left").join(known, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("text", "places", "n_words", "listed")
+    keyed = _keyed(docs, F.struct(*others, F.col("text").isNull().alias("_null")).alias("row")).select(*ROW, "row")
+    listed = keyed.groupBy(*ROW).agg(F.collect_list("row").alias("listed"))
+    known = sizes.join(least, "key").where(~_copy(window)).select(*ROW, "n_words").distinct().join(listed, ROW)
+    met = rows.join(places, ROW, "left").join(known, ROW).dropDuplicates(ROW).select("text", "places", "n_words", "listed")
     schema = met.drop("text", "places").schema.add("left", "string").add("removed", "long")
     cut = met.mapInArrow(functools.partial(_cut, window=window), schema).where("removed = 0 or removed < n_words").withColumn("row", F.explode("listed"))
     text = F.when(~F.col("row._null"), F.col("left"))
@@ -224,38 +283,53 @@ def remainders(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: i
     return cut.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def _found(docs: DataFrame, window: int, run: int, batches: int, whole: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _found(
+    docs: DataFrame, window: int, run: int, batches: int, whole: bool = True, index: FingerprintIndex | None = None, history: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows, sizes, least, places): keyed texts, their numbers of words, the smallest id of each text, and the windows to remove of each of those."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = _keyed(docs)
+    new = _keyed(docs, F.lit(True).alias("new"))
+    rows = new if history is None else new.unionAll(_keyed(history, F.lit(False).alias("new")))
     w = words(F.col("text"))
-    sizes = stored(rows.select("id", "tk", F.size(w).cast("long").alias("n_words"), *([F.sha2(F.array_join(w, " "), 256).alias("whole")] if whole else [])), "sizes")
-
-    index = FingerprintIndex(spark, window=window, run=run)
-    cuts = sizes.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    bounds = [None, *sorted({int(x) for x in cuts}), None]
-    shared = None
-    for low, high in zip(bounds, bounds[1:]):
-        part = rows.where((F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if high is None else F.col("id") <= high))
-        found = index.add(part)
-        shared = found if shared is None else shared.unionAll(found)
-    least = sizes.groupBy("tk").agg(F.min("id").alias("id"))
-    wanted = stored(shared.groupBy("tk").agg(F.array_sort(F.collect_set("g")).alias("gs")).join(least, "tk").select("id", "tk", "gs"), "shared")
-    index.drop()
-
-    seen = rows.join(wanted, ["id", "tk"]).select("id", "tk", "text", "gs")
-    seen = seen.mapInArrow(functools.partial(_windows, window=window, run=run), "a long, b long, id long, tk long, place int, more array<struct<id:long,tk:long,place:int>>")
-    others = F.transform("more", lambda x: x["id"])
-    by = Window.partitionBy("a", "b")
-    met = seen.withColumn("least", F.min(F.least("id", F.array_min(others))).over(by)).withColumn("most", F.max(F.greatest("id", F.array_max(others))).over(by)).where("least < most")
-    each = F.concat(F.array(F.struct("id", "tk", "place")), F.coalesce("more", F.array().cast("array<struct<id:long,tk:long,place:int>>")))
-    places = met.select("least", F.explode(each).alias("w")).where("w.id > least").select("w.*").groupBy("id", "tk").agg(F.collect_set("place").alias("places"))
+    digest = [F.sha2(F.array_join(w, " "), 256).alias("whole")] if whole else []
+    sizes = stored(rows.select("id", "none", "key", "tk", "new", F.size(w).cast("long").alias("n_words"), *digest), "sizes")
+    least = sizes.groupBy("key").agg(F.min("id").alias("least"), F.min("none").alias("least_none"))
+
+    own = FingerprintIndex(spark, window=window, run=run) if index is None else index
+    try:
+        if index is None and batches > 1:
+            cuts = sizes.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)
+            bounds = [None, *sorted({int(x) for x in cuts}), None]
+        else:
+            bounds = [None, None]
+        shared = None
+        for low, high in zip(bounds, bounds[1:]):
+            part = new.where((F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if high is None else F.col("id") <= high))
+            found = own.add(part)
+            shared = found if shared is None else shared.unionAll(found)
+    finally:
+        if index is None:
+            own.drop()
+    wanted = shared.groupBy("tk").agg(F.array_sort(F.collect_set("g")).alias("gs")).join(least.withColumn("tk", F.xxhash64("key")), "tk")
+    wanted = stored(wanted.select(F.col("least").alias("id"), F.col("least_none").alias("none"), "tk", "gs"), "shared")
+
+    seen = rows.select(*ROW, "text").join(wanted, ROW).select(*ROW, "text", "gs")
+    place = "struct<id:long,none:boolean,tk:long,place:int>"
+    seen = seen.mapInArrow(functools.partial(_windows, window=window, run=run), f"a long, b long, id long, none boolean, tk long, place int, more array<{place}>")
+    # one row per window, combined before the shuffle, meets its rows: a window that very many texts share is split by AQE
+    low, high = (lambda c, f=f, g=g: f(c, g(f"more.{c}")) for f, g in ((F.least, F.array_min), (F.greatest, F.array_max)))
+    ends = [F.min(low("id")).alias("lo"), F.min(low("none")).alias("lo_none"), F.max(high("id")).alias("hi"), F.max(high("none")).alias("hi_none")]
+    spans = seen.groupBy("a", "b").agg(*ends).where(later(F.col("hi"), F.col("hi_none"), F.col("lo"), F.col("lo_none"))).select("a", "b", "lo", "lo_none")
+    each = F.concat(F.array(F.struct(*ROW, "place")), F.coalesce("more", F.array().cast(f"array<{place}>")))
+    met = seen.join(spans, ["a", "b"]).select("lo", "lo_none", F.explode(each).alias("w"))
+    met = met.where(later(F.col("w.id"), F.col("w.none"), F.col("lo"), F.col("lo_none")))
+    places = met.select("w.*").groupBy(*ROW).agg(F.collect_set("place").alias("places"))
     return rows, sizes, least, places
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("tk")
+    return dedup(table(spark, sf_dir, "documents")).drop("key")
 
 
 ORACLE = f"""

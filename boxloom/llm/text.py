@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BACK = pow(_BASE, -1, 1 << 64)
-#: Bytes that are hashed together; longer texts are cut between words.
-SEGMENT = 256 << 10
+#: Bytes that are hashed together; longer texts are cut between words. Bytes of a word that is hashed by itself.
+SEGMENT, LONG = 256 << 10, 64
+#: Odd numbers that make independent hashes of a word.
+_LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_FULL = np.uint64((1 << 64) - 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -21,28 +22,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _hashes(raw: bytes, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word; the hash is a function of the word's bytes alone.
 
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    return _powers(base, 1 << max(4, (n - 1).bit_length()))[:n]
-
-
-def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word; the hash is a function of the word's bytes alone."""
+    Eight bytes at a time go through a bijective mix, so words of up to eight bytes collide only with words of other
+    lengths; words of more than LONG bytes are hashed one by one by BLAKE2b.
+    """
     b = np.frombuffer(raw, np.uint8)
     word = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(b)), out=total[1:])
-    h = (total[end] - total[start]) * powers(_BACK, len(b))[start]
-    return start, mixed(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = end - start
+    eight = np.ndarray(len(b) + 1, "<u8", raw + bytes(8), strides=(1,))
+    h = mixed(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(_LANES[lane]))
+    live, k = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        left = np.minimum(size[live] - k, 8).astype(np.uint64)
+        part = eight[start[live] + k] & (_FULL >> (np.uint64(64) - left * np.uint64(8)))
+        h[live] = mixed(h[live] ^ part * np.uint64(_LANES[lane])) * np.uint64(0x9FB21C651E98DF25)
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8, salt=bytes([lane])).digest(), "little")
+    return start, h
 
 
 def _segments(texts: list[str | None]) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
@@ -68,11 +70,11 @@ def _segments(texts: list[str | None]) -> Iterator[tuple[bytes, list[tuple[int,
         yield b"\n".join(held), places
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, text after text, and the number of words of each text."""
+def word_hashes(texts: list[str | None], lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, text after text, and the number of words of each text. Each lane (0 or 1) is a hash of its own."""
     parts, n = [], np.zeros(len(texts), np.int64)
     for raw, places in _segments(texts):
-        start, h = _hashes(raw)
+        start, h = _hashes(raw, lane)
         parts.append(h)
         where = np.array([p for _, p in places])
         count = np.bincount(np.searchsorted(where, start, side="right") - 1, minlength=len(places))

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from boxloom.llm import bpe, embeddings, langid, licenses, mixing, ngrams, quality, registry, substrings, suffixes, warc
-from boxloom.llm.common import components, scratch
+from boxloom.llm.common import components, scratch, text_key
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, id long, tk long, node string, label string"
@@ -182,16 +182,54 @@ def test_substrings_against_brute_force(spark):
     assert substrings.dedup(docs.limit(0)).count() == 0
 
 
-def test_index_compacts(spark):
-    index = substrings.FingerprintIndex(spark, most=2)
+def test_index_compacts_and_is_opened_by_its_folder(spark):
+    path = scratch(spark, "kept")
     say = lambda s: " ".join(f"{s}{i}" for i in range(30))
-    for k, text in enumerate([say("a"), say("b"), say("c")]):
-        assert index.add(spark.createDataFrame([(k, text)], "tk long, text string")).count() == 0
-    index.compact()
-    assert len(index.runs) == 1
-    again = index.add(spark.createDataFrame([(9, say("b") + " more")], "tk long, text string"))
-    assert {r["tk"] for r in again.select("tk").distinct().collect()} == {1, 9}
-    index.drop()
+    with substrings.FingerprintIndex(spark, path, most=2) as index:
+        for k, text in enumerate([say("a"), say("b"), say("c"), say("d")]):
+            assert index.add(spark.createDataFrame([(k, text)], "tk long, text string")).count() == 0
+        assert len(index.runs) == 2  # three were merged before the fourth
+    with substrings.FingerprintIndex.open(spark, path) as index:
+        assert (len(index.runs), index.version) == (2, 5)
+        again = index.add(spark.createDataFrame([(9, say("b") + " more")], "tk long, text string"))
+        assert {r["tk"] for r in again.select("tk").distinct().collect()} == {1, 9}
+        index.drop()
+    assert not [r for r in spark.sql("show databases").collect() if r[0].startswith("fingerprints_")]
+
+
+def test_batches_against_kept_history_give_what_one_pass_gives(spark):
+    docs = odd_docs(spark).where("doc_id is not null")
+    want = {tuple(r) for r in substrings.dedup(docs).collect()}
+    path, got = scratch(spark, "kept"), set()
+    for low, high in ((-1, 20), (20, 40), (40, 999)):
+        part, before = (docs.where((F.col("doc_id") > x) & (F.col("doc_id") <= y)) for x, y in ((low, high), (-1, low)))
+        index = substrings.FingerprintIndex(spark, path) if low < 0 else substrings.FingerprintIndex.open(spark, path)
+        with index:
+            got |= {tuple(r) for r in substrings.dedup(part, index=index, history=before).collect()}
+    assert got == want
+
+
+def thue_morse(n=1024):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"{w} {rest}") for i, w in enumerate(thue_morse())], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.dedup(docs).collect()] == [0, 0]
+    few = docs.withColumn("text", F.concat_ws(" ", F.split("text", " ")[0], F.lit("x y z u")))
+    assert [r["n_links"] for r in ngrams.near_duplicates(few).collect()] == [0, 0]
+
+
+def test_the_greatest_id_is_not_null(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(2**63 - 1, text), (None, "x " + text)], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in substrings.dedup(docs).collect()} == {(2**63 - 1, 0), (None, 40)}
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in ngrams.near_duplicates(docs).collect()} == {(2**63 - 1, 2**63 - 1, True), (None, 2**63 - 1, False)}
+    assert {r["doc_id"] for r in suffixes.dedup(docs).collect()} == {2**63 - 1, None}
+    vectors = spark.createDataFrame([(2**63 - 1, [1.0, 0.0]), (None, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(vectors).collect()} == {(2**63 - 1, 1, 2**63 - 1, True), (None, 1, 2**63 - 1, False)}
 
 
 def test_suffixes_against_brute_force(spark, monkeypatch):
@@ -395,14 +433,14 @@ def test_registry():
 
 
 def test_remainders_are_what_dedup_keeps(spark):
-    docs = odd_docs(spark)
-    want = {(order(r["doc_id"]), r["tk"]): r for r in substrings.dedup(docs).collect()}
-    rows = docs.withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
-    got = substrings.remainders(docs.withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))).collect()
-    assert len(got) == sum(w["n_removed"] == 0 or w["n_removed"] < w["n_words"] for w in (want[order(r["doc_id"]), r["_tk"]] for r in rows))
-    texts = {(order(r["doc_id"]), r["_tk"]): r["text"] for r in rows}
+    docs = odd_docs(spark).withColumn("_key", text_key(F.col("text")))
+    want = {(order(r["doc_id"]), bytes(r["key"])): r for r in substrings.dedup(docs).collect()}
+    rows = docs.collect()
+    got = substrings.remainders(docs).collect()
+    assert len(got) == sum(w["n_removed"] == 0 or w["n_removed"] < w["n_words"] for w in (want[order(r["doc_id"]), bytes(r["_key"])] for r in rows))
+    texts = {(order(r["doc_id"]), bytes(r["_key"])): r["text"] for r in rows}
     for r in got:
-        key = (order(r["doc_id"]), r["_tk"])
+        key = (order(r["doc_id"]), bytes(r["_key"]))
         if want[key]["n_removed"]:
             assert hashlib.sha256(r["text"].encode()).hexdigest() == want[key]["kept_sha256"] and r["n_chars"] == len(r["text"])
         else:
