@@ -352,6 +352,7 @@ def test_forward_backward_in_chunks():
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK", 3)
+    monkeypatch.setattr(ngrams, "COLUMNS", 50)
     docs = odd_docs(spark)
     rnd = random.Random(8)
     base = [f"w{rnd.randint(0, 400)}" for _ in range(150)]
@@ -376,9 +377,40 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert ngrams.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_prefixes_shorten_to_the_recall():
-    k = ngrams.prefix_length(0.8, 20, 12, 0.9995)
-    assert 1 - (1 - 0.8**k) ** 20 >= 0.9995 > 1 - (1 - 0.8 ** (k + 1)) ** 20
+def test_prefixes_shorten_until_the_recall():
+    assert ngrams.estimated_recall([0] * 11, 12) == 0
+    assert ngrams.estimated_recall([0] * 9 + [10**6, 10**6], 12) >= ngrams.RECALL  # links of 0.98 and more: the longest prefixes are enough
+    at_the_threshold = [10**6] + [0] * 10
+    assert [n for n in ngrams.LEVELS if ngrams.estimated_recall(at_the_threshold, n) >= ngrams.RECALL] == [5]
+    assert 0.0003 < 1 - ngrams.found_chance(0.8, 5) < 0.0004
+
+
+@pytest.mark.parametrize("levels", [(12, 8, 6, 5), (6, 4), (3,)])
+def test_each_pair_counts_at_one_length(spark, monkeypatch, levels):
+    rnd = random.Random(9)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{rnd.randint(0, 400)}" for _ in range(120)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(120)] = "new%d" % rnd.randint(0, 99)
+            texts.append(" ".join(w))
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in map(str.split, texts)]
+    want = {i: sum(j != i and len(sets[i] & s) / len(sets[i] | s) >= 0.8 for j, s in enumerate(sets)) for i in range(len(texts))}
+    got = {r["doc_id"]: r["n_links"] for r in ngrams.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), levels=levels, recall=2.0).collect()}
+    assert got == want
+
+
+def test_recall_against_brute_force_for_every_hundredth_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], WORD.findall(r["text"] or "")) for r in docs.collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in rows}
+    asked = [i for i in sets if i % 100 == 0 or i % 7 == 0]
+    want = {i: sum(j != i and len(sets[i] & s) >= 0.8 * len(sets[i] | s) for j, s in sets.items() if s and sets[i]) for i in asked}
+    got = {r["doc_id"]: r["n_links"] for r in ngrams.near_duplicates(docs).collect()}
+    assert all(got[i] <= want[i] for i in asked)
+    assert sum(got[i] for i in asked) >= 0.99 * sum(want.values()) > 0
 
 
 def test_components(spark):
