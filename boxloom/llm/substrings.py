@@ -10,14 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_batches, given, later, order_of, remove, scratch, stored, table, text_key, words
+from .common import LAST_ID, WORD, arrow_batches, given, later, order_of, remove, scratch, stored, table, text_key, words
 from .text import runs, word_hashes
 
 #: Words of a window; words of the run that stands for a window in the index; batches of a whole table; runs before compaction.
 WINDOW, RUN, BATCHES, RUNS = 13, 4, 3, 1
+#: A fingerprint that so many texts share or fewer has so few rows for each of its windows; those of more are split.
+FEW = 256
 #: What tells rows apart: the id and 64 bits of the text's key.
 ROW = ["id", "none", "tk"]
 _WORDS = regex.compile(WORD)
@@ -142,9 +144,15 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """Merges the runs into one once there are more than `most`."""
+        """Merges the runs into one once there are more than `most`, bucket by bucket: a union of tables of the same buckets is dealt as they are, so no row moves."""
         if len(self.runs) > self.most:
-            merged = self._put(functools.reduce(DataFrame.unionAll, [self._table(x) for x in self.runs]))
+            setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+            was = self.spark.conf.get(setting)
+            self.spark.conf.set(setting, "false")  # reads buckets as such although no join asks for them
+            try:
+                merged = self._put(functools.reduce(DataFrame.unionAll, [self._table(x).where("g is not null") for x in self.runs]))
+            finally:
+                self.spark.conf.set(setting, was)
             old, self.runs = self.runs, [merged]
             self._record()
             for name in old:
@@ -241,9 +249,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: int =
 
     Batches in order of doc_id enter the index one after another. Only fingerprints that two different texts share are
     looked at again: the smallest document of each text has the words of those windows digested (128 bits of BLAKE2b), and
-    windows that a smaller document also has are removed. A window is one row per Arrow batch and meets the one row that
-    has its smallest document, so one that very many texts share fills no task. Other documents of the same text lose
-    all, as their windows all start in the smallest.
+    windows that a smaller document also has are removed. Windows of a fingerprint that more than FEW texts share are
+    combined before the shuffle, and the one row that is left meets theirs in a join that AQE can split, so one that very
+    many texts share fills no task. Other documents of the same text lose all, as their windows all start in the smallest.
 
     With an `index` that has `history` (doc_id, text: all that was added before), docs are one more batch of it: they lose
     windows to documents of either, and only their rows are returned.
@@ -300,7 +308,7 @@ def _found(
     try:
         if index is None and batches > 1:
             cuts = sizes.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)
-            bounds = [None, *sorted({int(x) for x in cuts}), None]
+            bounds = [None, *sorted({min(int(x), LAST_ID - 1) for x in cuts}), None]
         else:
             bounds = [None, None]
         shared = None
@@ -311,19 +319,28 @@ def _found(
     finally:
         if index is None:
             own.drop()
-    wanted = shared.groupBy("tk").agg(F.array_sort(F.collect_set("g")).alias("gs")).join(least.withColumn("tk", F.xxhash64("key")), "tk")
-    wanted = stored(wanted.select(F.col("least").alias("id"), F.col("least_none").alias("none"), "tk", "gs"), "shared")
+    many = shared.groupBy("g").agg((F.count("*") > FEW).alias("many"))
+    sets = [F.array_sort(F.collect_set(F.when(c, F.col("g")))).alias(name) for name, c in (("few", ~F.col("many")), ("many", F.col("many")))]
+    wanted = shared.join(many, "g").groupBy("tk").agg(*sets).join(least.withColumn("tk", F.xxhash64("key")), "tk")
+    wanted = stored(wanted.select(F.col("least").alias("id"), F.col("least_none").alias("none"), "tk", "few", "many"), "shared")
 
-    seen = rows.select(*ROW, "text").join(wanted, ROW).select(*ROW, "text", "gs")
+    asked = rows.select(*ROW, "text").join(wanted, ROW)
     place = "struct<id:long,none:boolean,tk:long,place:int>"
-    seen = seen.mapInArrow(functools.partial(_windows, window=window, run=run), f"a long, b long, id long, none boolean, tk long, place int, more array<{place}>")
-    # one row per window, combined before the shuffle, meets its rows: a window that very many texts share is split by AQE
+
+    def seen(which: str) -> DataFrame:
+        some = asked.where(F.size(which) > 0).select(*ROW, "text", F.col(which).alias("gs"))
+        return some.mapInArrow(functools.partial(_windows, window=window, run=run), f"a long, b long, id long, none boolean, tk long, place int, more array<{place}>")
+
     low, high = (lambda c, f=f, g=g: f(c, g(f"more.{c}")) for f, g in ((F.least, F.array_min), (F.greatest, F.array_max)))
-    ends = [F.min(low("id")).alias("lo"), F.min(low("none")).alias("lo_none"), F.max(high("id")).alias("hi"), F.max(high("none")).alias("hi_none")]
-    spans = seen.groupBy("a", "b").agg(*ends).where(later(F.col("hi"), F.col("hi_none"), F.col("lo"), F.col("lo_none"))).select("a", "b", "lo", "lo_none")
+    ends = {"lo": F.min(low("id")), "lo_none": F.min(low("none")), "hi": F.max(high("id")), "hi_none": F.max(high("none"))}
+    apart = later(F.col("hi"), F.col("hi_none"), F.col("lo"), F.col("lo_none"))
+    # windows of few texts are dealt once and meet in their group; those of many are combined before the shuffle to one row, which meets all of theirs
+    by = Window.partitionBy("a", "b")
+    few = seen("few").withColumns({c: x.over(by) for c, x in ends.items()}).where(apart)
+    spans = seen("many").groupBy("a", "b").agg(*[x.alias(c) for c, x in ends.items()]).where(apart)
+    met = few.unionByName(seen("many").join(spans, ["a", "b"])).select("lo", "lo_none", *ROW, "place", "more")
     each = F.concat(F.array(F.struct(*ROW, "place")), F.coalesce("more", F.array().cast(f"array<{place}>")))
-    met = seen.join(spans, ["a", "b"]).select("lo", "lo_none", F.explode(each).alias("w"))
-    met = met.where(later(F.col("w.id"), F.col("w.none"), F.col("lo"), F.col("lo_none")))
+    met = met.select("lo", "lo_none", F.explode(each).alias("w")).where(later(F.col("w.id"), F.col("w.none"), F.col("lo"), F.col("lo_none")))
     places = met.select("w.*").groupBy(*ROW).agg(F.collect_set("place").alias("places"))
     return rows, sizes, least, places
 

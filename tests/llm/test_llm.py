@@ -129,14 +129,15 @@ def test_licenses_by_canonical_text(spark):
     assert got[3][1] == ["CC-BY-NC-4.0"]
 
 
-def test_embeddings_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small", [{}, {"GROUP": 64, "HOME": 32, "MEMBER": 40, "PRODUCTS": 500}])
+def test_embeddings_against_brute_force(spark, monkeypatch, small):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(12, 8))
     v = [(centers[i % 12] + rng.normal(size=8) * 0.15).astype(np.float32).tolist() for i in range(500)] + [[0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] * 8, [], None, [1.0, 2.0], [2.0, 4.0], [1.0, None]]
     v += [v[3], v[3], [2 * x for x in v[4]]]
     rows = [(i * 2 + 1, x, 0) for i, x in enumerate(v)] + [(None, v[3], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    for name, x in (("CELL", 64), ("HOME", 32), ("BLOCK", 16)):
+    for name, x in small.items():
         monkeypatch.setattr(embeddings, name, x)
     ok = [i for i, (_, x, _) in enumerate(rows) if x and all(y is not None and np.isfinite(y) for y in x) and any(x)]
     link = collections.defaultdict(set)
@@ -156,6 +157,18 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cells_of_clustered_vectors_border_on_few(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16))
+    v = np.repeat(centers, 50, axis=0) + rng.normal(size=(2000, 16)) * 0.05
+    named = spark.createDataFrame(list(enumerate(v.tolist())), "id long, v array<double>").mapInArrow(embeddings._named, "id long, v array<double>, node binary")
+    cells = embeddings._cells(named.cache(), np.arccos(0.95))[16]
+    assert len(cells.pivots) == 45 and len(cells.members) == 8
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = cells.borders(np.arccos(np.clip(u @ cells.pivots.T, -1, 1)), np.arccos(0.95))[1]
+    assert near.sum() < 2 * len(v)  # of 8 groups
+
+
 def test_different_vectors_that_share_an_id(spark):
     rows = [(None, [1.0, 0.1]), (None, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [-1.0, 0.0]), (3, [-1.0, 0.1])]
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
@@ -164,7 +177,9 @@ def test_different_vectors_that_share_an_id(spark):
     ]
 
 
-def test_substrings_against_brute_force(spark):
+@pytest.mark.parametrize("few", [256, 2])
+def test_substrings_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(substrings, "FEW", few)
     docs = odd_docs(spark)
     rows = [(order(i), WORD.findall(t)) for i, t in collected(docs)]
     first = {}
@@ -189,6 +204,8 @@ def test_index_compacts_and_is_opened_by_its_folder(spark):
         for k, text in enumerate([say("a"), say("b"), say("c"), say("d")]):
             assert index.add(spark.createDataFrame([(k, text)], "tk long, text string")).count() == 0
         assert len(index.runs) == 2  # three were merged before the fourth
+        files = index._table(index.runs[0]).inputFiles()
+        assert len({re.search(r"_(\d{5})\.", f)[1] for f in files}) == len(files)  # one file for each bucket
     with substrings.FingerprintIndex.open(spark, path) as index:
         assert (len(index.runs), index.version) == (2, 5)
         again = index.add(spark.createDataFrame([(9, say("b") + " more")], "tk long, text string"))
