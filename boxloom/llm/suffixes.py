@@ -8,19 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, arrow_batches, groups_of, stored, table
+from .common import arrow_batches, given, groups_of, order_of, stored, table, text_key
 from .text import mixed
 
 #: Bytes of a repeated string; bytes of the grams that say which strings may be equal.
 LENGTH, GRAM = 200, 32
-#: Bytes of a suffix array; a group of contexts of more bytes is split by string instead.
-ARRAY = 1 << 20
+#: Bytes of a suffix array. A group of contexts of more bytes is cut into ranges of so many starts, then of so many.
+ARRAY, RANGES = 1 << 20, (16, 1)
 #: Bytes of a text that are hashed together.
 SEGMENT = 512 << 10
 _FACTOR = 0x9E3779B97F4A7C15 | 5
+_ROW = ["id", "none", "tk"]
 
 
 def _grams(b: np.ndarray, k: int) -> np.ndarray:
@@ -208,11 +209,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
     for batch in batches:
         raws = batch.column("raw").to_pylist()
         shared = batch.column("gs")
-        ids, tk, held, size = batch.column("id").to_pylist(), batch.column("tk").to_pylist(), [], 0
+        ids, none, tk = (batch.column(c).to_pylist() for c in _ROW)
+        held, size = [], 0
         sets = [x.values.to_numpy() for x in shared]
         rows: dict[tuple, list] = {}
         done = 0
-        for text, first, last, _, g in anchors(raws, length, gram):
+        for text, first, last, at, g in anchors(raws, length, gram):
             cut = np.searchsorted(text, np.arange(len(raws) + 1))
             for i in np.unique(text).tolist():
                 if i != done:
@@ -220,13 +222,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                     rows, done = {}, i
                 some = np.arange(cut[i], cut[i + 1])
                 some = some[np.isin(g[some], sets[i])]
-                for a, z, gram_hash in zip(first[some].tolist(), last[some].tolist(), g[some].tolist()):
+                for a, z, p, gram_hash in zip(first[some].tolist(), last[some].tolist(), at[some].tolist(), g[some].tolist()):
                     body = raws[i][a : z + length]
                     if (row := rows.get(body)) is not None:
-                        row[5].append(a)
+                        row[6].append(a)
                         continue
-                    key = hashlib.blake2b(body, digest_size=16).digest()
-                    rows[body] = [gram_hash, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), ids[i], tk[i], [a], z - a + 1, body]
+                    rows[body] = [gram_hash, *_digest(body), ids[i], none[i], tk[i], [a], z - a + 1, p - a, body]
                     size += len(body) + 64
                 if size > 4 << 20:
                     held += rows.values()
@@ -237,11 +238,41 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             yield _batch(held)
 
 
-_CONTEXT = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("id", pa.int64()), ("tk", pa.int64()), ("starts", pa.list_(pa.int64())), ("strings", pa.int64()), ("body", pa.binary())])
+_LONG = pa.int64()
+_CONTEXT = pa.schema(
+    [("g", _LONG), ("c1", _LONG), ("c2", _LONG), ("id", _LONG), ("none", pa.bool_()), ("tk", _LONG), ("starts", pa.list_(_LONG)), ("strings", _LONG), ("anchor", _LONG), ("body", pa.binary())]
+)
+_PIECE = pa.schema([("c1", _LONG), ("c2", _LONG), ("base", _LONG), ("g", _LONG), ("p1", _LONG), ("p2", _LONG), ("strings", _LONG), ("anchor", _LONG), ("body", pa.binary())])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _CONTEXT)], schema=_CONTEXT)
+def _batch(rows: list[tuple], schema: pa.Schema = _CONTEXT) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _digest(body: bytes) -> tuple[int, int]:
+    key = hashlib.blake2b(body, digest_size=16).digest()
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Contexts of a large group, cut into pieces of up to `wide` strings that start at given distances before the anchor.
+
+    Equal strings start at equal distances, and all strings of a range of distances share the bytes from the latest start
+    to the earliest end. So a piece's new group is that range with those bytes: pieces of other groups hold no equal string.
+    """
+    for batch in batches:
+        rows = []
+        for g, c1, c2, n, anchor, body in zip(*(batch.column(c).to_pylist() for c in ("g", "c1", "c2", "strings", "anchor", "body"))):
+            for r in range((anchor - n + 1) // wide, anchor // wide + 1):
+                late, early = anchor - r * wide, anchor - (r + 1) * wide + 1  # the latest and earliest start of the range
+                low, high = max(0, early), min(n - 1, late)
+                piece, core = body[low : high + length], body[late : early + length]
+                rows.append((c1, c2, low, _digest(f"{g} {r} ".encode() + core)[0], *_digest(piece), high - low + 1, anchor - low, piece))
+                if len(rows) == 4096:
+                    yield _batch(rows, _PIECE)
+                    rows = []
+        if rows:
+            yield _batch(rows, _PIECE)
 
 
 def _ranges(starts: np.ndarray) -> np.ndarray:
@@ -280,15 +311,6 @@ def _factors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield solved(held)
 
 
-def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every string of the contexts of a large group, as a 128-bit hash and its place."""
-    for batch in batches:
-        for c1, c2, n, body in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "strings", "body"))):
-            keys = [hashlib.blake2b(body[i : i + length], digest_size=16).digest() for i in range(n)]
-            ab = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c1)), pa.array(np.full(n, c2)), pa.array(np.arange(n)), pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["c1", "c2", "first", "a", "b"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """What is left of each text without the bytes of the strings that start in its runs, and the number of spans removed."""
     for batch in batches:
@@ -307,7 +329,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             left.append(b"".join(raw[s:e] for s, e in zip([0, *z.tolist()], [*a.tolist(), len(raw)])))
             removed.append(int((z - a).sum()))
             spans.append(len(a))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(left, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["id", "tk", "left", "removed", "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ROW), pa.array(left, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*_ROW, "left", "removed", "spans"])
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -315,60 +337,79 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     Removes each UTF-8 byte covered by a string of `length` bytes that also starts anywhere else, in the same text or
     another; overlaps count, and strings are judged on the input. Null texts are empty; matches never cross texts; rows
-    that repeat a doc_id are texts of their own, so a row that occurs twice is removed. An empty table gives no row.
+    that repeat a doc_id are texts of their own, so a row that occurs twice is removed. An empty table gives no row; other
+    columns are not read, whatever their names. A text is held whole by the task that reads it; its anchors come in parts.
 
     Equal strings have an anchor of equal hash, so only strings whose anchor occurs twice are compared: their contexts
     (each distinct one once) meet by anchor in suffix arrays of bounded size, and a string occurs again where its longest
     previous or next factor reaches `length`. An anchor with more bytes of different contexts than ARRAY (a passage that
-    very many texts share, at its ends) is split by string instead: 128-bit hashes are counted, combined before the
-    shuffle. Texts that occur twice are removed whole; one of each stands for them.
+    very many texts share, at its ends) is cut into ranges of starts, each with the bytes that all its strings share, which
+    are such groups again, down to ranges of one string. Texts that occur twice are removed whole; one of each stands for
+    them. Texts and contexts are taken as equal by 128 bits of SHA-256 and BLAKE2b.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")
-    )
-    sizes = stored(rows.select("id", "tk", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("whole")), "sizes")
-    texts = sizes.groupBy("tk").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    rows = docs.select(*order_of(F.col("doc_id")), text_key(F.col("text")).alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).withColumn("tk", F.xxhash64("key"))
+    sizes = stored(rows.select("id", "none", "key", "tk", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("whole")), "sizes")
+    texts = sizes.groupBy("key").agg(F.min("id").alias("id"), F.min("none").alias("none"), F.count("*").alias("copies"))
 
     found = rows.select("tk", "raw").mapInArrow(functools.partial(_fingerprints, length=length, gram=gram), "g long, tk long, more array<long>, again boolean")
-    by = Window.partitionBy("g")
-    top = F.greatest("tk", F.array_max(F.coalesce("more", F.array("tk"))))
-    found = found.withColumn("lo", F.min(F.least("tk", F.array_min(F.coalesce("more", F.array("tk"))))).over(by)).withColumn("hi", F.max(top).over(by)).withColumn("twice", F.max("again").over(by))
-    shared = found.where("lo < hi or twice").select("g", F.explode(F.concat(F.array("tk"), F.coalesce("more", F.array().cast("array<long>")))).alias("tk"))
-    wanted = stored(shared.groupBy("tk").agg(F.collect_set("g").alias("gs")).join(texts, "tk").select("id", "tk", "gs"), "shared")
-
-    one = rows.join(wanted, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("id", "tk", "raw", "gs")
-    contexts = one.mapInArrow(functools.partial(_contexts, length=length, gram=gram), "g long, c1 long, c2 long, id long, tk long, starts array<long>, strings long, body binary")
+    # combined before the shuffle to one row, which meets all rows of its gram: a gram that very many texts have is split by AQE
+    low, high = F.min(F.least("tk", F.array_min("more"))), F.max(F.greatest("tk", F.array_max("more")))
+    spans = found.groupBy("g").agg(low.alias("lo"), high.alias("hi"), F.max("again").alias("twice")).where("lo < hi or twice").select("g")
+    shared = found.join(spans, "g").select("g", F.explode(F.concat(F.array("tk"), F.coalesce("more", F.array().cast("array<long>")))).alias("tk"))
+    wanted = shared.groupBy("tk").agg(F.collect_set("g").alias("gs")).join(texts.withColumn("tk", F.xxhash64("key")), "tk")
+    wanted = stored(wanted.select(*_ROW, "gs"), "shared")
+
+    one = rows.join(wanted, _ROW).dropDuplicates(_ROW).select(*_ROW, "raw", "gs")
+    contexts = one.mapInArrow(
+        functools.partial(_contexts, length=length, gram=gram), "g long, c1 long, c2 long, id long, none boolean, tk long, starts array<long>, strings long, anchor long, body binary"
+    )
     contexts = stored(contexts, "contexts")
     context = ["g", "c1", "c2"]
     light = contexts.select(*context, "strings", F.size("starts").alias("k"), F.octet_length("body").cast("long").alias("len"))
     each = light.groupBy(*context).agg(F.sum("k").alias("n"), F.max("strings").alias("strings"), F.max("len").alias("len"))
     groups = each.groupBy("g").agg(F.count("*").alias("many"), F.sum("len").alias("bytes")).where("many > 1")
     wanted = each.join(groups, "g").select(*context, "bytes")
-    distinct = contexts.groupBy(*context).agg(F.any_value("strings").alias("strings"), F.any_value("body").alias("body"))
+    distinct = contexts.groupBy(*context).agg(*[F.any_value(c).alias(c) for c in ("strings", "anchor", "body")])
     met = distinct.join(wanted, context)  # by the keys that distinct is dealt by, so that bodies stay where they are
-    arrays = met.where(F.col("bytes") <= ARRAY).select("g", "c1", "c2", "strings", "body").repartition("g").sortWithinPartitions("g")
-    in_arrays = arrays.mapInArrow(functools.partial(_factors, length=length), "c1 long, c2 long, first long, last long")
-    strings = met.where(F.col("bytes") > ARRAY).select("c1", "c2", "strings", "body").mapInArrow(functools.partial(_strings, length=length), "c1 long, c2 long, first long, a long, b long")
-    repeated = strings.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-    in_strings = strings.join(repeated, ["a", "b"]).select("c1", "c2", "first", F.col("first").alias("last"))
     whole = each.where("n > 1").select("c1", "c2", F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).alias("last"))
-    again = in_arrays.unionAll(in_strings).unionAll(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    again = _repeats(met, length, RANGES).unionAll(whole).groupBy("c1", "c2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
-    placed = contexts.select("c1", "c2", "id", "tk", "starts").join(again, ["c1", "c2"]).groupBy("id", "tk").agg(F.collect_list(F.struct("starts", "runs")).alias("contexts"))
-    cut = rows.join(placed, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("id", "tk", "raw", "contexts")
-    cut = cut.mapInArrow(functools.partial(_cut, length=length), "id long, tk long, left binary, removed long, spans long").select("id", "tk", "removed", "spans", "left", F.sha2("left", 256).alias("rest"))
+    placed = contexts.select("c1", "c2", *_ROW, "starts").join(again, ["c1", "c2"]).groupBy(*_ROW).agg(F.collect_list(F.struct("starts", "runs")).alias("contexts"))
+    cut = rows.join(placed, _ROW).dropDuplicates(_ROW).select(*_ROW, "raw", "contexts")
+    cut = cut.mapInArrow(functools.partial(_cut, length=length), "id long, none boolean, tk long, left binary, removed long, spans long").select(*_ROW, "removed", "spans", "left", F.sha2("left", 256).alias("rest"))
 
-    of = sizes.join(texts.select("tk", "copies"), "tk").join(cut, ["id", "tk"], "left")
+    of = sizes.join(texts.select("key", "copies"), "key").join(cut, _ROW, "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return of.select(
-        F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        given(F.col("id"), F.col("none")).alias("doc_id"), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("rest", "whole")).alias("kept_sha256"), F.when(copy, F.lit(b"")).otherwise(F.col("left")).alias("kept"),
     )
 
 
+def _repeats(met: DataFrame, length: int, ranges: tuple[int, ...]) -> DataFrame:
+    """(c1, c2, first, last): runs of strings that occur again, from distinct contexts (g, c1, c2, strings, anchor, body) and the bytes of their groups."""
+    arrays = met.where(F.col("bytes") <= ARRAY).select("g", "c1", "c2", "strings", "body").repartition("g").sortWithinPartitions("g")
+    runs = arrays.mapInArrow(functools.partial(_factors, length=length), "c1 long, c2 long, first long, last long")
+    if not ranges:  # pieces of one string: groups have but one body
+        return runs
+    large = met.where(F.col("bytes") > ARRAY).select("g", "c1", "c2", "strings", "anchor", "body")
+    schema = "c1 long, c2 long, base long, g long, p1 long, p2 long, strings long, anchor long, body binary"
+    pieces = stored(large.mapInArrow(functools.partial(_pieces, length=length, wide=ranges[0]), schema), "pieces")
+    if pieces.isEmpty():
+        return runs
+    own = ["g", "p1", "p2"]
+    distinct = pieces.groupBy(*own).agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("strings", "anchor", "body")])
+    groups = distinct.groupBy("g").agg(F.count("*").alias("many"), F.sum(F.octet_length("body")).cast("long").alias("bytes")).where("many > 1")
+    inner = _repeats(distinct.join(groups, "g").select("g", F.col("p1").alias("c1"), F.col("p2").alias("c2"), "strings", "anchor", "body", "bytes"), length, ranges[1:])
+    whole = distinct.where("n > 1").select("p1", "p2", F.lit(0).cast("long").alias("first"), (F.col("strings") - 1).alias("last"))
+    inner = inner.select(F.col("c1").alias("p1"), F.col("c2").alias("p2"), "first", "last").unionAll(whole)
+    met = pieces.select("c1", "c2", "base", "p1", "p2").join(inner, ["p1", "p2"])
+    return runs.unionAll(met.select("c1", "c2", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("kept")
 

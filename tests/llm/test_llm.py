@@ -262,7 +262,7 @@ def test_suffixes_against_brute_force(spark, monkeypatch):
                 hit[k + 200] -= 1
         gone = np.cumsum(hit)[:-1] > 0
         want.append((i, len(b), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    for most in (1 << 20, 300):
+    for most in (1 << 20, 900, 300):
         monkeypatch.setattr(suffixes, "ARRAY", most)
         got = sorted((order(r["doc_id"]), *tuple(r)[1:5]) for r in suffixes.dedup(docs).collect())
         assert got == sorted(want)
