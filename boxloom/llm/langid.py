@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow_batches, table
 
-#: The sample that the model is fitted on: so many documents of each language at most, of so many characters at most.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 150, 8000, 64
+#: The sample that the model is fitted on: so many documents of each language at most and so many in all (but one of each), a part of so many characters of each.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 150, 9600, 8000
+#: Lots that a label's documents are drawn from before the last draw.
+LOTS = 64
 #: Feature slots, steps of the fit, its rate and L2 penalty, and words of a training sequence.
 SLOTS, STEPS, RATE, PENALTY, SEQUENCE = 1 << 17, 40, 0.15, 1e-4, 96
-#: Words of a chunk in forward-backward; words whose scores a task remembers.
-CHUNK, REMEMBERED = 128, 150_000
+#: Words of a chunk in forward-backward, of a piece of a long text; words whose scores a task remembers.
+CHUNK, PIECE, REMEMBERED = 128, 1 << 15, 150_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -27,6 +31,13 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def pieces_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, PIECE at a time."""
+    found = (m[0] for m in _LETTERS.finditer(text.lower()))
+    while piece := list(itertools.islice(found, PIECE)):
+        yield piece
+
+
 def slots(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions in `words`, slots): a matrix of feature slots for the words of each width; slot 0 stands for none."""
     size = np.array([len(w) for w in words])
@@ -129,11 +140,21 @@ def _expected(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.nda
     return marginal, (pairs / pairs.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
 
 
-def mean_marginals(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _norm(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _opening(a: np.ndarray) -> np.ndarray:
+    """The first word has no transition: its vector before the step matrix solves v @ a = 1."""
+    return np.linalg.solve(a.T, np.ones(len(a))) if np.linalg.cond(a) < 1e12 else np.ones(len(a))
+
+
+def mean_marginals(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray, entering: np.ndarray | None = None, leaving: np.ndarray | None = None) -> np.ndarray:
     """Mean marginal of each label over the words of each text; texts of `sizes` words (1 or more) stand one after another.
 
     Forward-backward in chunks: products of the step matrices carry vectors from chunk to chunk, then all chunks run at
-    once, so the number of array steps doesn't depend on the longest text.
+    once, so the number of array steps doesn't depend on the longest text. One piece of a longer text has the vectors
+    that enter it from the left (null for the first) and from the right.
     """
     k, a = scores.shape[1], np.exp(moves - moves.max())
     psi = np.exp(scores.astype(float) - scores.max(axis=1, keepdims=True))
@@ -147,42 +168,74 @@ def mean_marginals(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) ->
     begin, live = begin[order], np.searchsorted(-size[order], -np.arange(1, CHUNK + 1), side="right")
     place = np.empty(len(order), int)
     place[order] = np.arange(len(order))
-    norm = lambda x: x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
-    product = np.tile(np.eye(k), (len(text), 1, 1))
-    for t in range(CHUNK):
-        if n := live[t]:
-            product[:n] = norm(product[:n] @ a * psi[begin[:n] + t][:, None, :])
+    product = _products(psi, a, begin, live)
     into, back = np.ones((len(text), k)), np.ones((len(text), k))  # what enters a chunk from the left and from the right
+    into[place[first]] = _opening(a) if entering is None else entering
+    if leaving is not None:
+        back[place[first + chunks - 1]] = leaving
     by_length = np.argsort(-chunks, kind="stable")
     many = np.searchsorted(-chunks[by_length], -np.arange(1, int(chunks.max()) + 1), side="right")
-    # the first word has no transition: its vector before the step matrix solves v @ a = 1
-    opening = np.linalg.solve(a.T, np.ones(k)) if np.linalg.cond(a) < 1e12 else None
     for c in range(int(chunks.max()) - 1):
         d = first[by_length[: many[c + 1]]] + c
-        entering = into[place[d]]
-        if c == 0 and opening is not None:
-            entering = np.tile(opening, (len(d), 1))
-        into[place[d + 1]] = norm(np.maximum(np.einsum("na,nab->nb", entering, product[place[d]]), 1e-300))
+        into[place[d + 1]] = _norm(np.maximum(np.einsum("na,nab->nb", into[place[d]], product[place[d]]), 1e-300))
     for c in range(int(chunks.max()) - 1, 0, -1):
         d = first[by_length[: many[c]]] + c
-        back[place[d - 1]] = norm(np.einsum("nab,nb->na", product[place[d]], back[place[d]]))
+        back[place[d - 1]] = _norm(np.einsum("nab,nb->na", product[place[d]], back[place[d]]))
     alpha = np.empty_like(psi)
-    fresh = nth[order] == 0
+    fresh = (nth[order] == 0) & (entering is None)
     now = into
     for t in range(CHUNK):
         if n := live[t]:
             step = now[:n] @ a
             if t == 0:
                 step[fresh[:n]] = 1.0
-            now[:n] = norm(step * psi[begin[:n] + t])
+            now[:n] = _norm(step * psi[begin[:n] + t])
             alpha[begin[:n] + t] = now[:n]
     beta, now = np.empty_like(psi), back
     for t in range(CHUNK - 1, -1, -1):
         if n := live[t]:
             at = begin[:n] + t
             beta[at] = now[:n]
-            now[:n] = norm((psi[at] * now[:n]) @ a.T)
-    return np.add.reduceat(norm(alpha * beta), start, axis=0) / sizes[:, None]
+            now[:n] = _norm((psi[at] * now[:n]) @ a.T)
+    return np.add.reduceat(_norm(alpha * beta), start, axis=0) / sizes[:, None]
+
+
+def _products(psi: np.ndarray, a: np.ndarray, begin: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Of each chunk, the product of its step matrices; live[t] chunks, the first in order, have more than t words."""
+    product = np.tile(np.eye(len(a)), (len(begin), 1, 1))
+    for t in range(CHUNK):
+        if n := live[t]:
+            product[:n] = _norm(product[:n] @ a * psi[begin[:n] + t][:, None, :])
+    return product
+
+
+def mean_of_long(text: str, score: Callable[[list[str]], np.ndarray], moves: np.ndarray) -> np.ndarray:
+    """mean_marginals() of one text in pieces, read twice: products of the pieces' step matrices first, then marginals piece by piece."""
+    a = np.exp(moves - moves.max())
+    steps = []
+    for piece in pieces_of(text):
+        scores = score(piece).astype(float)
+        begin = np.arange(0, len(piece), CHUNK)
+        size = np.minimum(CHUNK, len(piece) - begin)
+        live = np.searchsorted(-size, -np.arange(1, CHUNK + 1), side="right")
+        whole = np.eye(len(a))
+        for product in _products(np.exp(scores - scores.max(axis=1, keepdims=True)), a, begin, live):
+            whole = whole @ product
+            whole /= whole.sum()
+        steps.append(whole)
+    entering, leaving = [_opening(a)], [np.ones(len(a))]
+    for step in steps[:-1]:
+        x = np.maximum(entering[-1] @ step, 1e-300)
+        entering.append(x / x.sum())
+    for step in steps[:0:-1]:
+        x = step @ leaving[-1]
+        leaving.append(x / x.sum())
+    total, n = np.zeros(len(a)), 0
+    for i, (piece, last) in enumerate(zip(pieces_of(text), leaving[::-1])):
+        size = np.array([len(piece)])
+        total += mean_marginals(score(piece), moves, size, entering[i] if i else None, last)[0] * len(piece)
+        n += len(piece)
+    return total / n
 
 
 class _Scorer:
@@ -203,18 +256,24 @@ class _Scorer:
 
 def _label(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     scorer = _Scorer(model.value)
+    moves = scorer.crf.moves
     labels = np.array([*scorer.crf.labels, UNKNOWN], object)
     for batch in batches:
-        found = [words_of(t) for t in batch.column("_text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        long = [i for i, t in enumerate(texts) if t and len(t) > PIECE]
+        found = [[] if i in long else words_of(t) for i, t in enumerate(texts)]
         sizes = np.array([len(w) for w in found])
         has = np.flatnonzero(sizes) if len(labels) > 1 else np.array([], int)
         best, score = np.full(len(found), len(labels) - 1), np.zeros(len(found))
+        means = {}
         if len(has):
-            mean = mean_marginals(scorer([x for i in has for x in found[i]]), scorer.crf.moves, sizes[has])
-            best[has] = mean.argmax(axis=1)
-            score[has] = np.clip(mean.max(axis=1), 0, 1)
-        rest = batch.drop_columns(["_text"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(labels[best], pa.string()), pa.array(score)], [*rest.schema.names, "lang_pred", "score"])
+            means = dict(zip(has.tolist(), mean_marginals(scorer([x for i in has for x in found[i]]), moves, sizes[has])))
+        for i in long if len(labels) > 1 else []:
+            if _LETTERS.search(texts[i]):
+                means[i] = mean_of_long(texts[i], scorer, moves)
+        for i, mean in means.items():
+            best[i], score[i] = mean.argmax(), np.clip(mean.max(), 0, 1)
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(labels[best], pa.string()), pa.array(score)], ["rest", "lang_pred", "score"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -222,38 +281,49 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Crf:
-    """A CRF fitted on the driver to a bounded sample: docs_each rows of up to `chars` characters of each of the `languages` commonest labels.
+def train(docs: DataFrame, docs_each: int = SAMPLE_DOCS, docs_all: int = SAMPLE_ALL, chars: int = SAMPLE_CHARS) -> Crf:
+    """A CRF fitted on the driver to a bounded sample: docs_each documents of each label, fewer where there are so many labels that docs_all would be exceeded, but one at least.
 
-    Rows that are held out, or without label, id or text, are never drawn. The rows are those of least xxhash64 of the
-    id, so the sample doesn't depend on partitions. Keys are drawn first, and each task keeps its docs_each least of a
-    label before the shuffle; only the texts of drawn keys move.
+    Every label is learned. A document longer than `chars` characters gives a part of so many, at a place that depends on
+    its id. Rows that are held out, or without label, id or text, are never drawn. The rows are those of least xxhash64 of
+    the id, so the sample doesn't depend on partitions. Keys are drawn first, in LOTS lots of a label before all of it, and
+    each task keeps its least before the shuffle, so a frequent label fills no task; only the parts of drawn keys move.
     """
-    free = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(1, chars))
-    common = [r[0] for r in free.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id")
-    keys = free.where(F.col("lang").isin(common)).select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs_each)
-    drawn = free.join(F.broadcast(keys), ["doc_id", "lang"])  # docs_each * languages keys at most
-    at_most = Window.partitionBy("lang").orderBy("_n", F.xxhash64("text"))  # rows that repeat an id
-    rows = sorted(drawn.select("lang", "_n", "text", F.row_number().over(at_most).alias("_k")).where(F.col("_k") <= docs_each).select("lang", "_n", "text").collect())
-    crf = Crf(sorted(common))
-    at = {lang: i for i, lang in enumerate(crf.labels)}
-    crf.fit([words_of(r["text"]) for r in rows], [at[r["lang"]] for r in rows])
+    own = docs.select("doc_id", "lang", "text")
+    free = own.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    labels = [r[0] for r in free.select("lang").distinct().collect()]
+    docs_each = max(1, min(docs_each, docs_all // max(1, len(labels))))
+    at = F.xxhash64(F.col("doc_id").cast("long"))
+    keys = free.select("doc_id", "lang").withColumn("lot", F.pmod(at, F.lit(LOTS)))
+    for by in (("lang", "lot"), ("lang",)):
+        order = Window.partitionBy(*by).orderBy(at, "doc_id")
+        keys = keys.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_each).select("doc_id", "lang", "lot")
+    keys = keys.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(at, "doc_id")).alias("n"))
+    begin = F.when(F.length("text") > chars, F.pmod(at, F.length("text") - chars + 1)).otherwise(0) + 1
+    part = free.withColumn("part", F.substring("text", begin.cast("int"), F.lit(chars)))
+    drawn = part.join(F.broadcast(keys), ["doc_id", "lang"])  # docs_all or one of each label at most
+    at_most = Window.partitionBy("lang", "n").orderBy(F.xxhash64("part"))  # rows that repeat an id
+    rows = sorted(drawn.select("lang", "n", "part", F.row_number().over(at_most).alias("k")).where("k = 1").select("lang", "n", "part").collect())
+    crf = Crf(sorted(labels))
+    index = {lang: i for i, lang in enumerate(crf.labels)}
+    crf.fit([words_of(r["part"]) for r in rows], [index[r["lang"]] for r in rows])
     return crf
 
 
 def predict(docs: DataFrame, crf: Crf, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score (and `keep`) for each row of docs(doc_id, text); reads nothing else of a row.
+    """doc_id, lang_pred, score (and the columns in `keep`, whatever their names) for each row of docs(doc_id, text); reads nothing else of a row.
 
     lang_pred is the label of highest mean marginal over all words of the text, score that mean. Texts that are null or
     without a letter get `und` and 0; so do all if nothing could be learned. Equal texts give equal results; an empty
-    table gives none. Row by row in Arrow batches, no shuffle; the model is broadcast (SLOTS x labels floats).
+    table gives none. Row by row in Arrow batches, no shuffle; the model is broadcast (SLOTS x labels floats). Texts of
+    more than PIECE characters are scored piece by piece, so only the text itself is held as a whole.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = docs.select("doc_id", *keep, F.col("text").alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(functools.partial(_label, model=spark.sparkContext.broadcast(crf)), schema).select("doc_id", "lang_pred", "score", *keep)
+    rows = docs.select(F.struct("doc_id", *[F.col(c) for c in keep]).alias("rest"), "text")
+    schema = StructType([rows.schema["rest"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    found = rows.mapInArrow(functools.partial(_label, model=spark.sparkContext.broadcast(crf)), schema)
+    return found.select("rest.doc_id", "lang_pred", "score", *[F.col(f"rest.`{c}`") for c in keep])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

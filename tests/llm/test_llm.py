@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 from pathlib import Path
@@ -367,6 +368,40 @@ def test_forward_backward_in_chunks():
         at += n
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 100)
+    rng = np.random.default_rng(1)
+    known, moves = {f"{a}{b}": rng.normal(size=4) for a in "abcdefgh" for b in "xyz"}, rng.normal(size=(4, 4)) * 2
+    score = lambda words: np.array([known[w] for w in words])
+    for n in (1, 99, 100, 101, 1234):
+        words = [rng.choice(list(known)) for _ in range(n)]
+        want = langid.mean_marginals(score(words), moves, np.array([n]))[0]
+        assert np.allclose(langid.mean_of_long(" ".join(words), score, moves), want)
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(2)
+    scores, moves = rng.normal(size=(1, 5, 3)), rng.normal(size=(3, 3))
+    marginal, pairs, total = np.zeros((5, 3)), np.zeros((3, 3)), 0
+    for labels in itertools.product(range(3), repeat=5):
+        p = np.exp(sum(scores[0, t, y] for t, y in enumerate(labels)) + sum(moves[a, b] for a, b in zip(labels, labels[1:])))
+        total += p
+        for t, y in enumerate(labels):
+            marginal[t, y] += p
+        for a, b in zip(labels, labels[1:]):
+            pairs[a, b] += p
+    got = langid._expected(scores, moves)
+    assert np.allclose(got[0][0], marginal / total) and np.allclose(got[1], pairs / total)
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, " ".join(f"l{i % 70}w{(i * j) % 11}" for j in range(3000 if i % 70 == 69 else 30)).replace("0", "o"), f"x{i % 70}") for i in range(70 * 6)]
+    rows += [(10**6 + i, "common words of a frequent label", "x0") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = langid.train(docs, docs_all=140, chars=200)
+    assert crf.labels == sorted({r[2] for r in rows})  # 70 labels, one of which only long texts bear
+
+
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "BLOCK", 3)
     monkeypatch.setattr(ngrams, "COLUMNS", 50)
