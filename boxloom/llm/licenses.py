@@ -20,6 +20,22 @@ _ISC_WARRANTY = (
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE."
 )
+_BSD_BINARY = (
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES '
+    "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY "
+    "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, {choice}. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+    "PARTICULAR PURPOSE. See the {kind} for more details. You should have received a copy of the {kind} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
 #: Known licence texts and usual statements (fixed values of public licences).
 KNOWN = (
     (
@@ -42,6 +58,58 @@ KNOWN = (
         'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing '
         "permissions and limitations under the License.",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. " + _BSD_BINARY + _BSD_WARRANTY,
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. " + _BSD_BINARY + "3. Neither the name "
+        "of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written "
+        "permission. " + _BSD_WARRANTY,
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+        "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject "
+        "to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+        "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as "
+        "such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, "
+        "the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and "
+        'future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. "
+        "For more information, please refer to <https://unlicense.org>",
+    ),
+    (
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        'and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare '
+        "derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the "
+        "Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, "
+        "in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code "
+        'generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE "
+        "SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+    ),
+    *(
+        (f"{short}-or-later", _GNU.format(name=f"GNU {kind}General Public License", kind=f"GNU {kind}General Public License", choice=f"either version {version} of the License, or (at your option) any later version"))
+        for short, kind, version in (("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-2.1", "Lesser ", 2.1), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3))
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -51,77 +119,107 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
-#: Spellings that count as the same word (fixed values).
+#: Digests of the canonical forms of long licences' full texts (fixed values; a test computes them from the files that Debian ships in /usr/share/common-licenses).
+DIGESTS = (
+    ("Apache-2.0", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
+    ("Artistic-1.0-Perl", "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86"),
+    ("GFDL-1.3", "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("LGPL-2.0", "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"),
+    ("LGPL-2.1", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+)
+#: Spellings that count as the same, at the start of a word of the canonical form (fixed values).
 SPELLINGS = (
-    ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("noninfringement", "non infringement"),
-    ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("copyright owner", "copyright holder"),
+    ("licenc", "licens"), ("sublicenc", "sublicens"), ("noninfring", "non infring"), ("organis", "organiz"), ("authoris", "authoriz"), ("favour", "favor"),
+    ("copyright([ \n]+)owner", "copyright$2holder"),
 )
 
-
+#: Lines of a copyright notice; titles that stand above a text; what is no word (lines stay apart).
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-TITLE = r"(?m)\A\s*(the )?(mit|isc) licen[cs]e( \((mit|isc)\))?[ \t]*$"
-PUNCTUATION = r"[^\p{L}\p{N}]+"
-#: Lines that may state a licence.
-STATED = r"(?i)licen[cs]e|released|cc0"
+TITLE = r"(?m)\A\s*(the )?(mit|isc|bsd|zlib|bsd [23]-clause|[23]-clause bsd) licen[cs]e( \((mit|isc|bsd)\))?[ \t]*$"
+PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case; without copyright lines, licence titles and punctuation; equal spellings; one space between words."""
+def canonical_lines(text: Column) -> Column:
+    """Lower case, line by line; without copyright lines, licence titles and punctuation; equal spellings; one space between words."""
     x = F.lower(F.coalesce(text, F.lit("")))
     for pattern in (COPYRIGHT, TITLE, PUNCTUATION):
         x = F.regexp_replace(x, pattern, " ")
-    x = F.trim(x)
     for other, same in SPELLINGS:
-        x = F.regexp_replace(x, rf"\b{other}\b", same)
+        x = F.regexp_replace(x, rf"(^|[ \n]){other}", f"$1{same}")
     return x
 
 
+def joined(lines: Column) -> Column:
+    """Canonical lines as one text."""
+    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+
+
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    return F.sha2(joined(canonical_lines(text)), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
-    """(digest, license): a fixed table of len(KNOWN) rows at most, small enough to broadcast."""
-    return spark.createDataFrame(list(known), "license string, body string").select(digest(F.col("body")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: tuple = KNOWN, digests: tuple = DIGESTS) -> DataFrame:
+    """(digest, license): a fixed table of len(known) + len(digests) rows at most, small enough to broadcast."""
+    texts = spark.createDataFrame(list(known), "license string, body string").select(digest(F.col("body")).alias("digest"), "license")
+    return texts.unionAll(spark.createDataFrame([(d, x) for x, d in digests], "digest string, license string")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, digest, license (null if the entire text is no known licence), line_licenses.
 
-    line_licenses lists the licences that single lines state: a line that holds the stem of "licence", "released" or
-    "cc0" is taken as an entire text. Null and empty texts have the digest of the empty text and no licence; equal rows
-    give equal results; an empty table gives none. Row by row, with a hash join to the fixed table of known digests,
-    which is broadcast: no shuffle.
+    line_licenses lists the licences that single lines or paragraphs (lines up to a blank one) are the entire text of. All
+    go through one hash join to the fixed table of known digests, which is broadcast. Null and empty texts have the digest
+    of the empty text and no licence; equal rows give equal results; an empty table gives none; other columns are not
+    read, whatever their names. A text is held whole, with its lines. Texts are not shuffled: what is stated is gathered
+    by doc_id and a digest of the text and joined to the rows' digests.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    fixed = F.create_map(*[F.lit(x) for row in known.select("digest", "license").collect() for x in row])
-    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: x.rlike(STATED))
-    rows = docs.select("doc_id", *keep, digest(F.col("text")).alias("digest"), F.transform(lines, lambda x: fixed[F.sha2(canonical(x), 256)]).alias("_lines"))
-    stated = F.array_sort(F.array_distinct(F.filter("_lines", lambda x: x.isNotNull())))
-    return rows.join(F.broadcast(known.select("digest", "license")), "digest", "left").select("doc_id", "digest", "license", stated.alias("line_licenses"), *keep)
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), canonical_lines(F.col("text")).alias("lines"))
+    paragraphs = F.transform(F.split("lines", r"\n[ ]*(?=\n)"), joined)
+    parts = F.array_distinct(F.concat(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), paragraphs))
+    each = rows.select("doc_id", "key", F.explode(F.filter(parts, lambda x: x != "")).alias("part")).select("doc_id", "key", F.sha2("part", 256).alias("digest"))
+    stated = each.join(F.broadcast(known), "digest").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
+    stated = stated.select(F.col("doc_id").alias("of"), "key", "line_licenses")
+    whole = rows.select("doc_id", "key", F.sha2(joined(F.col("lines")), 256).alias("digest")).join(F.broadcast(known), "digest", "left")
+    out = whole.join(stated, (whole["key"] == stated["key"]) & whole["doc_id"].eqNullSafe(stated["of"]), "left")
+    return out.select("doc_id", "digest", "license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumn("line_licenses", F.concat_ws(",", "line_licenses"))
 
 
-def _sql(text: str) -> str:
-    """canonical() in DuckDB's SQL."""
-    x = f"lower({text})"
-    for pattern, by in ((COPYRIGHT, " "), (TITLE, " "), (PUNCTUATION, " ")):
-        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
-    x = f"trim({x})"
-    for other, same in SPELLINGS:
-        x = f"regexp_replace({x}, '\\b{other}\\b', '{same}', 'g')"
-    return f"sha256({x})"
-
-
-ORACLE = f"""
-with k as (select {_sql("body")} as digest, min(license) as license from (values {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in KNOWN)}) as v(license, body) group by 1),
-d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, {_sql("coalesce(text, '')")} as digest from documents),
-l as (select r, x from (select r, unnest(string_split(text, chr(10))) as x from d) where regexp_matches(x, '{STATED}')),
-s as (select r, string_agg(distinct license, ',' order by license) as line_licenses from l join k on {_sql("x")} = k.digest group by r)
-select doc_id, d.digest, license, coalesce(line_licenses, '') as line_licenses
-from d left join k using (digest) left join s using (r)
+def _sql(line: str) -> str:
+    """The canonical form of a line in DuckDB's SQL, word by word: a copyright line is empty, words are runs of letters and digits."""
+    word = "regexp_replace(w, '^(sub)?licenc', '\\1licens')"
+    for other, same in (("noninfring", "non infring"), ("organis", "organiz"), ("authoris", "authoriz"), ("favour", "favor")):
+        word = f"regexp_replace({word}, '^{other}', '{same}')"
+    words = f"array_to_string(list_transform(regexp_extract_all(lower({line}), '[\\p{{L}}\\p{{N}}]+'), lambda w: {word}), ' ')"
+    return f"case when regexp_matches(lower({line}), '^[^\\p{{L}}\\p{{N}}]*(copyright\\b|\\(c\\)|©|all rights reserved)') then '' else {words} end"
+
+
+_OWNER = "regexp_replace({x}, '(^| )copyright owner', '\\1copyright holder', 'g')"
+ORACLE = rf"""
+with k as (select sha256({_OWNER.format(x=_sql("body"))}) as digest, license from (values {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in KNOWN)}) as v(license, body)
+           union all select * from (values {", ".join("('%s', '%s')" % (d, x) for x, d in DIGESTS)}) as v(digest, license)),
+known as (select digest, min(license) as license from k group by digest),
+d as (select row_number() over () as r, doc_id, lower(coalesce(text, '')) as text from documents),
+-- a title above the text is no part of it
+t as (select r, doc_id, regexp_replace(text, '^\s*(the )?(mit|isc|bsd|zlib|bsd [23]-clause|[23]-clause bsd) licen[cs]e( \((mit|isc|bsd)\))?[ \t]*(\n|$)', chr(10)) as text from d),
+l as (select r, i, {_sql("x")} as x from (select r, unnest(s) as x, generate_subscripts(s, 1) as i from (select r, string_split(text, chr(10)) as s from t))),
+p as (select *, count(*) filter (where x = '') over (partition by r order by i) as paragraph from l),
+parts as (select r, {_OWNER.format(x="x")} as part from l union select r, {_OWNER.format(x="string_agg(x, ' ' order by i)")} from p where x <> '' group by r, paragraph),
+s as (select r, string_agg(distinct license, ',' order by license) as line_licenses from parts join known on sha256(part) = digest where part <> '' group by r),
+w as (select r, sha256({_OWNER.format(x="coalesce(string_agg(x, ' ' order by i) filter (where x <> ''), '')")}) as digest from l group by r)
+select doc_id, w.digest, license, coalesce(line_licenses, '') as line_licenses
+from d join w using (r) left join known on w.digest = known.digest left join s using (r)
 """
 QUERIES, SQL = {"op4_license_digests": query}, {"op4_license_digests": ORACLE}

@@ -123,11 +123,26 @@ def test_quality_rules_by_hand(spark):
 
 
 def test_licenses_by_canonical_text(spark):
-    mit = licenses.KNOWN[0][1]
-    texts = ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.replace(", ", ",\n  "), mit.upper(), mit + " And more.", "Some text.\nlicensed under CC BY-NC 4.0\n", None, ""]
+    of = dict(reversed(licenses.KNOWN))
+    of.update(licenses.KNOWN[:4])
+    mit = of["MIT"]
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.replace(", ", ",\n  "), mit.upper(), mit + " And more.", "Some text.\nlicensed under CC BY-NC 4.0\n", None, "",
+        "code\n" + of["ISC"] + "\nmore code", of["0BSD"], "# Intro\n\n" + of["Zlib"].replace(". ", ".\n") + "\n\nRest", of["BSD-3-Clause"].replace("copyright holder", "copyright owner"),
+    ]
     got = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i][0] for i in range(6)] == ["MIT", "MIT", None, None, None, None]
-    assert got[3][1] == ["CC-BY-NC-4.0"]
+    assert [got[i][0] for i in range(10)] == ["MIT", "MIT", None, None, None, None, None, "0BSD", None, "BSD-3-Clause"]
+    assert [got[i][1] for i in (3, 6, 7, 8)] == [["CC-BY-NC-4.0"], ["ISC"], ["0BSD"], ["Zlib"]]
+
+
+def test_digests_of_full_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not folder.exists():
+        pytest.skip("no licence files")
+    names = {"Artistic": "Artistic-1.0-Perl"} | {f"{x}-{v}": f"{x}-{v}.0" for x, v in (("GPL", 1), ("GPL", 2), ("GPL", 3), ("LGPL", 2), ("LGPL", 3))}
+    texts = [(names.get(f.name, f.name), f.read_text(errors="replace")) for f in folder.iterdir() if not f.is_symlink()]
+    got = {r[0]: r[1] for r in spark.createDataFrame(texts, "n string, t string").select("n", licenses.digest(F.col("t"))).collect()}
+    assert {n: d for n, d in licenses.DIGESTS if n in got} == {n: d for n, d in got.items() if n in dict(licenses.DIGESTS)}
 
 
 @pytest.mark.parametrize("small", [{}, {"GROUP": 64, "HOME": 32, "MEMBER": 40, "PRODUCTS": 500}])
