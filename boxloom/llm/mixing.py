@@ -76,20 +76,22 @@ def apportioned(df: DataFrame, group: list[str], item: list[str], votes: Column,
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, and the columns in `keep`.
+    """For each row of docs(doc_id, text, source): doc_id, size, source_size, target, taken, and the columns in `keep`, whatever their names.
 
     Sources in order of code point (null last) weigh `weights`, repeating, and share as many words as there are; a
     target stops at `most` times its source. Blocks of `block` words go to sources by highest quotients of the targets,
     then to a source's shards (by hash of doc_id; sqrt(words / `shard`) of them) by highest quotients of their sizes. A
-    shard's rows stand in the order of md5(seed, doc_id); its quota takes whole passes over it, then the blocks at its
+    shard's rows stand in the order of md5(seed, doc_id), rows without an id in that of their texts; its quota takes whole passes over it, then the blocks at its
     start, so `taken` is at most `most` times the size. Null or wordless texts have size 0 and are taken 0 times; equal
     rows count each; an empty table gives no row. Reruns agree: nothing depends on the partitions.
 
     Rows are shuffled twice without their texts: to sum sources (combined first) and into shards, which split a hot
     source; the plan per source and shard is small and joined to the rows.
     """
-    rows = docs.select("doc_id", F.col("source").alias("_source"), size_of(F.col("text")).alias("size"), *keep)
-    rows = rows.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    text = F.coalesce("text", F.lit(""))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text)))
+    rest = F.struct("doc_id", *[F.col(c) for c in keep]).alias("rest")
+    rows = docs.select(rest, F.col("source").alias("_source"), size_of(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), name)).alias("_key"), F.xxhash64("text").alias("_tie"))
     sizes = docs.select("source", size_of(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     plan = targets(ranked, weights, most).withColumn("one", F.lit(1))
@@ -102,13 +104,13 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEE
     per = apportioned(per, ["rank"], ["shard"], F.col("words"), F.col("blocks")).select("rank", "shard", "words", F.least(F.col("quota") * block, F.col("words") * most).alias("due"))
     per = per.select(F.col("rank").alias("_r"), F.col("shard").alias("_h"), "words", "due")
 
-    order = Window.partitionBy("rank", "shard").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("rank", "shard").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))
     out = dealt.join(per, (F.col("rank") == F.col("_r")) & (F.col("shard") == F.col("_h")))
     passes = F.when(F.col("words") > 0, F.expr("due div words")).otherwise(F.lit(0))
     rest = F.when(F.col("words") > 0, F.expr("due % words")).otherwise(F.lit(0))
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+    return out.select("rest.doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"rest.`{c}`") for c in keep])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +119,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-                  md5('{SEED}:' || coalesce(doc_id::varchar, 'null')) as key from documents),
+                  md5('{SEED}:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))) as key from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 as rank from s),
 w as (select *, case rank % 3 when 0 then 5 when 1 then 2 else 1 end as weight, sum(source_size) over () as total from r),
