@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm import bpe, langid, mixing, ngrams, substrings
-from boxloom.llm.common import LAST_ID, scratch, words
+from boxloom.llm.common import scratch, text_key, words
 
 #: Documents whose language has a lower mean marginal are rejected.
 LEAST_SCORE = 0.5
@@ -14,12 +14,7 @@ LEAST_SCORE = 0.5
 
 def _rows(docs: DataFrame) -> DataFrame:
     """docs as (doc_id, text, source, row): all columns stay together in one, whatever their names."""
-    return docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("row"))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(id, tk, row): null ids last, and a hash of the text that tells rows with one id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.struct("*").alias("row"))
+    return docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
 
 
 def _with_text(df: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -29,24 +24,39 @@ def _with_text(df: DataFrame, text, columns: list[str]) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the CRF gives a language with a score of LEAST_SCORE or more; texts without a letter go."""
+    """Keeps documents that the CRF gives a language with a score of LEAST_SCORE or more; texts without a letter, empty or null ones go.
+
+    Equal texts share their fate; rows that repeat stay as they are; an empty table gives none.
+    """
     found = langid.predict(_rows(docs), langid.train(docs), ("row",))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that of the smallest doc_id."""
-    kept = ngrams.near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("text_key").alias("tk")).distinct()
-    return _keyed(docs).join(kept, ["id", "tk"]).dropDuplicates(["id", "tk"]).select("row.*")
+    """Keeps one document of each group of near duplicates, that of the smallest doc_id (null is the greatest).
+
+    Of rows that repeat its doc_id and text one stays, of those that repeat the doc_id alone that of the least text hash.
+    Texts without words, null ones too, are alike to none; a null is not told from an empty text of the same doc_id.
+    """
+    kept = ngrams.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.struct("*").alias("row"))
+    met = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["key"] == kept["kept_key"]), "left_semi")
+    return met.dropDuplicates(["doc_id", "key"]).select("row.*")
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that a smaller doc_id has; what is left of a changed text is joined by single spaces, nothing left means it goes."""
+    """Removes passages that a smaller doc_id has; what is left of a changed text is joined by single spaces, nothing left means it goes.
+
+    Null and short texts stay as they are; rows of one doc_id, null ones too, take nothing from each other.
+    """
     return substrings.remainders(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it whole; a part that is taken beyond that is its first words, joined by single spaces."""
+    """Repeats each document as often as the mix takes it whole; a part that is taken beyond that is its first words, joined by single spaces.
+
+    Texts without words, null ones too, are taken never. Rows that repeat are rows of their own; ties are broken by the text.
+    """
     mixed = mixing.mix(_rows(docs), keep=("row",)).where("taken > 0")
     whole, part = F.expr("taken div size").cast("int"), F.expr("taken % size").cast("int")
     pieces = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
@@ -56,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids (little-endian uint32), their digest and that of what they decode to."""
+    """doc_id, source, n_tokens, ids (little-endian uint32), their digest and that of what they decode to; a null text is an empty one, each row gives one."""
     coded = bpe.encode(docs, ("doc_id", "source")).withColumn("n_tokens", bpe.n_tokens(F.col("ids"))).withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("kept", F.col("ids"))
     decoded = bpe.decode(coded).select("doc_id", "source", "n_tokens", F.col("kept").alias("ids"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
     return decoded
