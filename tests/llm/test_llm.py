@@ -560,7 +560,7 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     assert set(kept) <= rows and all(re.search(r"[^\W\d_]", t) for _, t in kept) and len(kept) > 10
     near = [(r["doc_id"], r["text"]) for r in got["near_duplicates"].collect()]
     assert set(near) <= rows and len(near) == len(set(near)) and (18, odd.where("doc_id = 15").first()["text"]) not in near  # of equal texts the least id stays
-    assert [i for i, t in near if t is None] == [0, None]  # texts without words link with nothing
+    assert {i for i, t in near if t is None} == {0, None}  # texts without words link with nothing
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in got["substring_dedup"].collect())
     assert got["source_mix"].where("text is null or trim(text) = ''").count() == 0
     assert got["byte_bpe"].count() == odd.count()
