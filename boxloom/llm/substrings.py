@@ -109,8 +109,7 @@ class FingerprintIndex:
 
     def _put(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, "g").sortWithinPartitions("g")
-        dealt.write.bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.path}/{name}").saveAsTable(f"{self.database}.{name}")
+        rows.write.bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.path}/{name}").saveAsTable(f"{self.database}.{name}")
         return name
 
     def _record(self) -> None:
@@ -127,7 +126,8 @@ class FingerprintIndex:
         """
         self.compact()
         fingerprints = functools.partial(_fingerprints, window=self.window, run=self.run)
-        own = self._put(texts.select("tk", "text").mapInArrow(fingerprints, "g long, tk long, more array<long>"))
+        rows = texts.select("tk", "text").mapInArrow(fingerprints, "g long, tk long, more array<long>")
+        own = self._put(rows.repartition(self.buckets, "g").sortWithinPartitions("g"))
         new = self._table(own)
         top = F.greatest("tk", F.array_max("more"))
         span = lambda df: df.groupBy("g").agg(F.min("tk").alias("lo"), F.max(top).alias("hi"))
@@ -144,15 +144,9 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """Merges the runs into one once there are more than `most`, bucket by bucket: a union of tables of the same buckets is dealt as they are, so no row moves."""
+        """Merges the runs into one once there are more than `most`. Their files are of one bucket each, so no row moves: a bucket of the new run has a sorted file of each."""
         if len(self.runs) > self.most:
-            setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-            was = self.spark.conf.get(setting)
-            self.spark.conf.set(setting, "false")  # reads buckets as such although no join asks for them
-            try:
-                merged = self._put(functools.reduce(DataFrame.unionAll, [self._table(x).where("g is not null") for x in self.runs]))
-            finally:
-                self.spark.conf.set(setting, was)
+            merged = self._put(functools.reduce(DataFrame.unionAll, [self._table(x) for x in self.runs]))
             old, self.runs = self.runs, [merged]
             self._record()
             for name in old:
