@@ -77,12 +77,8 @@ def _routed(r: DataFrame, s: DataFrame, base: BoxJoin, axis: int, keys: list[str
     return sides[0][0].select(columns).unionAll(sides[1][1].select(columns)), sides[0][1].select(columns).unionAll(sides[1][0].select(columns))
 
 
-def atoms(join: BoxJoin, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
-    """(atoms, lists): blocks (keys, anchor_side, anchor_id, lo, hi, weight), and (keys, side, id, rank) of the boxes that lo..hi index.
-
-    A block pairs its anchor with the opposite boxes of its group whose rank, by lower endpoint of the last axis, is in
-    [lo, hi). Blocks are disjoint and their weights add up to W.
-    """
+def grouped(join: BoxJoin, height: int = HEIGHT) -> DataFrame:
+    """(keys, side, id, l, u): the boxes of both sides in each group of nodes, with their ends on the last axis; for d > 1."""
     j = join.clean()
     d, last = j.d, j.d - 1
     keep = ["id", *[f"{e}{k}" for k in range(d) for e in "lu"]]
@@ -92,11 +88,27 @@ def atoms(join: BoxJoin, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
         keys.append(f"k{axis}")
         if last > 1:  # each axis reads the last one's rows several times
             r, s = settled(r), settled(s)
-    if not keys:
-        return _flat_atoms(r, s)
-    both = r.select(*keys, F.lit(0).alias("side"), "id", F.col(f"l{last}").alias("l"), F.col(f"u{last}").alias("u")).unionAll(
+    return r.select(*keys, F.lit(0).alias("side"), "id", F.col(f"l{last}").alias("l"), F.col(f"u{last}").alias("u")).unionAll(
         s.select(*keys, F.lit(1).alias("side"), "id", F.col(f"l{last}").alias("l"), F.col(f"u{last}").alias("u"))
     )
+
+
+def atoms(join: BoxJoin, height: int = HEIGHT, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(atoms, lists): blocks (keys, anchor_side, anchor_id, lo, hi, weight), and (keys, side, id, rank) of the boxes that lo..hi index.
+
+    A block pairs its anchor with the opposite boxes of its group whose rank, by lower endpoint of the last axis, is in
+    [lo, hi). Blocks are disjoint and their weights add up to W. With `store`, both come from one checkpoint.
+    """
+    j = join.clean()
+    if j.d == 1:
+        blocks, lists = _flat_atoms(j.r, j.s)
+        return (settled(blocks), settled(lists)) if store else (blocks, lists)
+    return merged(grouped(j, height), store)
+
+
+def merged(both: DataFrame, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The blocks and lists of groups: a sorted pass over the last axis of each."""
+    keys = keys_of(both)
     # queries at R's ends precede equal points; S's lower end follows R's equal points, its upper end precedes them
     row = lambda x, tie, what: F.struct(F.col(x).alias("x"), F.lit(tie).alias("tie"), F.lit(what).alias("what"))
     lists_of = F.when(F.col("side") == 0, F.array(row("l", 0, "lo"), row("u", 0, "hi"), row("l", 1, "point"))).otherwise(F.array(row("l", 2, "lo"), row("u", 0, "hi"), row("l", 1, "point")))
@@ -104,6 +116,7 @@ def atoms(join: BoxJoin, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy(*keys).orderBy("x", "tie", "side", "id").rowsBetween(Window.unboundedPreceding, -1)
     points = lambda side: F.coalesce(F.sum(F.when((F.col("what") == "point") & (F.col("side") == side), 1).otherwise(0).cast("bigint")).over(w), F.lit(0))
     e = e.select("*", points(0).alias("r_before"), points(1).alias("s_before"))
+    e = settled(e) if store else e
     opposite, own = F.when(F.col("side") == 0, F.col("s_before")).otherwise(F.col("r_before")), F.when(F.col("side") == 0, F.col("r_before")).otherwise(F.col("s_before"))
     pick = lambda what: F.max(F.when(F.col("what") == what, opposite))
     found = e.where("what <> 'point'").groupBy(*keys, F.col("side").alias("anchor_side"), F.col("id").alias("anchor_id")).agg(pick("lo").alias("lo"), pick("hi").alias("hi"))
@@ -129,6 +142,25 @@ def total(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.coalesce(F.sum(F.col("weight").cast("decimal(38,0)")), F.lit(0)).cast("bigint").alias("w"))
 
 
+def pairs_of(blocks: DataFrame, lists: DataFrame, sweep: bool = False) -> DataFrame:
+    """(side, owner_id, weight): how many pairs each R box has, or with `sweep` each box that starts later on axis 0, from blocks of d > 1.
+
+    A box's pairs in a group are its own block's weight, or the number of blocks that cover its rank: a running sum over
+    the blocks' ends, so pairs are never listed.
+    """
+    keys = keys_of(blocks)
+    s_starts_later = F.call_function("div", F.col("k0"), F.lit(1 << 60).cast("bigint")) == 0
+    owner = F.when(s_starts_later, 1).otherwise(0) if sweep else F.lit(0)
+    own = blocks.where(F.col("anchor_side") == owner).select(F.col("anchor_side").alias("side"), F.col("anchor_id").alias("owner_id"), "weight")
+    other = blocks.where(F.col("anchor_side") != owner)
+    ends = [other.select(*keys, F.col(c).alias("x"), F.lit(0).alias("tie"), F.lit(n).cast("bigint").alias("step"), F.lit(None).cast(lists.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("side")) for c, n in (("lo", 1), ("hi", -1))]
+    ranks = lists.where(F.col("side") == owner).select(*keys, F.col("rank").alias("x"), F.lit(1).alias("tie"), F.lit(0).cast("bigint").alias("step"), "id", "side")
+    by = Window.partitionBy(*keys).orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = ends[0].unionAll(ends[1]).unionAll(ranks).withColumn("weight", F.sum("step").over(by)).where("tie = 1 and weight > 0")
+    every = own.unionAll(covered.select("side", F.col("id").alias("owner_id"), "weight"))
+    return every.groupBy("side", "owner_id").agg(F.sum("weight").alias("weight"))
+
+
 def anchor_weights(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("anchor_side", "anchor_id").agg(F.sum("weight").alias("weight"))
 

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import decompose
 from .boxes import BoxJoin, closed_overlaps, overlaps, ownership, side
+from .prefix import counts_at
 
 
 def theta_pairs(join: BoxJoin) -> DataFrame:
@@ -26,10 +28,11 @@ def cell(x: Column, size: Column, whole: bool) -> Column:
 def widths(join: BoxJoin, axes: int) -> list[float]:
     """Cell widths of the finest level: the mean extent of both sides' boxes on each axis."""
     j = join.clean()
-    both = j.r.unionByName(j.s)
+    ends = [f"{e}{k}" for k in range(axes) for e in "lu"]
+    both = j.r.select(ends).unionAll(j.s.select(ends))
     row = both.agg(*[F.avg(F.col(f"u{k}").cast("double") - F.col(f"l{k}").cast("double")).alias(f"w{k}") for k in range(axes)]).first()
     whole = dict(j.r.dtypes)["l0"] == "bigint"
-    return [max(1, round(row[k])) if whole else (row[k] or 1.0) for k in range(axes)]
+    return [max(1, round(row[k] or 1)) if whole else (row[k] or 1.0) for k in range(axes)]
 
 
 def grid_pairs(join: BoxJoin, axes: int | None = None, width: list[float] | None = None, levels: int = 40) -> DataFrame:
@@ -95,6 +98,17 @@ def degrees(joined: DataFrame) -> DataFrame:
     return joined.groupBy("r_id").agg(F.count("*").cast("bigint").alias("degree"))
 
 
+def degrees_counted(join: BoxJoin) -> DataFrame:
+    """degrees() without forming a pair: on one axis S's lower ends below R's upper end less S's upper ends up to R's lower end, else from blocks."""
+    j = join.clean()
+    if j.d > 1:
+        return decompose.pairs_of(*decompose.atoms(j, store=True)).select(F.col("owner_id").alias("r_id"), F.col("weight").alias("degree"))
+    at = lambda c, inclusive: j.r.select("id", F.col(c).alias("x"), F.lit(inclusive).alias("inclusive"))
+    begun = counts_at(j.s.select(F.col("l0").alias("x")), at("u0", False)).select("id", F.col("n_below").alias("n"))
+    ended = counts_at(j.s.select(F.col("u0").alias("x")), at("l0", True)).select("id", (-F.col("n_below")).alias("n"))
+    return begun.unionAll(ended).groupBy(F.col("id").alias("r_id")).agg(F.sum("n").alias("degree")).where("degree > 0")
+
+
 def ownership_counts(joined: DataFrame, d: int) -> DataFrame:
     """Pairs of each of the 2^d orientation classes; they add up to W."""
     return joined.groupBy(ownership(d).alias("own")).agg(F.count("*").cast("bigint").alias("pairs"))
@@ -148,10 +162,14 @@ def contact_counts(join: BoxJoin) -> DataFrame:
 
 
 def stab(points: DataFrame, intervals: DataFrame) -> DataFrame:
-    """The one interval [start, end) of each point z; a point in none or several is an error."""
-    met = points.join(intervals, (F.col("z") >= F.col("start")) & (F.col("z") < F.col("end")), "left")
-    n = F.count("start").over(Window.partitionBy(*[met[c] for c in points.columns]))
-    return met.withColumn("n", n).withColumn("z", F.when(F.col("n") == 1, F.col("z")).otherwise(F.raise_error(F.lit("a point needs exactly one interval")).cast("bigint"))).drop("n")
+    """The one interval [start, end) of each point z; a point in none or several is an error. Each distinct z is looked up once, by cells."""
+    one = F.lit(1).cast("bigint")
+    at = points.select("z").where("z is not null").distinct().select(F.col("z").alias("id"), F.col("z").cast("bigint").alias("l0"), (F.col("z").cast("bigint") + one).alias("u0"))
+    spans = intervals.select(F.col("start").alias("id"), F.col("start").cast("bigint").alias("l0"), F.col("end").cast("bigint").alias("u0"), F.struct("*").alias("interval"))
+    found = grid_pairs(BoxJoin(at, spans)).groupBy(F.col("r_id").alias("z")).agg(F.count("*").alias("n"), F.any_value("s_interval").alias("interval"))
+    met = points.join(found, "z", "left")
+    wrong = F.raise_error(F.lit("a point needs exactly one interval")).cast("bigint")
+    return met.withColumn("z", F.when(F.col("n") == 1, F.col("z")).otherwise(wrong)).select(*points.columns, "interval.*")
 
 
 def invalid_pairs(join: BoxJoin, sample: DataFrame) -> DataFrame:

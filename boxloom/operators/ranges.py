@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform_below
+from .boxes import BoxJoin
+from .joins import grid_pairs
 
 
 def above(x: Column, bound: Column, strict: Column) -> Column:
@@ -39,16 +41,28 @@ def relation(d: int) -> Column:
     return F.when(reduce(or_, out), "outside").when(reduce(and_, within), "inside").otherwise("partial")
 
 
-def _met(points: DataFrame, queries: DataFrame, d: int, width: float | None) -> DataFrame:
-    """Points inside each query's range: by equal cells of axis 0 where `width` is given and the query is bounded there, else by the predicate."""
+def _gridded(points: DataFrame, queries: DataFrame, d: int, width: float | None) -> tuple[DataFrame, DataFrame]:
+    """Points and live queries as integer boxes of cells on up to two axes, with their rows as `p` and `q`; a missing bound is the outermost cell."""
+    axes = min(d, 2)
     live = queries.where(~provably_empty(d))
-    if width is None:
-        return points.join(live, inside(d))
-    bounded = F.col("lo0").isNotNull() & F.col("hi0").isNotNull()
-    at = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
-    listed = live.where(bounded).withColumn("cell", F.explode(F.sequence(at("lo0"), at("hi0"))))
-    by_cell = points.withColumn("cell", at("x0")).join(listed, "cell").where(inside(d)).drop("cell")
-    return by_cell.unionByName(points.join(live.where(~bounded), inside(d)))
+    spans = live.agg(*[F.avg((F.col(f"hi{j}") - F.col(f"lo{j}")).cast("double")).alias(f"w{j}") for j in range(axes)]).first()
+    ends = points.agg(*[f(F.col(f"x{j}").cast("double")).alias(f"{e}{j}") for j in range(axes) for e, f in (("lo", F.min), ("hi", F.max))]).first()
+    p = points.select("id", F.struct(*points.columns).alias("p"))
+    q = live.select(F.col("qid").alias("id"), F.struct(*live.columns).alias("q"))
+    for j in range(axes):
+        lo, hi = ends[f"lo{j}"] or 0.0, ends[f"hi{j}"] or 0.0
+        wide = max(width or spans[f"w{j}"] or 0.0, (hi - lo) / (1 << 20)) or 1.0
+        cell = lambda c: F.floor(F.least(F.greatest(F.coalesce(c.cast("double"), F.lit(lo)), F.lit(lo)), F.lit(hi)) / F.lit(wide)).cast("bigint")  # noqa: E731, B023
+        one = F.lit(1).cast("bigint")
+        p = p.withColumn(f"l{j}", cell(F.col(f"p.x{j}"))).withColumn(f"u{j}", cell(F.col(f"p.x{j}")) + one)
+        q = q.withColumn(f"l{j}", cell(F.col(f"q.lo{j}"))).withColumn(f"u{j}", cell(F.coalesce(F.col(f"q.hi{j}"), F.lit(hi))) + one)
+    return p, q
+
+
+def _met(points: DataFrame, queries: DataFrame, d: int, width: float | None) -> DataFrame:
+    """Points inside each query's range: both are listed in cells, of `width` or of the mean range; the predicate decides."""
+    p, q = _gridded(points, queries, d, width)
+    return grid_pairs(BoxJoin(p, q)).select("r_p.*", "s_q.*").where(inside(d))
 
 
 def range_count(points: DataFrame, queries: DataFrame, d: int, width: float | None = None) -> DataFrame:
@@ -72,20 +86,31 @@ def activity_errors(log: DataFrame) -> DataFrame:
     return log.withColumn("before", before).where("before = delta").drop("before")
 
 
-def active_at(log: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id) of the points that are active at each query's seq: the last entry up to it is an insertion.
-
-    An insertion lasts until the point's next entry, so activity is an interval of seq and no state is replayed.
-    """
+def _spans(log: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, since, until): an insertion lasts until the point's next entry, so activity is an interval of seq and no state is replayed."""
+    last = max([x for df in (log, queries) if (x := df.agg(F.max("seq").cast("bigint")).first()[0]) is not None], default=0)
     until = F.lead("seq").over(Window.partitionBy("id").orderBy("seq"))
-    spans = log.withColumn("until", until).where("delta = 1").select("id", F.col("seq").alias("since"), "until")
-    q = queries.select("qid", F.col("seq").alias("at"))
-    return spans.join(q, (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("until") > F.col("at")))).select("qid", "id")
+    spans = log.withColumn("until", F.coalesce(until.cast("bigint"), F.lit(last + 1))).where("delta = 1")
+    return spans.select("id", F.col("seq").cast("bigint").alias("since"), "until")
+
 
+def _moment(q: DataFrame) -> DataFrame:
+    return q.withColumn("l0", F.col("seq").cast("bigint")).withColumn("u0", F.col("l0") + F.lit(1).cast("bigint"))
 
-def active_range_count(points: DataFrame, log: DataFrame, queries: DataFrame, d: int) -> DataFrame:
-    """Range counts over the points that are active at each query's seq."""
-    ranges = queries.drop("seq").where(~provably_empty(d))
-    met = active_at(log, queries).join(points, "id").join(ranges, "qid").where(inside(d))
+
+def active_at(log: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id) of the points that are active at each query's seq: the last entry up to it is an insertion. Intervals and moments meet in cells of seq."""
+    spans = _spans(log, queries).select("id", F.col("since").alias("l0"), F.col("until").alias("u0"))
+    moments = _moment(queries.select(F.col("qid").alias("id"), "seq"))
+    return grid_pairs(BoxJoin(spans, moments)).select(F.col("s_id").alias("qid"), F.col("r_id").alias("id"))
+
+
+def active_range_count(points: DataFrame, log: DataFrame, queries: DataFrame, d: int, width: float | None = None) -> DataFrame:
+    """Range counts over the points that are active at each query's seq: boxes of seq and the first coordinate's cells, so a range limits what is met."""
+    p, q = _gridded(points, queries, d, width)
+    lasting = p.select("id", "p", F.col("l0").alias("l1"), F.col("u0").alias("u1")).join(_spans(log, queries), "id")
+    lasting = lasting.select("id", "p", F.col("since").alias("l0"), "l1", F.col("until").alias("u0"), "u1")
+    moments = _moment(q.select("id", "q", F.col("l0").alias("l1"), F.col("u0").alias("u1"), "q.seq"))
+    met = grid_pairs(BoxJoin(lasting, moments)).select("r_p.*", "s_q.*").where(inside(d))
     n = met.groupBy("qid").agg(F.count("*").cast("bigint").alias("n"))
     return queries.select("qid").join(n, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.random import uniform_below
 from . import decompose, joins, sweep
 from .boxes import BoxJoin
 from .prefix import running
+from .storage import settled
 
 KINDS = ("compiled", "replay", "sweep", "lifted")
 OK, EMPTY = "OK", "EMPTY-JOIN"
@@ -76,108 +79,139 @@ class Sampler:
 
 
 class Compiled(Sampler):
-    """All blocks of the decomposition are kept; a draw finds its block, then the opposite box at lo + offset."""
+    """All blocks of the decomposition are written once; a draw finds its block, then the opposite box at lo + offset."""
 
     kind = "compiled"
+    _made: tuple[DataFrame, DataFrame] | None = None
 
-    def __init__(self, join: BoxJoin, seed: str):
-        super().__init__(join, seed)
-        self.blocks, self.lists = decompose.atoms(self.join)
-        self.keys = decompose.keys_of(self.blocks)
+    @property
+    def blocks(self) -> DataFrame:
+        return self._blocks()[0]
+
+    def _blocks(self) -> tuple[DataFrame, DataFrame]:
+        self._made = self._made or decompose.atoms(self.join, store=True)
+        return self._made
 
     def prepare(self) -> Compiled:
-        self.blocks, self.lists = self.blocks.persist(), self.lists.persist()
+        self._blocks()
         return self
 
     def _count(self) -> int:
         return decompose.total(self.blocks).first()["w"]
 
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
-        found = picked(drawn, self.blocks, ["anchor_id", "anchor_side", *self.keys], w)
-        return self._resolved(found, self.lists)
+        blocks, lists = self._blocks()
+        found = picked(drawn, blocks, ["anchor_id", "anchor_side", *decompose.keys_of(blocks)], w)
+        return self._resolved(found, lists)
 
     def _resolved(self, found: DataFrame, lists: DataFrame) -> DataFrame:
-        want = found.select("pos", *self.keys, "anchor_side", "anchor_id", (1 - F.col("anchor_side")).alias("side"), (F.col("lo") + F.col("offset")).alias("rank"))
-        met = want.join(lists, [*self.keys, "side", "rank"])
+        keys = decompose.keys_of(lists)
+        want = found.select("pos", *keys, "anchor_side", "anchor_id", (1 - F.col("anchor_side")).alias("side"), (F.col("lo") + F.col("offset")).alias("rank"))
+        met = want.join(lists, [*keys, "side", "rank"])
         r = F.when(F.col("anchor_side") == 0, F.col("anchor_id")).otherwise(F.col("id"))
         s = F.when(F.col("anchor_side") == 0, F.col("id")).otherwise(F.col("anchor_id"))
         return met.select("pos", r.alias("r_id"), s.alias("s_id"))
 
 
 class Replay(Compiled):
-    """Nothing is kept between calls: groups are weighed, draws are dealt to groups, and only groups with draws are formed again."""
+    """Blocks aren't kept: groups are weighed, draws are dealt to groups, and only groups with draws have their blocks formed again."""
 
     kind = "replay"
+    _weighed: tuple[DataFrame, DataFrame] | None = None
+
+    def _groups(self) -> tuple[DataFrame, DataFrame]:
+        """The groups' boxes and their numbers of pairs."""
+        if self._weighed is None:
+            both = settled(decompose.grouped(self.join))
+            keys = decompose.keys_of(both)
+            self._weighed = both, settled(decompose.merged(both)[0].groupBy(*keys).agg(F.sum("weight").alias("weight")))
+        return self._weighed
 
     def prepare(self) -> Replay:
         return self
 
+    def _count(self) -> int:
+        return super()._count() if self.join.d == 1 else decompose.total(self._groups()[1]).first()["w"]
+
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
-        if not self.keys:
+        if self.join.d == 1:
             return super()._sample(drawn, w)
-        groups = self.blocks.groupBy(*self.keys).agg(F.sum("weight").alias("weight"))
-        dealt = picked(drawn, groups, self.keys, w).select("pos", *self.keys, F.col("offset").alias("g"))
-        needed = dealt.select(*self.keys).distinct()
-        blocks = self.blocks.join(needed, self.keys, "left_semi")
-        by = Window.partitionBy(*self.keys)
+        both, groups = self._groups()
+        keys = decompose.keys_of(both)
+        dealt = settled(picked(drawn, groups, keys, w).select("pos", *keys, F.col("offset").alias("g")))
+        blocks, lists = decompose.merged(both.join(dealt.select(*keys).distinct(), keys, "left_semi"), store=True)
+        by = Window.partitionBy(*keys)
         before = F.coalesce(F.sum("weight").over(by.orderBy("anchor_side", "anchor_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         left = blocks.withColumn("first", before)
         fields = ["anchor_side", "anchor_id", "lo", "hi", "weight", "first"]
-        a = left.select(*self.keys, F.col("first").alias("x"), F.lit(0).alias("tie"), F.lit(None).cast("bigint").alias("pos"), F.struct(*fields).alias("block"))
-        b = dealt.select(*self.keys, F.col("g").alias("x"), F.lit(1).alias("tie"), "pos", F.lit(None).cast(left.select(*fields).schema.simpleString()).alias("block"))
+        a = left.select(*keys, F.col("first").alias("x"), F.lit(0).alias("tie"), F.lit(None).cast("bigint").alias("pos"), F.struct(*fields).alias("block"))
+        b = dealt.select(*keys, F.col("g").alias("x"), F.lit(1).alias("tie"), "pos", F.lit(None).cast(left.select(*fields).schema.simpleString()).alias("block"))
         over = by.orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         found = a.unionAll(b).withColumn("block", F.last("block", ignorenulls=True).over(over)).where("pos is not null")
-        found = found.select("pos", *self.keys, "block.*", (F.col("x") - F.col("block.first")).alias("offset"))
-        return self._resolved(found, self.lists.join(needed, self.keys, "left_semi"))
+        found = found.select("pos", *keys, "block.*", (F.col("x") - F.col("block.first")).alias("offset"))
+        return self._resolved(found, lists)
 
 
 class _Owned(Sampler):
-    """Draws pick an owner by its number of pairs, then one of its partners by rank of id."""
+    """Draws pick an owner by its number of pairs, then one of its partners by rank of id; only drawn owners have their partners listed."""
 
-    def __init__(self, join: BoxJoin, seed: str):
-        super().__init__(join, seed)
-        self.owned = self._owned(joins.grid_pairs(self.join))
+    sides = (0, 1)
+    _made: DataFrame | None = None
+
+    def _weights(self) -> DataFrame:
+        """(side, owner_id, weight)"""
+        raise NotImplementedError
 
-    def _owned(self, joined: DataFrame) -> DataFrame:
-        """(owner.., other, r_id, s_id)"""
+    def _listed(self, side: int, join: BoxJoin) -> DataFrame:
+        """The pairs of a join that the boxes of the side own."""
         raise NotImplementedError
 
-    owner: list[str] = []
+    @property
+    def weights(self) -> DataFrame:
+        self._made = self._made or settled(self._weights())
+        return self._made
 
     def prepare(self) -> _Owned:
-        self.owned = self.owned.persist()
+        self.weights  # noqa: B018
         return self
 
     def _count(self) -> int:
-        return self.owned.count()
+        return decompose.total(self.weights).first()["w"]
 
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
-        weights = self.owned.groupBy(*self.owner).agg(F.count("*").cast("bigint").alias("weight"))
-        found = picked(drawn, weights, self.owner[::-1], w).select("pos", *self.owner, F.col("offset").alias("place"))
-        order = Window.partitionBy(*self.owner).orderBy("other")
-        needed = self.owned.join(found.select(*self.owner).distinct(), self.owner, "left_semi")
-        listed = needed.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
-        return found.join(listed, [*self.owner, "place"]).select("pos", "r_id", "s_id")
+        found = settled(picked(drawn, self.weights, ["owner_id", "side"], w).select("pos", "side", "owner_id", F.col("offset").alias("place")))
+        owners = found.select("side", F.col("owner_id").alias("id")).distinct()
+        r, s = (settled(x.join(owners.where(f"side = {n}").select("id"), "id", "left_semi")) for n, x in enumerate((self.join.r, self.join.s)))
+        pairs = lambda side, j: self._listed(side, j).select(F.lit(side).alias("side"), "r_id", "s_id")
+        drawn_of = (BoxJoin(r, self.join.s), BoxJoin(self.join.r, s))
+        listed = reduce(DataFrame.unionAll, [pairs(n, drawn_of[n]) for n in self.sides])
+        owner, other = (F.when(F.col("side") == n, F.col("r_id")).otherwise(F.col("s_id")) for n in (0, 1))
+        listed = listed.withColumn("owner_id", owner).withColumn("place", (F.row_number().over(Window.partitionBy("side", "owner_id").orderBy(other)) - 1).cast("bigint"))
+        return found.join(listed, ["side", "owner_id", "place"]).select("pos", "r_id", "s_id")
 
 
 class Sweep(_Owned):
     """The owner is the box that starts later on axis 0."""
 
-    kind, owner = "sweep", ["side", "owner_id"]
+    kind = "sweep"
 
-    def _owned(self, joined: DataFrame) -> DataFrame:
-        later = sweep.owner_side()
-        first, other = F.when(later == 0, F.col("r_id")).otherwise(F.col("s_id")), F.when(later == 0, F.col("s_id")).otherwise(F.col("r_id"))
-        return joined.select(later.alias("side"), first.alias("owner_id"), other.alias("other"), "r_id", "s_id")
+    def _weights(self) -> DataFrame:
+        return sweep.weights(self.join).withColumnRenamed("id", "owner_id")
+
+    def _listed(self, side: int, join: BoxJoin) -> DataFrame:
+        return joins.grid_pairs(join).where(sweep.owner_side() == side)
 
 
 class Lifted(_Owned):
     """The owner is the R box."""
 
-    kind, owner = "lifted", ["owner_id"]
+    kind, sides = "lifted", (0,)
+
+    def _weights(self) -> DataFrame:
+        return joins.degrees_counted(self.join).select(F.lit(0).alias("side"), F.col("r_id").alias("owner_id"), F.col("degree").alias("weight"))
 
-    def _owned(self, joined: DataFrame) -> DataFrame:
-        return joined.select(F.col("r_id").alias("owner_id"), F.col("s_id").alias("other"), "r_id", "s_id")
+    def _listed(self, side: int, join: BoxJoin) -> DataFrame:
+        return joins.grid_pairs(join)
 
 
 def make_sampler(kind: str, join: BoxJoin, seed: str = "0" * 64) -> Sampler:

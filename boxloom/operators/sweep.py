@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boxes import BoxJoin, nonempty
-from .joins import grid_pairs
+from .decompose import atoms, pairs_of
 from .prefix import running
 
 
@@ -19,8 +19,6 @@ def events(join: BoxJoin) -> DataFrame:
     return of(join.r, 0).unionAll(of(join.s, 1))
 
 
-
-
 def order() -> list:
     return ["coord", F.col("is_end").desc(), "side", "id"]
 
@@ -37,11 +35,9 @@ def owner_side() -> Column:
     return F.when(F.col("r_l0") > F.col("s_l0"), 0).otherwise(1)
 
 
-def weights(join: BoxJoin, joined: DataFrame | None = None) -> DataFrame:
-    """(side, id, weight) of start events that own a pair; weights add up to W. On one axis no pair is formed: the weight is what is open."""
+def weights(join: BoxJoin) -> DataFrame:
+    """(side, id, weight) of start events that own a pair; weights add up to W. No pair is formed: on one axis the weight is what is open, else blocks are counted."""
     if join.d == 1:
         e = swept(join).where("is_end = 0").select("side", "id", F.when(F.col("side") == 0, F.col("active_s")).otherwise(F.col("active_r")).alias("weight"))
         return e.where("weight > 0")
-    joined = grid_pairs(join) if joined is None else joined
-    own = joined.select(owner_side().alias("side"), "r_id", "s_id").select("side", F.when(F.col("side") == 0, F.col("r_id")).otherwise(F.col("s_id")).alias("id"))
-    return own.groupBy("side", "id").agg(F.count("*").cast("bigint").alias("weight"))
+    return pairs_of(*atoms(join, store=True), sweep=True).withColumnRenamed("owner_id", "id")

@@ -86,8 +86,12 @@ def test_samplers(spark, kind):
 def test_report_of_a_uniform_sample(spark):
     j = BoxJoin(relation(spark, [(1, 0, 5), (2, 0, 5)], 1), relation(spark, [(3, 0, 5), (4, 0, 5)], 1))
     report = validation.distribution_report(j, samplers.make_sampler("lifted", j, "cd" * 32).sample(4000), buckets=4)
-    assert report.join_size == 4 and report.samples == 4000 and 1e-6 < report.pearson_pvalue <= 1
-    assert report.transition_pvalue is None or report.transition_pvalue > 1e-6
+    row = report.first()
+    assert (row["pairs"], row["draws"]) == (4, 4000) and 1e-6 < row["p_pairs"] <= 1 and row["p_steps"] > 1e-6 and abs(row["correlation"]) < 0.1
+    first = spark.range(4000).selectExpr("id as pos", "1L as r_id", "3L as s_id")
+    bad = validation.distribution_report(j, first, buckets=4)
+    reports = report.selectExpr("'w' as workload", "'good' as kind", "p_pairs", "p_steps").unionAll(bad.selectExpr("'w'", "'bad'", "p_pairs", "p_steps"))
+    assert {(r["kind"], r["status"]) for r in validation.gate(reports).collect()} == {("good", "PASS"), ("bad", "FAIL")}
     assert abs(validation.chi_square_tail(148.1, 138) - 0.2637) < 2e-3
     assert abs(validation.chi_square_tail(3.841459, 1) - 0.05) < 1e-6
 
