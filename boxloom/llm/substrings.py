@@ -250,8 +250,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: int =
     With an `index` that has `history` (doc_id, text: all that was added before), docs are one more batch of it: they lose
     windows to documents of either, and only their rows are returned.
     """
-    rows, sizes, least, places = _found(docs, window, run, batches, index=index, history=history)
-    cut = rows.join(places, ROW).dropDuplicates(ROW).select(*ROW, "text", "places").mapInArrow(functools.partial(_cut, window=window), "id long, none boolean, tk long, left string, removed long")
+    texts, sizes, least, places = _found(docs, window, run, batches, index=index, history=history)
+    cut = texts.join(places, ROW).dropDuplicates(ROW).select(*ROW, "text", "places").mapInArrow(functools.partial(_cut, window=window), "id long, none boolean, tk long, left string, removed long")
     cut = cut.select(*ROW, "removed", F.sha2("left", 256).alias("rest"))
     of = sizes.where("new").join(least, "key").join(cut, ROW, "left")
     copy = _copy(window)
@@ -272,12 +272,12 @@ def remainders(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: i
     Documents that lose all their words go; others keep their text as it is. `n_chars`, if there is one, follows the
     text. Texts are shuffled once: other columns meet them by the same keys before they are cut.
     """
-    rows, sizes, least, places = _found(docs, window, run, batches, whole=False)
+    texts, sizes, least, places = _found(docs, window, run, batches, whole=False)
     others = [c for c in docs.columns if c != "text"]
     keyed = _keyed(docs, F.struct(*others, F.col("text").isNull().alias("_null")).alias("row")).select(*ROW, "row")
     listed = keyed.groupBy(*ROW).agg(F.collect_list("row").alias("listed"))
     known = sizes.join(least, "key").where(~_copy(window)).select(*ROW, "n_words").distinct().join(listed, ROW)
-    met = rows.join(places, ROW, "left").join(known, ROW).dropDuplicates(ROW).select("text", "places", "n_words", "listed")
+    met = texts.join(places, ROW, "left").join(known, ROW).dropDuplicates(ROW).select("text", "places", "n_words", "listed")
     schema = met.drop("text", "places").schema.add("left", "string").add("removed", "long")
     cut = met.mapInArrow(functools.partial(_cut, window=window), schema).where("removed = 0 or removed < n_words").withColumn("row", F.explode("listed"))
     text = F.when(~F.col("row._null"), F.col("left"))
@@ -288,7 +288,7 @@ def remainders(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: i
 def _found(
     docs: DataFrame, window: int, run: int, batches: int, whole: bool = True, index: FingerprintIndex | None = None, history: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows, sizes, least, places): keyed texts, their numbers of words, the smallest id of each text, and the windows to remove of each of those."""
+    """(texts, sizes, least, places): keyed texts, their numbers of words, the smallest id of each text, and the windows to remove of each of those."""
     spark = docs.sparkSession
     arrow_batches(spark)
     new = _keyed(docs, F.lit(True).alias("new"))
@@ -318,7 +318,8 @@ def _found(
     wanted = shared.join(many, "g").groupBy("tk").agg(*sets).join(least.withColumn("tk", F.xxhash64("key")), "tk")
     wanted = stored(wanted.select(F.col("least").alias("id"), F.col("least_none").alias("none"), "tk", "few", "many"), "shared")
 
-    asked = rows.select(*ROW, "text").join(wanted, ROW)
+    texts = rows.select(*ROW, "text")  # in one form for all joins, so that texts are shuffled once
+    asked = texts.join(wanted, ROW)
     place = "struct<id:long,none:boolean,tk:long,place:int>"
 
     def seen(which: str) -> DataFrame:
@@ -336,7 +337,7 @@ def _found(
     each = F.concat(F.array(F.struct(*ROW, "place")), F.coalesce("more", F.array().cast(f"array<{place}>")))
     met = met.select("lo", "lo_none", F.explode(each).alias("w")).where(later(F.col("w.id"), F.col("w.none"), F.col("lo"), F.col("lo_none")))
     places = met.select("w.*").groupBy(*ROW).agg(F.collect_set("place").alias("places"))
-    return rows, sizes, least, places
+    return texts, sizes, least, places
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
