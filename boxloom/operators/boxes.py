@@ -91,6 +91,12 @@ def repeated_ids(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (only_first, only_second): rows of one relation that the other lacks, repeats counted; equal collections give zeros."""
+    n = lambda x, y, name: x.exceptAll(y).agg(F.count("*").alias(name))
+    return n(a, b, "only_first").crossJoin(n(b, a, "only_second"))  # of one row each
+
+
 def extent(df: DataFrame) -> DataFrame:
     """Number of boxes and the smallest and largest endpoint of each axis."""
     d = dimension(df)

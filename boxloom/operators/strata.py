@@ -23,6 +23,12 @@ def rank_ids(df: DataFrame, order: Sequence[str], name: str = "object_id") -> Da
     return ranked(checked, order, name)
 
 
+def shared_ids(df: DataFrame, side: str, key: str, name: str = "object_id") -> DataFrame:
+    """Adds dense ids from 0 in the order of the key that hold over both sides: a key that both have is one object."""
+    ids = ranked(df.select(key).distinct(), [key], name)
+    return df.join(ids, key).select(side, key, name)
+
+
 def repeats(df: DataFrame, key: str) -> DataFrame:
     """Distinct values of a published key, values that occur more than once, rows beyond the first, the most rows of one value."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
