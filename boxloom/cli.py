@@ -1,4 +1,4 @@
-"""Commands: generate, count, sample, inspect, aggregate."""
+"""Commands: generate, count, sample, inspect, validate, run-suite, aggregate."""
 
 from __future__ import annotations
 
@@ -29,6 +29,15 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--kind", choices=samplers.KINDS, default="compiled")
     s.add_argument("--seed", default="0" * 64)
     s.add_argument("--query-id", type=int, default=0)
+    v = c.add_parser("validate", help="counts, membership and distributions of all kinds of samples of box files; fails if any does")
+    v.add_argument("-t", type=int, default=100_000)
+    v.add_argument("paths", nargs="+")
+    u = c.add_parser("run-suite", help="all tasks, modes and algorithms over box files; what has a record is not run again")
+    u.add_argument("out")
+    u.add_argument("paths", nargs="+")
+    u.add_argument("-t", type=int, nargs="+", default=[1000])
+    u.add_argument("--tasks", nargs="+", choices=sorted(plan.MODES), default=["oneshot"])
+    u.add_argument("--limit", type=float, help="seconds of a run")
     a = c.add_parser("aggregate", help="a report from run records")
     a.add_argument("out")
     a.add_argument("records", nargs="+")
@@ -53,6 +62,14 @@ def main(argv: list[str] | None = None) -> int:
             print("MEMBERSHIP-MISMATCH", file=sys.stderr)
             return 1
         print(sampler.status(o.t))
+    elif o.command == "validate":
+        found = plan.validate({path: boxfile.load(spark, path) for path in o.paths}, o.t).orderBy("workload", "kind").collect()
+        for row in found:
+            print(*row)
+        return int(any(row["status"] != "PASS" for row in found))
+    elif o.command == "run-suite":
+        cases = spark.createDataFrame([(path, "t", float(t), t, "t") for path in o.paths for t in o.t], "workload_id string, x_name string, x_value double, t bigint, sweep string")
+        print(plan.run_suite(plan.planned(cases, tuple(o.tasks)), lambda path: boxfile.load(spark, path), o.out, o.limit))
     else:
         runs.write_report(records.RunReport(runs.read_runs(spark, *o.records)), o.out)
     return 0

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, stable_hex
-from ..operators import boxes, decompose, records, samplers
+from ..operators import boxes, decompose, joins, records, samplers, validation
 from ..operators.boxes import BoxJoin
+from ..operators.storage import settled
+from ..sources import runs as runs_out
 
 #: Modes of each task, and which algorithm kind of ours stands for a name in records.
 MODES = {"oneshot": ("time", "memory"), "count-only": ("time",), "prepared-query": ("time",)}
@@ -38,12 +43,25 @@ def planned(cases_: DataFrame, tasks: tuple[str, ...] = ("oneshot",)) -> DataFra
     return runs.withColumn("run_group_id", group).withColumn("sample_seed", stable_hex("sample-seed", quote("workload_id"), quote("algorithm")))
 
 
-def run_one(join: BoxJoin, algorithm: str, task: str, t: int, seed: str) -> dict:
-    """Runs one task and reports its record: status, W, output length and times; failures are statuses, not exceptions."""
-    spark = join.r.sparkSession
+def run_one(join: BoxJoin, algorithm: str, task: str, t: int, seed: str, limit: float | None = None, expected: int | None = None) -> dict:
+    """Runs one task and reports its record: status, W, output length and times; failures are statuses, not exceptions.
+
+    After `limit` seconds its Spark jobs are cancelled (TO). A count other than `expected` is COUNT-MISMATCH, a sample that
+    is no pair of the join MEMBERSHIP-MISMATCH; that check is not timed.
+    """
+    sc = join.r.sparkSession.sparkContext
     record = {"algorithm": algorithm, "task": task, "t": t, "status": "OK", "W": None, "output_length": None}
-    spark.sparkContext.setJobGroup(f"run-{algorithm}-{task}", f"{algorithm} {task}", interruptOnCancel=True)
+    group, late = f"run-{algorithm}-{task}-{uuid.uuid4().hex}", threading.Event()
+    sc.setJobGroup(group, f"{algorithm} {task}", interruptOnCancel=True)
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(limit, stop) if limit is not None else None
     try:
+        if timer:
+            timer.start()
         began = time.time()
         sampler = samplers.make_sampler(KIND_OF[algorithm], join, seed)
         if task == "prepared-query" or algorithm != "AS":
@@ -51,21 +69,80 @@ def run_one(join: BoxJoin, algorithm: str, task: str, t: int, seed: str) -> dict
         w = sampler.count()
         counted = time.time()
         record["W"] = str(w)
+        drawn = None
         if task != "count-only":
-            record["output_length"] = sampler.sample(t).count()
+            drawn = settled(sampler.sample(t))
+            record["output_length"] = drawn.count()
         ended = time.time()
+        if timer:
+            timer.cancel()
+        if late.is_set():
+            raise TimeoutError
         name = {"oneshot": "OneShotTime", "count-only": "CountOnlyTime", "prepared-query": "PreparedQueryTime"}[task]
         record[name] = ended - (counted if task == "prepared-query" else began)
         if task == "oneshot" and algorithm != "AS":
             record |= {"PrepareTime": counted - began, "QueryTime": ended - counted}
         record["status"] = sampler.status(t)
+        if expected is not None and w != expected:
+            record["status"] = "COUNT-MISMATCH"
+        elif drawn is not None and not joins.invalid_pairs(join, drawn).isEmpty():
+            record["status"] = "MEMBERSHIP-MISMATCH"
     except Exception as e:
         text = str(e)
-        record["status"] = "INTEGER-OVERFLOW" if "OVERFLOW" in text else "OOM" if "OutOfMemory" in text else "NUMERIC-DEGENERACY" if "finite" in text else "BENCHMARK-ERROR"
+        kinds = (("OVERFLOW", "INTEGER-OVERFLOW"), ("OutOfMemory", "OOM"), ("finite", "NUMERIC-DEGENERACY"))
+        record["status"] = "TO" if late.is_set() else next((status for sign, status in kinds if sign in text), "BENCHMARK-ERROR")
         record["detail"] = text[:300]
+    finally:
+        if timer:
+            timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
     return record
 
 
+def run_suite(planned_runs: DataFrame, workload: Callable[[str], BoxJoin], out: str, limit: float | None = None) -> int:
+    """Runs what is planned and has no record in `out` yet, one after another, appending each record; returns how many ran.
+
+    A suite that was stopped goes on where it ended: records are JSON lines, and a run is known by its group and mode.
+    """
+    spark = planned_runs.sparkSession
+    names = ["run_group_id", "measurement_mode", "workload_id", "algorithm", "task", "t", "x_name", "x_value", "sweep", "sample_seed"]
+    todo = planned_runs.select(names)
+    done = spark.read.schema("run_group_id string, measurement_mode string").json(out) if _exists(spark, out) else None
+    todo = (todo if done is None else records.not_done(todo, done)).orderBy("run_group_id", "measurement_mode").collect()
+    for row in todo:
+        record = row.asDict() | run_one(workload(row["workload_id"]), row["algorithm"], row["task"], row["t"], row["sample_seed"], limit)
+        values = {k: v for k, v in record.items() if k in _KEPT}
+        runs_out.append_runs(spark.createDataFrame([tuple(values.get(k) for k in _KEPT)], ", ".join(f"{k} {v}" for k, v in _KEPT.items())), out)
+    return len(todo)
+
+
+#: Columns of a suite's records.
+_KEPT = dict.fromkeys(("run_group_id", "measurement_mode", "workload_id", "algorithm", "task", "x_name", "sweep", "status", "W", "detail"), "string") | {
+    "t": "bigint", "output_length": "bigint"
+} | dict.fromkeys(("x_value", "OneShotTime", "PrepareTime", "QueryTime", "CountOnlyTime", "PreparedQueryTime"), "double")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def validate(workloads: dict[str, BoxJoin], t: int = 100_000, kinds: tuple[str, ...] = samplers.KINDS, seed: str = "0" * 64) -> DataFrame:
+    """(workload, kind, status): the gate over reports of each workload and kind, counts held against the grid join; FAIL, COUNT-MISMATCH or PASS."""
+    rows, spark = [], None
+    for name, join in workloads.items():
+        spark = join.r.sparkSession
+        w = joins.count(joins.grid_pairs(join)).first()["w"]
+        for kind in kinds:
+            sampler = samplers.make_sampler(kind, join, seed).prepare()
+            same = sampler.count() == w
+            report = validation.distribution_report(join, sampler.sample(t)).first() if same else None
+            rows.append((name, kind, same and report["draws"] == t, report and report["p_pairs"], report and report["p_steps"]))
+    found = spark.createDataFrame(rows, "workload string, kind string, same boolean, p_pairs double, p_steps double")
+    status = F.when(F.col("same"), F.col("status")).otherwise("COUNT-MISMATCH")
+    return validation.gate(found).join(found.select("workload", "kind", "same"), ["workload", "kind"]).select("workload", "kind", status.alias("status"))
+
+
 def describe(join: BoxJoin, t: int, kind: str = "compiled", seed: str = "0" * 64) -> str:
     """Canonical JSON of n_r, n_s, W, density and bits of W."""
     j = join.clean()

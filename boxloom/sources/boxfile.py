@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..operators.boxes import BoxJoin, dimension
+from ..operators.boxes import BoxJoin, dimension, repeated_ids
 
 #: Fixed values of the file format.
 MAGIC, VERSION, LITTLE, HEADER_BYTES, ALIGN = b"ANCHORW\0", 1, 1, 128, 64
@@ -166,12 +166,29 @@ def check(path: str) -> Header:
 
 
 def load(spark: SparkSession, path: str, verify: bool = True) -> BoxJoin:
-    """Both sides of a box file; with `verify` its hash and padding are checked first."""
-    if verify:
-        check(path)
+    """Both sides of a box file; with `verify` its hash and padding, its manifest (if there is one) and that ids are unique are checked first."""
     spark.dataSource.register(BoxFileSource)
     side = lambda s: spark.read.format("boxes").option("side", s).load(path).drop("side")
-    return BoxJoin(side("r"), side("s"))
+    join = BoxJoin(side("r"), side("s"))
+    if verify:
+        match_manifest(path, check(path))
+        if not all(repeated_ids(df).isEmpty() for df in (join.r, join.s)):
+            raise FormatError("ids repeat within a side")
+    return join
+
+
+def match_manifest(path: str, h: Header) -> None:
+    """Fails if path.manifest.json tells another type, dimension, size or hash than the file's header."""
+    if os.path.exists(f"{path}.manifest.json"):
+        with open(f"{path}.manifest.json", encoding="utf-8") as f:
+            told = json.load(f)
+        own = manifest_of(h)
+        if any(told.get(k) != v for k, v in own.items()):
+            raise FormatError("the manifest is of another file")
+
+
+def manifest_of(h: Header) -> dict:
+    return {"endpoint_type": h.endpoint, "dimension": h.d, "n_r": h.n_r, "n_s": h.n_s, "payload_sha256": h.sha256.hex()}
 
 
 def save(join: BoxJoin, path: str, metadata: dict | None = None) -> dict:
@@ -202,7 +219,7 @@ def save(join: BoxJoin, path: str, metadata: dict | None = None) -> dict:
     with open(temporary, "r+b") as f:
         f.write(Header.of(kind, d, *n, sha).packed())
     os.replace(temporary, path)
-    manifest = {"endpoint_type": kind, "dimension": d, "n_r": n[0], "n_s": n[1], "payload_sha256": sha.hex(), "metadata": metadata or {}}
+    manifest = manifest_of(Header.of(kind, d, *n, sha)) | {"metadata": metadata or {}}
     with open(f"{path}.manifest.json", "w", encoding="utf-8") as f:
         json.dump(manifest, f, sort_keys=True)
     return manifest
