@@ -451,7 +451,7 @@ def test_prefixes_shorten_until_the_recall():
     assert 0.0003 < 1 - ngrams.found_chance(0.8, 5) < 0.0004
 
 
-@pytest.mark.parametrize("levels", [(12, 8, 6, 5), (6, 4), (3,)])
+@pytest.mark.parametrize("levels", [(12, 8, 6, 5), (3,)])
 def test_each_pair_counts_at_one_length(spark, monkeypatch, levels):
     rnd = random.Random(9)
     texts = []
