@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, langid, licenses, merkle, mixing, ngrams, periods, quality, substrings, suffixes, warc
+from . import bpe, embeddings, langid, licenses, merkle, mixing, ngrams, periods, quality, secrets, substrings, suffixes, warc
 
-MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality, ngrams, substrings, suffixes, merkle, periods)
+MODULES = (bpe, mixing, embeddings, langid, licenses, warc, quality, ngrams, substrings, suffixes, merkle, secrets, periods)
 
 
 def queries() -> dict:
