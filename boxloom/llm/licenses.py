@@ -32,10 +32,13 @@ _BSD_WARRANTY = (
     "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 _GNU = (
-    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, {choice}. "
-    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-    "PARTICULAR PURPOSE. See the {kind} for more details. You should have received a copy of the {kind} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    "This {it} is free software{then} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{that} "
+    "either version {version} of the License, or (at your option) any later version. This {it} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} "
+    "along with this {it}{close}"
 )
+_WEB = ". If not, see <https://www.gnu.org/licenses/>."
+_POST = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
 #: Known licence texts and usual statements (fixed values of public licences).
 KNOWN = (
     (
@@ -107,8 +110,17 @@ KNOWN = (
         "https://mozilla.org/MPL/2.0/.",
     ),
     *(
-        (f"{short}-or-later", _GNU.format(name=f"GNU {kind}General Public License", kind=f"GNU {kind}General Public License", choice=f"either version {version} of the License, or (at your option) any later version"))
-        for short, kind, version in (("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-2.1", "Lesser ", 2.1), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3))
+        (f"{short}-or-later", _GNU.format(it=it, then=then, that=that, name=f"GNU {kind}General Public License", version=version, close=close))
+        for short, kind, version, it, then, that, close in (
+            ("GPL-2.0", "", 2, "program", ";", ";", _POST),
+            ("GPL-2.0", "", 2, "program", ":", ",", _WEB),
+            ("GPL-3.0", "", 3, "program", ":", ",", _WEB),
+            ("LGPL-2.1", "Lesser ", 2.1, "library", ";", ";", _POST),
+            ("LGPL-2.1", "Lesser ", 2.1, "library", ";", ";", _WEB),
+            ("LGPL-3.0", "Lesser ", 3, "program", ":", ",", _WEB),
+            ("LGPL-3.0", "Lesser ", 3, "library", ":", ",", _WEB),
+            ("AGPL-3.0", "Affero ", 3, "program", ":", ",", _WEB),
+        )
     ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -121,45 +133,52 @@ KNOWN = (
 )
 #: Digests of the canonical forms of long licences' full texts (fixed values; a test computes them from the files that Debian ships in /usr/share/common-licenses).
 DIGESTS = (
-    ("Apache-2.0", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
-    ("Artistic-1.0-Perl", "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a"),
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
     ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2", "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86"),
-    ("GFDL-1.3", "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb"),
-    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
-    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
-    ("GPL-3.0", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
-    ("LGPL-2.0", "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"),
-    ("LGPL-2.1", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "eafda7cb5e995143f4d45ef2107eb160d6856afabed7c48b1b317303bc40a7e6"),
+    ("GPL-2.0", "633db8412bbb99b0672b664e80d260461a3f7fb1c14a45c614eb6124876ce2a7"),
+    ("GPL-3.0", "01bfee141afa6ba14551655b7834887593e299c066a6cd34132a745fe36d73cd"),
+    ("LGPL-2.0", "1f1ace2d2c5e80547f3f0517299934f8d456c17a9a9939250e76087b010f5614"),
+    ("LGPL-2.1", "6eacb2e57ceb0cc63a48b9b4e3181e4b691c27408dfd80dc12bafc4bffff46b5"),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
-    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
 )
-#: Spellings that count as the same, at the start of a word of the canonical form (fixed values).
-SPELLINGS = (
-    ("licenc", "licens"), ("sublicenc", "sublicens"), ("noninfring", "non infring"), ("organis", "organiz"), ("authoris", "authoriz"), ("favour", "favor"),
-    ("copyright([ \n]+)owner", "copyright$2holder"),
-)
-
-#: Lines of a copyright notice; titles that stand above a text; what is no word (lines stay apart).
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-TITLE = r"(?m)\A\s*(the )?(mit|isc|bsd|zlib|bsd [23]-clause|[23]-clause bsd) licen[cs]e( \((mit|isc|bsd)\))?[ \t]*$"
+#: Beginnings of words that count as the same (fixed values), the last one over the border of a line too.
+SPELLINGS = (("licenc", "licens"), ("sublicenc", "sublicens"), ("noninfring", "non infring"), ("organis", "organiz"), ("authoris", "authoriz"), ("favour", "favor"))
+OWNER = ("copyright owner", "copyright holder")
+
+#: What follows the word where it stands in the terms, not in a notice (fixed values).
+TERMS = "notice notices holder holders owner owners law laws license licence interest interests act acts statement statements protection infringement and or in is".split()
+_GAP, _END = r"[^\p{L}\p{N}\n]*", r"(?![\p{L}\p{N}])"
+#: A line that begins with a notice: the word and no term after it, a sign and a year, the sign that says all, or the rights; portions may be named.
+NOTICE = rf"(?:(?:portions )?copyright{_END}(?!{_GAP}(?:{'|'.join(TERMS)}){_END})|©|\(c\){_GAP}(?:copyright{_GAP})?[12]\d\d\d|all rights reserved{_END})"
+#: Lines of notices at the start of a text or of a paragraph, after a line without letters and digits.
+NOTICES = rf"(\n{_GAP})(?:\n{_GAP}{NOTICE}[^\n]*)+"
+TITLE = r"\A\s*(the )?(mit|isc|bsd|zlib|bsd [23]-clause|[23]-clause bsd) licen[cs]e( \((mit|isc|bsd)\))?[ \t\r]*(?=\n|\z)"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Lower case, line by line; without copyright lines, licence titles and punctuation; equal spellings; one space between words."""
-    x = F.lower(F.coalesce(text, F.lit("")))
-    for pattern in (COPYRIGHT, TITLE, PUNCTUATION):
-        x = F.regexp_replace(x, pattern, " ")
+    """Lower case, line by line; without a title, notices at the start of paragraphs and punctuation; equal spellings; one space between words, one before each line.
+
+    A line in the terms may begin with any word, wherever the text is wrapped: only a paragraph's first lines can be notices.
+    """
+    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), TITLE, "")
+    x = F.regexp_replace(F.concat(F.lit("\n\n"), x), NOTICES, "$1")
+    x = F.regexp_replace(F.replace(x, F.lit("\n"), F.lit(" \n ")), PUNCTUATION, " ")
     for other, same in SPELLINGS:
-        x = F.regexp_replace(x, rf"(^|[ \n]){other}", f"$1{same}")
+        x = F.replace(x, F.lit(f" {other}"), F.lit(f" {same}"))
     return x
 
 
 def joined(lines: Column) -> Column:
     """Canonical lines as one text."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    x = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, r"[ \n]+", " ")))
+    return F.trim(F.replace(x, F.lit(f" {OWNER[0]}"), F.lit(f" {OWNER[1]}")))
 
 
 def digest(text: Column) -> Column:
@@ -184,7 +203,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = known_digests(docs.sparkSession) if known is None else known
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), canonical_lines(F.col("text")).alias("lines"))
     paragraphs = F.transform(F.split("lines", r"\n[ ]*(?=\n)"), joined)
-    parts = F.array_distinct(F.concat(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), paragraphs))
+    line = lambda x: F.trim(F.replace(x, F.lit(f" {OWNER[0]}"), F.lit(f" {OWNER[1]}")))
+    parts = F.array_distinct(F.concat(F.transform(F.split("lines", "\n"), line), paragraphs))
     each = rows.select("doc_id", "key", F.explode(F.filter(parts, lambda x: x != "")).alias("part")).select("doc_id", "key", F.sha2("part", 256).alias("digest"))
     stated = each.join(F.broadcast(known), "digest").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
     stated = stated.select(F.col("doc_id").alias("of"), "key", "line_licenses")
@@ -197,29 +217,43 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumn("line_licenses", F.concat_ws(",", "line_licenses"))
 
 
-def _sql(line: str) -> str:
-    """The canonical form of a line in DuckDB's SQL, word by word: a copyright line is empty, words are runs of letters and digits."""
+def _sql(words: str) -> str:
+    """The canonical form of a list of lower-case words in DuckDB's SQL."""
     word = "regexp_replace(w, '^(sub)?licenc', '\\1licens')"
-    for other, same in (("noninfring", "non infring"), ("organis", "organiz"), ("authoris", "authoriz"), ("favour", "favor")):
+    for other, same in SPELLINGS[2:]:
         word = f"regexp_replace({word}, '^{other}', '{same}')"
-    words = f"array_to_string(list_transform(regexp_extract_all(lower({line}), '[\\p{{L}}\\p{{N}}]+'), lambda w: {word}), ' ')"
-    return f"case when regexp_matches(lower({line}), '^[^\\p{{L}}\\p{{N}}]*(copyright\\b|\\(c\\)|©|all rights reserved)') then '' else {words} end"
+    return f"array_to_string(list_transform({words}, lambda w: {word}), ' ')"
 
 
-_OWNER = "regexp_replace({x}, '(^| )copyright owner', '\\1copyright holder', 'g')"
+#: Titles as word lists, and what a notice's second word is not, for the SQL alone.
+_TITLES = [f"{the}{name} {licence}{short}" for the in ("", "the ") for name in ("mit", "isc", "bsd", "zlib", "bsd 2-clause", "bsd 3-clause", "2-clause bsd", "3-clause bsd") for licence in ("license", "licence") for short in ("", " (mit)", " (isc)", " (bsd)")]
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_SPLIT = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
+_PAIR = "regexp_replace({x}, '(^| )copyright owner', '\\1copyright holder', 'g')"
 ORACLE = rf"""
-with k as (select sha256({_OWNER.format(x=_sql("body"))}) as digest, license from (values {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in KNOWN)}) as v(license, body)
+with k as (select sha256({_PAIR.format(x=_sql(_SPLIT.format(x="body")))}) as digest, license from (values {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in KNOWN)}) as v(license, body)
            union all select * from (values {", ".join("('%s', '%s')" % (d, x) for x, d in DIGESTS)}) as v(digest, license)),
 known as (select digest, min(license) as license from k group by digest),
-d as (select row_number() over () as r, doc_id, lower(coalesce(text, '')) as text from documents),
--- a title above the text is no part of it
-t as (select r, doc_id, regexp_replace(text, '^\s*(the )?(mit|isc|bsd|zlib|bsd [23]-clause|[23]-clause bsd) licen[cs]e( \((mit|isc|bsd)\))?[ \t]*(\n|$)', chr(10)) as text from d),
-l as (select r, i, {_sql("x")} as x from (select r, unnest(s) as x, generate_subscripts(s, 1) as i from (select r, string_split(text, chr(10)) as s from t))),
-p as (select *, count(*) filter (where x = '') over (partition by r order by i) as paragraph from l),
-parts as (select r, {_OWNER.format(x="x")} as part from l union select r, {_OWNER.format(x="string_agg(x, ' ' order by i)")} from p where x <> '' group by r, paragraph),
+d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+n as (select r, i, {_SPLIT.format(x="x")} as w, trim(lower(x), ' ' || chr(9) || chr(13)) as z, lower(regexp_replace(x, '^[^\p{{L}}\p{{N}}©(]*', '')) as y
+      from (select r, unnest(s) as x, generate_subscripts(s, 1) as i from (select r, string_split(text, chr(10)) as s from d))),
+-- a title is all of the first line that isn't blank
+f as (select r, min(i) filter (where z <> '') as top from n group by r),
+t as (select n.r, i, case when i = top and z in {_IN(_TITLES)} then [] else w end as w, y from n left join f using (r)),
+-- a notice by its first words; it counts while nothing but notices stands before it in its paragraph
+c as (select *, len(w) > 0 as words, coalesce(case
+        when w[1] = 'copyright' or (w[1] = 'portions' and w[2] = 'copyright' and y like 'portions copyright%') then coalesce(w[case when w[1] = 'copyright' then 2 else 3 end] not in {_IN(TERMS)}, true)
+        when starts_with(y, '©') or contains(split_part(y, coalesce(w[1], chr(0)), 1), '©') then true
+        when w[1] = 'c' and starts_with(regexp_replace(y, '^\(*', '('), '(c)') then regexp_matches(case when w[2] = 'copyright' then w[3] else w[2] end, '^[12][0-9]{{3}}')
+        else w[1:3] = ['all', 'rights', 'reserved'] and y like 'all rights reserved%' end, false) as notice from t),
+p as (select *, count(*) filter (where not words) over (partition by r order by i) as paragraph from c),
+q as (select *, words and not (notice and sum(case when words and not notice then 1 else 0 end) over (partition by r, paragraph order by i) = 0) as stays from p),
+l as (select r, i, case when stays then {_sql("w")} else '' end as x, stays from q),
+g as (select *, count(*) filter (where x = '') over (partition by r order by i) as paragraph from l),
+parts as (select r, {_PAIR.format(x="x")} as part from l union select r, {_PAIR.format(x="string_agg(x, ' ' order by i)")} from g where x <> '' group by r, paragraph),
 s as (select r, string_agg(distinct license, ',' order by license) as line_licenses from parts join known on sha256(part) = digest where part <> '' group by r),
-w as (select r, sha256({_OWNER.format(x="coalesce(string_agg(x, ' ' order by i) filter (where x <> ''), '')")}) as digest from l group by r)
-select doc_id, w.digest, license, coalesce(line_licenses, '') as line_licenses
-from d join w using (r) left join known on w.digest = known.digest left join s using (r)
+a as (select r, sha256({_PAIR.format(x="coalesce(string_agg(x, ' ' order by i) filter (where x <> ''), '')")}) as digest from l group by r)
+select doc_id, a.digest, license, coalesce(line_licenses, '') as line_licenses
+from d join a using (r) left join known on a.digest = known.digest left join s using (r)
 """
 QUERIES, SQL = {"op4_license_digests": query}, {"op4_license_digests": ORACLE}
