@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import arrow_batches, packed, table, unpacked
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: No pair: more than any rank.
@@ -95,15 +96,17 @@ def merge_many(r: Ranks, pieces: list[bytes]) -> list[bytes]:
 
 
 def merge_one(r: Ranks, piece: bytes) -> bytes:
-    """Ids of one long piece: the same tree as a list, in time n log n."""
+    """Ids of one long piece: the same tree in arrays, at most 32 bytes for each byte, in time n log n."""
     n, none = len(piece), int(NONE)
-    ids = r.of_byte[np.frombuffer(piece, np.uint8)].tolist()
+    first = r.of_byte[np.frombuffer(piece, np.uint8)]
     leaves = 1 << (n - 1).bit_length()
-    tree = [none] * (2 * leaves)
-    tree[leaves : leaves + n - 1] = r.rank_of(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-    for x in range(leaves - 1, 0, -1):
-        tree[x] = min(tree[2 * x], tree[2 * x + 1])
-    after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), r.pair
+    whole = np.full(2 * leaves, NONE, np.int32)
+    whole[leaves : leaves + n - 1] = r.rank_of(first[:-1], first[1:])
+    for k in range(leaves.bit_length() - 2, -1, -1):
+        whole[1 << k : 2 << k] = np.minimum(whole[2 << k : 4 << k : 2], whole[(2 << k) + 1 : 4 << k : 2])
+    ids, tree = array("i", first.tobytes()), array("i", whole.tobytes())
+    after, before, pair = array("i", range(1, n + 1)), array("i", range(-1, n - 1)), r.pair
+    del first, whole
 
     def put(x: int, rank: int) -> None:
         x += leaves
@@ -127,7 +130,8 @@ def merge_one(r: Ranks, piece: bytes) -> bytes:
         put(i, pair.get(best << 32 | ids[k], none) if k < n else none)
         if h >= 0:
             put(h, pair.get(ids[h] << 32 | best, none))
-    return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+    found = np.frombuffer(ids, np.int32)
+    return found[found >= 0].astype("<u4").tobytes()
 
 
 def learn(r: Ranks, pieces: Iterable[str]) -> None:
@@ -165,7 +169,8 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, back: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (row, _text) to (row, ids), and `bytes`, what the ids stand for, if they are to be decoded too."""
     r, match = ranks(path), regex.compile(pattern)
     for batch in batches:
         texts = batch.column("_text").to_pylist()
@@ -182,48 +187,69 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
                     parts.append(b"".join(map(r.known.__getitem__, part)))
                 ids = b"".join(parts)
             out.append(ids)
-        rest = batch.drop_columns(["_text"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.binary())], [*rest.schema.names, "ids"])
+        del texts, short, whole
+        columns = [pa.array(out, pa.binary())] + ([pa.array([decoded(r.tokens, x) for x in out], pa.binary())] if back else [])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "ids", "bytes"][: len(columns) + 1])
     r.known.clear()  # an idle worker keeps no matches
 
 
+def decoded(token: dict[int, bytes], ids: bytes) -> bytes:
+    """The bytes of ids, a part of them at a time."""
+    found = np.frombuffer(ids, "<u4")
+    return b"".join(b"".join(map(token.__getitem__, found[at : at + (1 << 16)].tolist())) for at in range(0, len(found), 1 << 16))
+
+
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    token = tokens(path).__getitem__
+    token = tokens(path)
     for batch in batches:
-        out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column("ids").to_pylist()]
-        rest = batch.drop_columns(["ids"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.binary())], [*rest.schema.names, "bytes"])
+        out = [None if x is None else decoded(token, x) for x in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], ["row", "bytes"])
+
+
+def _coded(docs: DataFrame, keep: tuple[str, ...], text: str, vocabulary: str | None, pattern: str, back: bool) -> DataFrame:
+    """(row, ids), and bytes if decoded too; row has the columns in `keep`."""
+    arrow_batches(docs.sparkSession)
+    rows = docs.select(packed(keep).alias("row"), F.col(text).alias("_text"))
+    schema = rows.drop("_text").schema.add("ids", "binary")
+    schema = schema.add("bytes", "binary") if back else schema
+    return rows.mapInArrow(functools.partial(_encode, path=vocabulary or public_tokenizers.path(VOCABULARY), pattern=pattern, back=back), schema)
 
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """The columns in `keep` and `ids`: each whole text's token ids as little-endian uint32 in a binary column.
+    """The columns in `keep`, whatever their names, and `ids`: each whole text's token ids as little-endian uint32 in a binary column.
 
     Each match of `pattern` is merged by itself, without special tokens, as the tiktoken library would; a match that is a
     token itself needs no merging. `vocabulary` is the path of a rank file on every worker. A null text is an empty one,
     which has no ids; equal rows give equal results; an empty table gives none. Row by row in Arrow batches, no shuffle.
-    A worker holds one batch, the vocabulary and REMEMBERED matches; texts over LONG_TEXT are taken in parts.
+    A worker holds one batch, the vocabulary and REMEMBERED matches; texts over LONG_TEXT are taken in parts, a match of n
+    bytes takes 32 n bytes while it is merged.
     """
-    arrow_batches(docs.sparkSession)
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = rows.drop("_text").schema.add("ids", "binary")
-    return rows.mapInArrow(functools.partial(_encode, path=path, pattern=pattern), schema)
+    return _coded(docs, keep, text, vocabulary, pattern, False).select(*unpacked("row", keep), "ids")
 
 
 def decode(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """df with `bytes`, what `ids` stand for, in place of `ids`; null stays null. An unknown id is an error."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    return df.mapInArrow(functools.partial(_decode, path=path), df.drop("ids").schema.add("bytes", "binary"))
+    path, others = vocabulary or public_tokenizers.path(VOCABULARY), [c for c in df.columns if c != "ids"]
+    rows = df.select(packed(others).alias("row"), "ids")
+    found = rows.mapInArrow(functools.partial(_decode, path=path), rows.select("row").schema.add("bytes", "binary"))
+    return found.select(*unpacked("row", others), "bytes")
 
 
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
-def round_trip(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and `keep`) of docs(doc_id, text): encoded, then decoded again."""
-    coded = encode(docs, ("doc_id", *keep)).select("doc_id", *keep, "ids", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    return decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"), *keep)
+def round_trip(docs: DataFrame, keep: tuple[str, ...] = (), ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (ids, if asked for, and `keep`) of docs(doc_id, text): encoded, then decoded again by the same worker.
+
+    Kept columns may have any name, those of the result too, which stand first. Nulls, ties and long texts as for encode().
+    """
+    coded = _coded(docs, ("doc_id", *keep), "text", None, public_tokenizers.PATTERN, True)
+    doc_id, *kept = unpacked("row", ("doc_id", *keep))
+    return coded.select(
+        doc_id, n_tokens(F.col("ids")).alias("n_tokens"), *(["ids"] if ids else []), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+        *kept,
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column of a DataFrame by its very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(names: Iterable[str]) -> Column:
+    """Columns as one struct whose fields have names of its own, so that no column's name can clash on the way."""
+    return F.struct(F.lit(True).alias("_"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+
+
+def unpacked(struct: str, names: Iterable[str]) -> list[Column]:
+    """The columns that packed() took together, under their own names."""
+    return [F.col(f"{struct}.c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import arrow_batches, components, given, groups_of, order_of, stored, table
+from .common import arrow_batches, components, given, groups_of, order_of, packed, stored, table, unpacked
 
 THRESHOLD = 0.95
 #: Home vectors of a group of cells that is aimed at, groups at least, rows of a tile on its two sides, products held at a time.
@@ -226,7 +226,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: tupl
     spark = vectors.sparkSession
     arrow_batches(spark, 2000, 4)
     kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
-    rest = F.struct(F.col("vec_id"), *[F.col(c) for c in keep]).alias("rest")
+    rest = packed(("vec_id", *keep)).alias("rest")
     rows = vectors.select(*order_of(F.col("vec_id")), F.col("embedding").cast("array<double>").alias("v"), rest)
     classes = rows.where(comparable(F.col("v"))).groupBy("v").agg(F.min("id").alias("least"), F.min("none").alias("least_none"), F.count("*").alias("copies"))
     classes = stored(classes.mapInArrow(_named, "v array<double>, least long, least_none boolean, copies long, node binary"), "vectors")
@@ -247,7 +247,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, keep: tupl
     out = rows.join(whole, "v", "left")
     c_id, c_none = F.coalesce("c_id", "id"), F.coalesce("c_none", "none")
     kept = (F.col("id") == c_id) & (F.col("none") == c_none)
-    return out.select("rest.vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), given(c_id, c_none).alias("component_id"), kept.alias("kept"), *[F.col(f"rest.`{c}`") for c in keep])
+    vec_id, *others = unpacked("rest", ("vec_id", *keep))
+    return out.select(vec_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), given(c_id, c_none).alias("component_id"), kept.alias("kept"), *others)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

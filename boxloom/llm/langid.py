@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_batches, table
+from .common import arrow_batches, packed, table, unpacked
 
 #: The sample that the model is fitted on: so many documents of each language at most and so many in all (but one of each), a part of so many characters of each.
 SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 150, 9600, 8000
@@ -254,12 +254,12 @@ class _Scorer:
         return self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
-def _label(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _label(batches: Iterator[pa.RecordBatch], model, text: str | None) -> Iterator[pa.RecordBatch]:
     scorer = _Scorer(model.value)
     moves = scorer.crf.moves
     labels = np.array([*scorer.crf.labels, UNKNOWN], object)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        texts = (batch.column("text") if text is None else batch.column("rest").field(text)).to_pylist()
         long = [i for i, t in enumerate(texts) if t and len(t) > PIECE]
         found = [[] if i in long else words_of(t) for i, t in enumerate(texts)]
         sizes = np.array([len(w) for w in found])
@@ -320,10 +320,12 @@ def predict(docs: DataFrame, crf: Crf, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    rows = docs.select(F.struct("doc_id", *[F.col(c) for c in keep]).alias("rest"), "text")
+    names = ("doc_id", *keep)
+    rows = docs.select(packed(names).alias("rest"), *([] if "text" in keep else ["text"]))  # each text goes to a worker once
     schema = StructType([rows.schema["rest"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    found = rows.mapInArrow(functools.partial(_label, model=spark.sparkContext.broadcast(crf)), schema)
-    return found.select("rest.doc_id", "lang_pred", "score", *[F.col(f"rest.`{c}`") for c in keep])
+    found = rows.mapInArrow(functools.partial(_label, model=spark.sparkContext.broadcast(crf), text=f"c{names.index('text')}" if "text" in keep else None), schema)
+    doc_id, *kept = unpacked("rest", names)
+    return found.select(doc_id, "lang_pred", "score", *kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table, unpacked
 
 #: Weights of the sources in order of code point, repeating; a source is used at most so many times.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEE
     """
     text = F.coalesce("text", F.lit(""))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text)))
-    rest = F.struct("doc_id", *[F.col(c) for c in keep]).alias("rest")
+    rest = packed(("doc_id", *keep)).alias("rest")
     rows = docs.select(rest, F.col("source").alias("_source"), size_of(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), name)).alias("_key"), F.xxhash64("text").alias("_tie"))
     sizes = docs.select("source", size_of(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -110,7 +110,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEE
     passes = F.when(F.col("words") > 0, F.expr("due div words")).otherwise(F.lit(0))
     rest = F.when(F.col("words") > 0, F.expr("due % words")).otherwise(F.lit(0))
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return out.select("rest.doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"rest.`{c}`") for c in keep])
+    doc_id, *kept = unpacked("rest", ("doc_id", *keep))
+    return out.select(doc_id, "size", "source_size", "target", taken.cast("long").alias("taken"), *kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

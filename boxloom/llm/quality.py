@@ -8,7 +8,7 @@ from operator import and_, ge, le
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import packed, table, unpacked, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -41,10 +41,10 @@ def _repeated(w: Column, n: Column) -> Column:
 
 
 def features(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Counts and ratios of every whole text; a null text is an empty one. Works row by row without a shuffle."""
+    """Counts and ratios of every whole text beside doc_id and _kept, a struct of the columns in `keep`; a null text is an empty one. Works row by row without a shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.select("doc_id", *keep, text.alias("_text"), words(F.col("text")).alias("_w"), lines.alias("_l"))
+    first = docs.select("doc_id", packed(keep).alias("_kept"), text.alias("_text"), words(F.col("text")).alias("_w"), lines.alias("_l"))
     n = F.size("_w")
     second = first.select(
         "*",
@@ -85,14 +85,16 @@ def compiled(rules: tuple = RULES) -> tuple[Column, Column]:
 def quality(docs: DataFrame, rules: tuple = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs(doc_id, text): the base counts, base_failed and kept.
 
-    Null and empty texts have no words and fail; equal rows give equal results; an empty table gives none.
+    Null and empty texts have no words and fail; equal rows give equal results; an empty table gives none. Columns in `keep`
+    may have any name and follow. A text is held whole, with its words, lines and three-word windows, by one task.
     """
     failed, kept = compiled(rules)
     # integer arithmetic for the base rule: 100 * n_repeat_words > 50 * n_words
     failed = failed | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return features(docs, keep).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (kept & ~failed).alias("kept"), *keep
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (kept & ~failed).alias("kept"),
+        *unpacked("_kept", keep),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, WORD, arrow_batches, given, later, order_of, remove, scratch, stored, table, text_key, words
+from .common import LAST_ID, WORD, arrow_batches, given, later, order_of, packed, remove, scratch, stored, table, text_key, unpacked, words
 from .text import runs, word_hashes
 
 #: Words of a window; words of the run that stands for a window in the index; batches of a whole table; runs before compaction.
@@ -274,15 +274,16 @@ def remainders(docs: DataFrame, window: int = WINDOW, run: int = RUN, batches: i
     """
     texts, sizes, least, places = _found(docs, window, run, batches, whole=False)
     others = [c for c in docs.columns if c != "text"]
-    keyed = _keyed(docs, F.struct(*others, F.col("text").isNull().alias("_null")).alias("row")).select(*ROW, "row")
+    keyed = _keyed(docs, F.struct(packed(others).alias("others"), F.col("text").isNull().alias("none")).alias("row")).select(*ROW, "row")
     listed = keyed.groupBy(*ROW).agg(F.collect_list("row").alias("listed"))
     known = sizes.join(least, "key").where(~_copy(window)).select(*ROW, "n_words").distinct().join(listed, ROW)
     met = texts.join(places, ROW, "left").join(known, ROW).dropDuplicates(ROW).select("text", "places", "n_words", "listed")
     schema = met.drop("text", "places").schema.add("left", "string").add("removed", "long")
     cut = met.mapInArrow(functools.partial(_cut, window=window), schema).where("removed = 0 or removed < n_words").withColumn("row", F.explode("listed"))
-    text = F.when(~F.col("row._null"), F.col("left"))
+    text = F.when(~F.col("row.none"), F.col("left"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return cut.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    own = dict(zip(others, unpacked("row.others", others)))
+    return cut.select(*[(new[c] if c in new else own[c]).alias(c) for c in docs.columns])
 
 
 def _found(

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 from pathlib import Path
 
 import duckdb
@@ -16,6 +17,7 @@ import tiktoken
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from boxloom.llm import bpe, embeddings, langid, licenses, mixing, ngrams, quality, registry, substrings, suffixes, warc
 from boxloom.llm.common import components, scratch, text_key
 
@@ -64,10 +66,25 @@ def test_long_matches_and_forgetting(monkeypatch):
     import pyarrow as pa
 
     texts = ["a" * 3000, "ab" * 777 + "é" * 99, "short one", " ".join("word%d" % i for i in range(40)), ""]
-    out = next(iter(bpe._encode([pa.RecordBatch.from_pydict({"_text": texts})], "p", public_tokenizers.PATTERN))).column("ids").to_pylist()
+    out = next(iter(bpe._encode([pa.RecordBatch.from_pydict({"row": [{"i": i} for i in range(5)], "_text": texts})], "p", public_tokenizers.PATTERN, True)))
+    assert out.column("bytes").to_pylist() == [t.encode() for t in texts]
+    out = out.column("ids").to_pylist()
     assert [np.frombuffer(x, "<u4").tolist() for x in out] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_kept_columns_may_have_any_name(spark):
+    docs = odd_docs(spark).select("doc_id", "text", "source", "lang", "n_chars", *[F.col("label").alias(c) for c in ("x.y", "ids", "n_tokens", "n_words", "_null", "_text", "row", "rest", "kept", "_kept", "_", "bytes", "sp ace")])
+    odd = tuple(docs.columns[5:])
+    n = docs.count()
+    for found in (bpe.round_trip(docs, odd), bpe.encode(docs, odd), quality.quality(docs, keep=odd), mixing.mix(docs, keep=odd), langid.predict(docs, langid.train(docs), odd)):
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == n and all(r.count("l") >= len(odd) for r in rows)
+        assert set(odd) <= set(found.columns)
+    assert bpe.decode(bpe.encode(docs.drop("ids", "bytes"), ("x.y", "row", "_"))).columns == ["x.y", "row", "_", "bytes"]
+    assert substrings.remainders(docs).columns == docs.columns
+    assert corpus_pipeline.identify(spark, docs, "").columns == docs.columns
+
+
 def sql_rows(sql, **tables):
     con = duckdb.connect()
     for name, frame in tables.items():
@@ -135,6 +152,19 @@ def test_licenses_by_canonical_text(spark):
     assert [got[i][1] for i in (3, 6, 7, 8)] == [["CC-BY-NC-4.0"], ["ISC"], ["0BSD"], ["Zlib"]]
 
 
+def test_known_texts_at_every_width(spark):
+    heads = ["", "Copyright (c) 2020 Some One\n\n", "(c) 2021, Some One <a@b.c>\nAll rights reserved.\n\n", " * Copyright 1999-2021 The Authors\n *\n", "Copyright Some One and other contributors\n", "MIT License\n\nCopyright © 2020 Some One\n\n", "Portions Copyright (C) 2020 A\nCopyright (C) 2021 B\n\nCopyright 2022 C\n\n"]
+    rows = [(name, head + "\n".join(textwrap.wrap(body, width)) + end) for name, body in licenses.KNOWN for width in (50, 57, 64, 70, 72, 76, 79, 80, 88, 100) for head in heads[:: 1 if width == 72 else 3] for end in ("", "\n\nCopyright (c) 2020 Z\n")]
+    docs = spark.createDataFrame([(i, text, name) for i, (name, text) in enumerate(rows)], "doc_id long, text string, name string")
+    missed = docs.join(licenses.scan(docs), "doc_id").where("not (license <=> name)").select("name", "text", "license").collect()
+    assert not missed
+    # the terms count, where they begin a line too
+    changed = docs.withColumn("text", F.regexp_replace("text", "(?i)above(\\s+)copyright(\\s+)notice", "above$1copyright$2remark")).where("text like '%remark%'")
+    assert changed.count() > 40 and not licenses.scan(changed).where("license is not null").count()
+    want = sql_rows(f"select doc_id, digest, license, line_licenses from ({licenses.ORACLE})", documents=arrow_docs(docs.select("doc_id", "text")))
+    assert sorted(repr(tuple(r)) for r in licenses.scan(docs).withColumn("line_licenses", F.concat_ws(",", "line_licenses")).collect()) == want
+
+
 def test_digests_of_full_texts(spark):
     folder = Path("/usr/share/common-licenses")
     if not folder.exists():
@@ -142,6 +172,10 @@ def test_digests_of_full_texts(spark):
     names = {"Artistic": "Artistic-1.0-Perl"} | {f"{x}-{v}": f"{x}-{v}.0" for x, v in (("GPL", 1), ("GPL", 2), ("GPL", 3), ("LGPL", 2), ("LGPL", 3))}
     texts = [(names.get(f.name, f.name), f.read_text(errors="replace")) for f in folder.iterdir() if not f.is_symlink()]
     got = {r[0]: r[1] for r in spark.createDataFrame(texts, "n string, t string").select("n", licenses.digest(F.col("t"))).collect()}
+    # wrapped anew, paragraph by paragraph, the words are the same
+    flowed = [(n, "\n\n".join("\n".join(textwrap.wrap(p, 60)) for p in re.split(r"\n[ \t\x0c]*\n", t))) for n, t in texts]
+    again = {r[0]: r[1] for r in spark.createDataFrame(flowed, "n string, t string").select("n", licenses.digest(F.col("t"))).collect()}
+    assert again["Apache-2.0"] == got["Apache-2.0"] and again["MPL-2.0"] == got["MPL-2.0"]
     assert {n: d for n, d in licenses.DIGESTS if n in got} == {n: d for n, d in got.items() if n in dict(licenses.DIGESTS)}
 
 
