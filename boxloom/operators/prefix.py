@@ -1,4 +1,4 @@
-"""Ranks and running sums over a whole relation without a single-task window: ranges of the first key, then offsets per range."""
+"""Ranks and running sums without a single-task window: ranges of the whole order, then offsets per range; over a relation, or in groups of any size."""
 
 from __future__ import annotations
 
@@ -7,63 +7,85 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one range may hold before more ranges are used.
-ROWS = 1 << 20
-
-
-def _range_of(x: Column, bounds: list) -> Column:
-    """Index of the range of x, as a balanced tree of comparisons that compiles with the plan."""
+from .storage import settled
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+#: Rows that one range, or one window, may hold before more ranges are used.
+ROWS = 1 << 20
 
-    return tree(0, len(bounds))
 
+def in_ranges(df: DataFrame, order: Sequence[str | Column], ranges: int) -> DataFrame:
+    """df with `range_no`, dealt by ranges of the whole order, then of a hash of the row, so that rows of one first key are split too.
 
-def in_ranges(df: DataFrame, first: str, rows: int = ROWS) -> DataFrame:
-    """Adds `range_no`: quantiles of `first` cut the rows into ranges of about `rows` rows; equal values share one."""
-    n = df.count()
-    many = min(512, -(-n // rows))
-    if many <= 1:
-        return df.withColumn("range_no", F.lit(0))
-    at = [i / many for i in range(1, many)]
-    bounds = sorted(set(df.agg(F.percentile_approx(first, at, 10 * many).alias("b")).first()["b"]))
-    return df.withColumn("range_no", _range_of(F.col(first), bounds))
+    Written once: what is summed by range and what is numbered in it are the same rows. Ranges are as many as asked for, so
+    they keep their size at every size of df.
+    """
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return settled(df.withColumn("_tie", tie).repartitionByRange(ranges, *order, "_tie").withColumn("range_no", F.spark_partition_id()))
 
 
-def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], first: str, rows: int = ROWS, before: bool = True) -> DataFrame:
+def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], rows: int = ROWS, before: bool = True, n: int | None = None) -> DataFrame:
     """Adds each of `sums` as a running total in `order` over all rows, up to the row before (`before`) or to the row itself.
 
-    `first` is the column that `order` begins with. Ranges are summed apart; the totals of earlier ranges (one row per
-    range, at most 512, which is what is broadcast) are added.
+    Beyond `rows` rows, ranges of about as many are summed apart and the totals of earlier ranges (one row per range, which
+    is what is broadcast) are added. `n` is the number of rows, where it is known.
     """
-    dealt = in_ranges(df, first, rows)
-    own = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    own = lambda *by: Window.partitionBy(*by).orderBy(*order, *(["_tie"] if by else [])).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    local = lambda d, w: d.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name) for name, c in sums.items()])
+    ranges = -(-(df.count() if n is None else n) // rows)
+    if ranges <= 1:
+        return local(df, own())
+    dealt = in_ranges(df, order, ranges)
     totals = dealt.groupBy("range_no").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
     earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("range_no").alias("_range"), *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
-    local = dealt.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(name) for name, c in sums.items()])
-    joined = local.join(F.broadcast(offsets), F.col("range_no") == F.col("_range"))
+    joined = local(dealt, own("range_no")).join(F.broadcast(offsets), F.col("range_no") == F.col("_range"))
     return joined.select(*df.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in sums])
 
 
-def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int = ROWS) -> DataFrame:
+def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = ROWS) -> DataFrame | None:
+    """The keys of groups with more than `rows` rows, of which there are few: at most one for `rows` rows of df. None if there is none."""
+    hot = settled(df.groupBy(*keys).count().where(F.col("count") > rows).select(*keys))
+    return None if hot.isEmpty() else hot
+
+
+def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column], hot: DataFrame | None, rows: int = ROWS, before: bool = True) -> DataFrame:
+    """running() within each group of `keys`. Groups of usual size are a window each; those in `hot` are cut into ranges like a whole relation.
+
+    A hot group's sums are those over all hot groups in the order of their keys, less the totals of the groups before it.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    usual = df if hot is None else df.join(F.broadcast(hot), list(keys), "left_anti")
+    out = usual.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(name) for name, c in sums.items()])
+    if hot is None:
+        return out
+    large = df.join(F.broadcast(hot), list(keys), "left_semi")
+    totals = large.groupBy(*keys).agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
+    summed = running(large, [*keys, *order], sums, rows, before).join(F.broadcast(offsets), list(keys))
+    return out.unionByName(summed.select(*df.columns, *[(F.col(name) - F.col(f"_{name}")).alias(name) for name in sums]))
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", rows: int = ROWS, n: int | None = None) -> DataFrame:
     """Adds the 0-based rank of each row in `order`."""
-    return running(df, order, {name: F.lit(1).cast("bigint")}, order[0], rows)
+    return running(df, order, {name: F.lit(1).cast("bigint")}, rows, n=n)
 
 
-def counts_at(points: DataFrame, at: DataFrame, coord: str = "x", name: str = "n_below", rows: int = ROWS) -> DataFrame:
+def counts_at(points: DataFrame, at: DataFrame, coord: str = "x", name: str = "n_below", rows: int = ROWS, by: Sequence[str] = (), n: int | None = None) -> DataFrame:
     """For each row of at(coord, inclusive, ...): the number of points below its coordinate, or at it too where `inclusive`.
 
-    One union in order of coordinate, so a lookup costs a sort, not a search: queries stand before equal points, or after
-    them where they include them.
+    With `by`, points and rows are first in the order of those columns: a row counts all points of earlier groups too. A null
+    coordinate of a row is below its group's points, or after them where `inclusive`. One union in order of coordinate, so a
+    lookup costs a sort, not a search: queries stand before equal points, or after them where they include them. Equal points
+    are one row, so a coordinate that very many have is no hot one. `n` bounds the rows of both, where that is known.
     """
-    p = points.select(F.col(coord).alias("_x"), F.lit(1).alias("_tie"), F.lit(1).cast("bigint").alias("_one"), F.lit(None).cast(_struct(at)).alias("_row"))
-    q = at.select(F.col(coord).alias("_x"), F.when(F.col("inclusive"), 2).otherwise(0).alias("_tie"), F.lit(0).cast("bigint").alias("_one"), F.struct(*at.columns).alias("_row"))
-    summed = running(p.unionAll(q), ["_x", "_tie"], {name: F.col("_one")}, "_x", rows)
+    keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    order = [*[f"_b{i}" for i in range(len(by))], "_end", "_x", "_tie_"]
+    p = points.groupBy(*keys, F.col(coord).alias("_x")).agg(F.count("*").alias("_one"))
+    p = p.select(*order[:-3], F.lit(0).alias("_end"), "_x", F.lit(1).alias("_tie_"), "_one", F.lit(None).cast(_struct(at)).alias("_row"))
+    end = F.when(F.col(coord).isNotNull(), 0).when(F.col("inclusive"), 1).otherwise(-1)
+    q = at.select(*keys, end.alias("_end"), F.col(coord).alias("_x"), F.when(F.col("inclusive"), 2).otherwise(0).alias("_tie_"), F.lit(0).cast("bigint").alias("_one"), F.struct(*at.columns).alias("_row"))
+    summed = running(p.unionAll(q), order, {name: F.col("_one")}, rows, n=n)
     return summed.where("_row is not null").select("_row.*", name)
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform_below
-from . import decompose, joins, sweep
+from . import decompose
 from .boxes import BoxJoin
-from .prefix import running
+from .levels import Levels
+from .prefix import counts_at, hot_groups, ranked, running, segmented
 from .storage import settled
 
 KINDS = ("compiled", "replay", "sweep", "lifted")
@@ -29,7 +28,7 @@ def picked(drawn: DataFrame, blocks: DataFrame, order: list[str], w: int, slots:
     that it covers, and within a slot one ordered pass carries the last block to the draws after it.
     """
     size = max(1, -(-w // slots))
-    summed = running(blocks, order, {"first": F.col("weight")}, order[0])
+    summed = running(blocks, order, {"first": F.col("weight")})
     fields = summed.columns
     slot = F.explode(F.sequence(F.call_function("div", F.col("first"), F.lit(size).cast("bigint")), F.call_function("div", F.col("first") + F.col("weight") - 1, F.lit(size).cast("bigint"))))
     kind = F.struct(*fields)
@@ -97,121 +96,173 @@ class Compiled(Sampler):
         return self
 
     def _count(self) -> int:
-        return decompose.total(self.blocks).first()["w"]
+        return int(decompose.total(self.blocks).first()["w"])
 
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
         blocks, lists = self._blocks()
         found = picked(drawn, blocks, ["anchor_id", "anchor_side", *decompose.keys_of(blocks)], w)
-        return self._resolved(found, lists)
+        return _resolved(found, lists)
+
 
-    def _resolved(self, found: DataFrame, lists: DataFrame) -> DataFrame:
-        keys = decompose.keys_of(lists)
-        want = found.select("pos", *keys, "anchor_side", "anchor_id", (1 - F.col("anchor_side")).alias("side"), (F.col("lo") + F.col("offset")).alias("rank"))
-        met = want.join(lists, [*keys, "side", "rank"])
-        r = F.when(F.col("anchor_side") == 0, F.col("anchor_id")).otherwise(F.col("id"))
-        s = F.when(F.col("anchor_side") == 0, F.col("id")).otherwise(F.col("anchor_id"))
-        return met.select("pos", r.alias("r_id"), s.alias("s_id"))
+def _resolved(found: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pair of each draw: the block's anchor, and the opposite box of its group at lo + offset."""
+    keys = decompose.keys_of(lists)
+    want = found.select("pos", *keys, "anchor_side", "anchor_id", (1 - F.col("anchor_side")).alias("side"), (F.col("lo") + F.col("offset")).alias("rank"))
+    met = want.join(lists, [*keys, "side", "rank"])
+    r = F.when(F.col("anchor_side") == 0, F.col("anchor_id")).otherwise(F.col("id"))
+    s = F.when(F.col("anchor_side") == 0, F.col("id")).otherwise(F.col("anchor_id"))
+    return met.select("pos", r.alias("r_id"), s.alias("s_id"))
 
 
-class Replay(Compiled):
-    """Blocks aren't kept: groups are weighed, draws are dealt to groups, and only groups with draws have their blocks formed again."""
+class Replay(Sampler):
+    """Blocks aren't kept: nodes are weighed, draws fall to nodes, and only nodes with draws have their blocks formed again.
 
-    kind = "replay"
+    For d > 1 a node is a group of the decomposition. On one axis it is a run of 2^RUN anchors of one side by their lower ends.
+    """
+
+    kind, RUN = "replay", 8
     _weighed: tuple[DataFrame, DataFrame] | None = None
 
-    def _groups(self) -> tuple[DataFrame, DataFrame]:
-        """The groups' boxes and their numbers of pairs."""
-        if self._weighed is None:
+    def prepare(self) -> Replay:
+        return self
+
+    def _nodes(self) -> tuple[DataFrame, DataFrame]:
+        """What blocks are formed from, and (node keys, weight) of each node with pairs."""
+        if self._weighed is None and self.join.d > 1:
             both = settled(decompose.grouped(self.join))
-            keys = decompose.keys_of(both)
-            self._weighed = both, settled(decompose.merged(both)[0].groupBy(*keys).agg(F.sum("weight").alias("weight")))
+            self._weighed = both, settled(decompose.merged(both)[0].groupBy(*decompose.keys_of(both)).agg(F.sum("weight").alias("weight")))
+        elif self._weighed is None:
+            boxes = [ranked(x.select("l0", "u0", "id"), ["l0", "id"]).select(F.lit(n).alias("side"), F.expr(f"rank div {1 << self.RUN}").alias("node"), "rank", "id", "l0", "u0") for n, x in enumerate((self.join.r, self.join.s))]
+            both = settled(boxes[0].unionAll(boxes[1]))
+            weighed = [self._spans(both, n).join(both.where(F.col("side") == n).select("node", "id"), "id").groupBy(F.lit(n).alias("side"), "node").agg(F.sum(F.col("hi") - F.col("lo")).alias("weight")) for n in (0, 1)]
+            self._weighed = both, settled(weighed[0].unionAll(weighed[1]))
         return self._weighed
 
-    def prepare(self) -> Replay:
-        return self
+    def _spans(self, both: DataFrame, side: int, touched: DataFrame | None = None) -> DataFrame:
+        """On one axis: (id, lo, hi, u) of a side's anchors, all or those of the touched nodes."""
+        own = both.where(F.col("side") == side)
+        own = own if touched is None else own.join(touched, ["side", "node"], "left_semi")
+        return decompose.rank_intervals(own, both.where(F.col("side") == 1 - side), 0, side == 0)
+
+    def keys(self) -> list[str]:
+        return ["side", "node"] if self.join.d == 1 else decompose.keys_of(self._nodes()[0])
 
     def _count(self) -> int:
-        return super()._count() if self.join.d == 1 else decompose.total(self._groups()[1]).first()["w"]
+        return int(decompose.total(self._nodes()[1]).first()["w"])
+
+    def _dealt(self, drawn: DataFrame, w: int) -> DataFrame:
+        """(pos, node keys, g): the node of each draw, and its place among the node's pairs."""
+        return settled(picked(drawn, self._nodes()[1], self.keys(), w).select("pos", *self.keys(), F.col("offset").alias("g")))
+
+    def quotas(self, t: int, query_id: int = 0) -> DataFrame:
+        """(level, node keys, weight, quota): the draws of each node and, level by level, of all nodes whose last key begins with the same digits.
+
+        A multinomial split of t by weight down a binary tree over the nodes; quotas of a level add up to t, as W's do to W.
+        """
+        w, keys = self.count(), self.keys()
+        drawn = self._dealt(draws(self.spark, self.domain(), t, w, query_id), w) if t and w else self._nodes()[1].limit(0).withColumn("g", F.lit(0))
+        own = drawn.groupBy(*keys).agg(F.count("*").alias("quota"))
+        leaf = self._nodes()[1].join(own, keys, "left").select(*keys, "weight", F.coalesce("quota", F.lit(0)).alias("quota"))
+        top = int(leaf.agg(F.max(keys[-1])).first()[0] or 0).bit_length()
+        levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+        up = leaf.select(levels, *keys[:-1], F.col(keys[-1]).alias("key"), "weight", "quota").withColumn(keys[-1], F.call_function("shiftright", "key", F.col("level")))
+        return up.groupBy("level", *keys).agg(F.sum("weight").alias("weight"), F.sum("quota").alias("quota"))
 
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
+        both, _ = self._nodes()
+        keys, dealt = self.keys(), self._dealt(drawn, w)
+        touched = dealt.select(*keys).distinct()
         if self.join.d == 1:
-            return super()._sample(drawn, w)
-        both, groups = self._groups()
-        keys = decompose.keys_of(both)
-        dealt = settled(picked(drawn, groups, keys, w).select("pos", *keys, F.col("offset").alias("g")))
-        blocks, lists = decompose.merged(both.join(dealt.select(*keys).distinct(), keys, "left_semi"), store=True)
-        by = Window.partitionBy(*keys)
-        before = F.coalesce(F.sum("weight").over(by.orderBy("anchor_side", "anchor_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        left = blocks.withColumn("first", before)
+            anchors = [self._spans(both, n, touched).join(both.where(F.col("side") == n), "id").select("side", "node", F.lit(n).alias("anchor_side"), F.col("id").alias("anchor_id"), "lo", "hi", (F.col("hi") - F.col("lo")).alias("weight"), F.col("rank").alias("nth")) for n in (0, 1)]
+            blocks, lists, order = settled(anchors[0].unionAll(anchors[1])), both, ["anchor_side", "nth"]
+        else:
+            blocks, lists = decompose.merged(settled(both.join(touched, keys, "left_semi")), store=True)
+            order = ["anchor_side", "anchor_id"]
+        left = segmented(blocks, keys, order, {"first": F.col("weight")}, hot_groups(blocks, keys))
         fields = ["anchor_side", "anchor_id", "lo", "hi", "weight", "first"]
+        # a node's pairs are met by its draws in one order of place: the last block that begins at or before a draw covers it
         a = left.select(*keys, F.col("first").alias("x"), F.lit(0).alias("tie"), F.lit(None).cast("bigint").alias("pos"), F.struct(*fields).alias("block"))
         b = dealt.select(*keys, F.col("g").alias("x"), F.lit(1).alias("tie"), "pos", F.lit(None).cast(left.select(*fields).schema.simpleString()).alias("block"))
-        over = by.orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        over = Window.partitionBy(*keys).orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         found = a.unionAll(b).withColumn("block", F.last("block", ignorenulls=True).over(over)).where("pos is not null")
         found = found.select("pos", *keys, "block.*", (F.col("x") - F.col("block.first")).alias("offset"))
-        return self._resolved(found, lists)
+        return _resolved(found, lists)
 
 
 class _Owned(Sampler):
-    """Draws pick an owner by its number of pairs, then one of its partners by rank of id; only drawn owners have their partners listed."""
+    """Draws pick an owner by its number of pairs, then the k-th of its partners; partners are never listed.
 
-    sides = (0, 1)
-    _made: DataFrame | None = None
+    An owner's pairs lie in the groups of the decomposition where it has a block, whose partners are a run of ranks, and
+    where it is a member of others' blocks: its partner there is the k-th of the anchors that begin at or before it and end
+    after it, by upper end, which a rank/select table over the ends finds. Both take a few rows for each draw.
+    """
 
-    def _weights(self) -> DataFrame:
-        """(side, owner_id, weight)"""
-        raise NotImplementedError
+    sweep = False
+    _made: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None
 
-    def _listed(self, side: int, join: BoxJoin) -> DataFrame:
-        """The pairs of a join that the boxes of the side own."""
-        raise NotImplementedError
+    def _parts(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Blocks, lists, the entries of owners, and (side, owner_id, weight)."""
+        if self._made is None:
+            blocks, lists = decompose.atoms(self.join, store=True)
+            entries = settled(decompose.entries(blocks, lists, self.sweep))
+            self._made = blocks, lists, entries, settled(entries.groupBy("side", "owner_id").agg(F.sum("weight").alias("weight")))
+        return self._made
 
     @property
     def weights(self) -> DataFrame:
-        self._made = self._made or settled(self._weights())
-        return self._made
+        return self._parts()[3]
 
     def prepare(self) -> _Owned:
-        self.weights  # noqa: B018
+        self._parts()
         return self
 
     def _count(self) -> int:
-        return decompose.total(self.weights).first()["w"]
+        return int(decompose.total(self.weights).first()["w"])
 
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
-        found = settled(picked(drawn, self.weights, ["owner_id", "side"], w).select("pos", "side", "owner_id", F.col("offset").alias("place")))
-        owners = found.select("side", F.col("owner_id").alias("id")).distinct()
-        r, s = (settled(x.join(owners.where(f"side = {n}").select("id"), "id", "left_semi")) for n, x in enumerate((self.join.r, self.join.s)))
-        pairs = lambda side, j: self._listed(side, j).select(F.lit(side).alias("side"), "r_id", "s_id")
-        drawn_of = (BoxJoin(r, self.join.s), BoxJoin(self.join.r, s))
-        listed = reduce(DataFrame.unionAll, [pairs(n, drawn_of[n]) for n in self.sides])
-        owner, other = (F.when(F.col("side") == n, F.col("r_id")).otherwise(F.col("s_id")) for n in (0, 1))
-        listed = listed.withColumn("owner_id", owner).withColumn("place", (F.row_number().over(Window.partitionBy("side", "owner_id").orderBy(other)) - 1).cast("bigint"))
-        return found.join(listed, ["side", "owner_id", "place"]).select("pos", "r_id", "s_id")
+        blocks, lists, entries, weights = self._parts()
+        keys = decompose.keys_of(blocks)
+        found = settled(picked(drawn, weights, ["owner_id", "side"], w).select("pos", "side", "owner_id", F.col("offset").alias("place")))
+        mine = entries.join(found.select("side", "owner_id").distinct(), ["side", "owner_id"], "left_semi")
+        by = Window.partitionBy("side", "owner_id").orderBy("own", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        mine = mine.withColumn("from", F.sum("weight").over(by) - F.col("weight"))  # a row per group of the owner: O(log^(d-1))
+        met = found.join(mine, ["side", "owner_id"]).where((F.col("place") >= F.col("from")) & (F.col("place") < F.col("from") + F.col("weight")))
+        met = settled(met.select("pos", *keys, "side", "owner_id", "own", "lo", "x", (F.col("place") - F.col("from")).alias("k")))
+
+        in_block = met.where("own = 0").select("pos", *keys, (1 - F.col("side")).alias("side"), "owner_id", (F.col("lo") + F.col("k")).alias("rank")).join(lists, [*keys, "side", "rank"])
+        in_block = in_block.select("pos", (1 - F.col("side")).alias("side"), "owner_id", F.col("id").alias("other"))
+        group = [*keys, "member"]
+        asked = met.where("own = 1").withColumnRenamed("side", "member")
+        others = blocks.where(F.col("anchor_side") != decompose.owner_of(blocks, self.sweep)).select(*keys, (1 - F.col("anchor_side")).alias("member"), "lo", "u", F.col("anchor_id").alias("other"))
+        others = settled(others.join(asked.select(*group).distinct(), group, "left_semi"))
+        n = others.count()
+        if not n:
+            return self._pairs(in_block)
+        pos = ranked(others.select(*group, "lo", "other"), [*group, "lo", "other"], "pos", n=n).select(*group, "other", "pos")
+        val = ranked(others.select(*group, "u", "other"), [*group, "u", "other"], "val", n=n).select(*group, "other", "val")
+        ends = settled(pos.join(val, [*group, "other"]))
+        at = lambda c, name: counts_at(others.select(*group, F.col(c).alias("at")), asked.select(*group, "pos", F.col("lo" if c == "lo" else "x").alias("at"), F.lit(True).alias("inclusive")), "at", name, by=group).select("pos", name)
+        # anchors that end at or before a member also begin before it, so they are the first values among those that have begun
+        table = asked.select("pos", F.col("member").alias("side"), "owner_id", "k").join(at("lo", "begun"), "pos").join(at("u", "ended"), "pos")
+        chosen = Levels(ends).kth(table.select("pos", "side", "owner_id", F.lit(0).cast("bigint").alias("first"), F.col("begun").alias("last"), (F.col("k") + F.col("ended")).alias("k")), name="val")
+        return self._pairs(in_block.unionAll(chosen.join(ends.select("val", "other"), "val").select("pos", "side", "owner_id", "other")))
+
+    @staticmethod
+    def _pairs(found: DataFrame) -> DataFrame:
+        owner = F.col("side") == 0
+        return found.select("pos", F.when(owner, F.col("owner_id")).otherwise(F.col("other")).alias("r_id"), F.when(owner, F.col("other")).otherwise(F.col("owner_id")).alias("s_id"))
 
 
 class Sweep(_Owned):
     """The owner is the box that starts later on axis 0."""
 
-    kind = "sweep"
-
-    def _weights(self) -> DataFrame:
-        return sweep.weights(self.join).withColumnRenamed("id", "owner_id")
-
-    def _listed(self, side: int, join: BoxJoin) -> DataFrame:
-        return joins.grid_pairs(join).where(sweep.owner_side() == side)
+    kind, sweep = "sweep", True
 
 
 class Lifted(_Owned):
     """The owner is the R box."""
 
-    kind, sides = "lifted", (0,)
-
-    def _weights(self) -> DataFrame:
-        return joins.degrees_counted(self.join).select(F.lit(0).alias("side"), F.col("r_id").alias("owner_id"), F.col("degree").alias("weight"))
-
-    def _listed(self, side: int, join: BoxJoin) -> DataFrame:
-        return joins.grid_pairs(join)
+    kind = "lifted"
 
 
 def make_sampler(kind: str, join: BoxJoin, seed: str = "0" * 64) -> Sampler:

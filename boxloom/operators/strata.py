@@ -48,7 +48,7 @@ def half_split(df: DataFrame, strata: Sequence[str], id: str, target: int, strat
     """
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
     halves = sizes.withColumn("_key", stable_hex(stratum_tag, canonical_integers(*[F.col(c) for c in strata]))).withColumn("_first", F.conv(F.substring("_key", 1, 15), 16, 10).cast("bigint"))
-    placed = running(halves, ["_first", "_key", *strata], {"_odds": F.col("_size") % 2}, "_first", before=False)  # _first is in the order of _key
+    placed = running(halves, ["_first", "_key", *strata], {"_odds": F.col("_size") % 2}, before=False)  # _first is in the order of _key
     totals = sizes.agg((F.lit(target) - F.sum(F.call_function("div", F.col("_size"), F.lit(2).cast("bigint")))).alias("_missing"), F.sum(F.col("_size") % 2).alias("_odd"))
     odd = placed.crossJoin(F.broadcast(totals))
     fits = (F.col("_missing") >= 0) & (F.col("_missing") <= F.col("_odd"))

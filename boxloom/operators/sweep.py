@@ -27,7 +27,7 @@ def swept(join: BoxJoin) -> DataFrame:
     """Events with their place in the order, the ordinal of starts, and how many boxes of each side are open before them."""
     open_ = lambda side: F.when(F.col("side") == side, 1 - 2 * F.col("is_end")).otherwise(0).cast("bigint")
     sums = {"place": F.lit(1).cast("bigint"), "starts_before": (1 - F.col("is_end")).cast("bigint"), "active_r": open_(0), "active_s": open_(1)}
-    return running(events(join), order(), sums, "coord")
+    return running(events(join), order(), sums)
 
 
 def owner_side() -> Column:

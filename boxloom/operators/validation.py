@@ -122,4 +122,4 @@ def holm(pvalues: DataFrame, level: float = 0.01) -> DataFrame:
     m = pvalues.count()
     fine = F.col("p") <= F.lit(level) / (F.lit(m) - F.col("_rank"))
     placed = ranked(pvalues, ["p", "label"], "_rank").withColumn("_failed", F.when(fine, 0).otherwise(1))
-    return running(placed, ["p", "label"], {"_failures": F.col("_failed")}, "p", before=False).withColumn("rejected", F.col("_failures") == 0).drop("_rank", "_failed", "_failures")
+    return running(placed, ["p", "label"], {"_failures": F.col("_failed")}, before=False).withColumn("rejected", F.col("_failures") == 0).drop("_rank", "_failed", "_failures")

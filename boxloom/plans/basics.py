@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import uniform_sql
 from ..operators import boxes, decompose, diagnostics, joins, ranges, strata
-from .catalog import SEED, SQL, add
+from .catalog import SEED, SQL, blocks_sql, add
 from .fixtures import FIXTURES, read, sides_sql
 
 
@@ -47,6 +47,8 @@ for _f in ("part2", "evt2_l1"):
         f"node_weights_{_f}", lambda spark, sf, f=_f: decompose.node_weights(decompose.atoms(FIXTURES[f](spark, sf))[0]).groupBy(F.call_function("div", F.col("k0"), F.lit(1 << 60).cast("bigint")).alias("starts_later")).agg(F.sum("weight").alias("pairs")),
         f"with {sides_sql(_f)} select (r_l0 > s_l0)::bigint as starts_later, count(*) as pairs from p group by 1",
     )
+for _f in ("part2", "evt2_l1", "emb3"):
+    add(f"node_pairs_{_f}", lambda spark, sf, f=_f: decompose.node_weights(decompose.atoms(FIXTURES[f](spark, sf))[0]), f"with {sides_sql(_f)}, {blocks_sql(_f)} select k0, count(*) as weight from b group by 1")
 for _f, _d in (("ord1", 1), ("ord_all", 1), ("part2", 2), ("evt2_l1", 2), ("emb3", 3)):
     add(f"box_degree_counted_{_f}", lambda spark, sf, f=_f: joins.degrees_counted(FIXTURES[f](spark, sf)), SQL.get(f"box_degree_{_f}"))
 
@@ -73,14 +75,6 @@ def _months(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 add("stab_orders", lambda spark, sf: joins.stab(*_months(spark, sf)), "with d as (select o_orderkey, o_orderdate::date as day from orders) select date_diff('day', date '1970-01-01', day)::bigint as z, o_orderkey, date_diff('day', date '1970-01-01', date_trunc('month', day)::date)::bigint as start, date_diff('day', date '1970-01-01', (date_trunc('month', day) + interval 1 month)::date)::bigint as \"end\" from d")
 
-# one axis: blocks stand in the order of their anchor, the opposite boxes of a block in that of their lower end and id
-for _f in ("ord1", "ord_all"):
-    for _kind in ("compiled", "replay"):
-        SQL[f"sample_{_f}_{_kind}"] = f"""
-with {sides_sql(_f)}, a as (select case when r_l0 <= s_l0 then 0 else 1 end as side, case when r_l0 <= s_l0 then r_id else s_id end as anchor, case when r_l0 <= s_l0 then s_l0 else r_l0 end as l, case when r_l0 <= s_l0 then s_id else r_id end as other, r_id, s_id from p),
-b as (select *, row_number() over (order by anchor, side, l, other) - 1 as place from a), d as (select pos, {uniform_sql(f"{SEED}:{_kind}", "pos", "w")} as g from range(1000) x(pos), (select count(*) as w from p))
-select pos, r_id, s_id from d join b on g = place"""
-
 # relations between collections
 _keys = lambda spark, sf, t, c: read(spark, sf, t).select(F.col(c).alias("key"))
 add("set_intersection_customers", lambda spark, sf: _keys(spark, sf, "customer", "c_custkey").intersect(_keys(spark, sf, "orders", "o_custkey")), "select c_custkey as key from customer intersect select o_custkey from orders")

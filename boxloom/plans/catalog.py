@@ -23,6 +23,10 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
+def _whole(total: DataFrame) -> DataFrame:
+    return total.withColumn("w", F.col("w").cast("bigint"))
+
+
 def _core(f: str) -> None:
     make, d, cte = FIXTURES[f], DIMENSION[f], sides_sql(f)
     grid = lambda spark, sf: joins.grid_pairs(make(spark, sf))
@@ -37,7 +41,7 @@ def _core(f: str) -> None:
     add(f"box_degree_{f}", lambda spark, sf: joins.degrees(grid(spark, sf)), f"with {cte} select r_id, count(*) as degree from p group by r_id")
     own = " + ".join(f"case when r_l{j} <= s_l{j} then {1 << j} else 0 end" for j in range(d))
     add(f"box_ownership_{f}", lambda spark, sf: joins.ownership_counts(grid(spark, sf), d), f"with {cte} select ({own})::bigint as own, count(*) as pairs from p group by 1")
-    add(f"decomposed_count_{f}", lambda spark, sf: decompose.total(decompose.atoms(make(spark, sf))[0]), f"with {cte} select count(*) as w from p")
+    add(f"decomposed_count_{f}", lambda spark, sf: _whole(decompose.total(decompose.atoms(make(spark, sf))[0])), f"with {cte} select count(*) as w from p")
     last = d - 1
     anchor = f"case when r_l{last} <= s_l{last} then 0 else 1 end"
     add(
@@ -51,25 +55,52 @@ def _core(f: str) -> None:
     )
 
 
+def blocks_sql(f: str) -> str:
+    """CTE b: each pair with its place in the decomposition: the anchor's side, the canonical node of each leading axis, and what it meets on the last."""
+    d = DIMENSION[f]
+    last, ctes, nodes = d - 1, [], []
+    for j in range(last):
+        for x, y, below, to in (("r", "s", "<", "<"), ("s", "r", "<=", "<")):
+            ctes.append(f"{x}{j} as (select id, lo, hi, rank from (select {x}.id, count(*) filter (where {y}.l{j} {below} {x}.l{j}) as lo, count(*) filter (where {y}.l{j} {to} {x}.u{j}) as hi from {x}, {y} group by {x}.id) join (select id, row_number() over (order by l{j}, id) - 1 as rank from {x}) using (id))")
+        node = lambda lo, hi, rank: f"list_max(list_filter(range(0, 40), lambda h: (({rank} >> h::int) << h::int) >= {lo} and ((({rank} >> h::int) + 1) << h::int) <= {hi}))"
+        first = f"r_l{j} <= s_l{j}"
+        ctes.append(f"n{j} as (select r_id, s_id, {first} as o, case when {first} then {node(f'r{j}.lo', f'r{j}.hi', f's{j}.rank')} else {node(f's{j}.lo', f's{j}.hi', f'r{j}.rank')} end as h, case when {first} then s{j}.rank else r{j}.rank end as rank from p join r{j} on r{j}.id = r_id join s{j} on s{j}.id = s_id)")
+        ctes.append(f"m{j} as (select r_id, s_id, (case when o then 0 else 1::bigint << 60 end) + (h << 50) + (rank >> h::int) as k{j} from n{j})")
+        nodes.append(f"join m{j} using (r_id, s_id)")
+    anchor = f"case when r_l{last} <= s_l{last} then 0 else 1 end"
+    ctes.append(f"b as (select *, {anchor} as a from p {' '.join(nodes)})")
+    return ", ".join(ctes)
+
+
 def _samples(f: str, t: int = 1000) -> None:
-    make, cte = FIXTURES[f], sides_sql(f)
+    make, cte, d = FIXTURES[f], sides_sql(f), DIMENSION[f]
+    last, keys = d - 1, [f"k{j}" for j in range(d - 1)]
 
     def drawn(kind: str):
         return lambda spark, sf: samplers.make_sampler(kind, make(spark, sf), SEED).sample(t)
 
-    def sql(kind: str, side: str, owner: str, other: str) -> str:
+    def of(side: str, c: str) -> str:
+        """A column of the R box where `side` is 0, else of the S box."""
+        return f"case when {side} = 0 then r_{c} else s_{c} end"
+
+    def sql(kind: str, order: list[str]) -> str:
         g = uniform_sql(f"{SEED}:{kind}", "pos", "w")
         return f"""
-with {cte}, a as (select {side} as side, {owner} as owner, {other} as other, r_id, s_id from p),
-b as (select *, row_number() over (order by owner, side, other) - 1 as place, count(*) over () as w from a),
+with {cte}, {blocks_sql(f)}, o as (select *, row_number() over (order by {", ".join(order)}) - 1 as place from b),
 d as (select pos, {g} as g from range({t}) x(pos), (select count(*) as w from p))
-select pos, r_id, s_id from d join b on g = place"""
+select pos, r_id, s_id from d join o on g = place"""
 
-    later = "case when r_l0 > s_l0 then 0 else 1 end"
-    add(f"sample_{f}_lifted", drawn("lifted"), sql("lifted", "0", "r_id", "s_id"))
-    add(f"sample_{f}_sweep", drawn("sweep"), sql("sweep", later, f"case when r_l0 > s_l0 then r_id else s_id end", f"case when r_l0 > s_l0 then s_id else r_id end"))
-    for kind in ("compiled", "replay"):
-        add(f"sample_{f}_{kind}", drawn(kind))
+    def owned(side: str) -> list[str]:
+        """An owner's pairs: by its own blocks, then by others', each group by group; partners by lower end, or by upper end."""
+        partner, own = f"(1 - ({side}))", f"case when a = {side} then 0 else 1 end"
+        return [of(side, "id"), side, own, *keys, f"case when a = {side} then {of(partner, f'l{last}')} else {of(partner, f'u{last}')} end", of(partner, "id")]
+
+    later = "(case when r_l0 > s_l0 then 0 else 1 end)"
+    listed = [of("(1 - a)", f"l{last}"), of("(1 - a)", "id")]
+    add(f"sample_{f}_lifted", drawn("lifted"), sql("lifted", owned("0")))
+    add(f"sample_{f}_sweep", drawn("sweep"), sql("sweep", owned(later)))
+    add(f"sample_{f}_compiled", drawn("compiled"), sql("compiled", [of("a", "id"), "a", *keys, *listed]))
+    add(f"sample_{f}_replay", drawn("replay"), sql("replay", [*keys, "a", *([of("a", "l0")] if d == 1 else []), of("a", "id"), *listed]))
 
     def membership(kind: str):
         def run(spark, sf):
@@ -119,5 +150,5 @@ union all select 'corner', e from c union all select 'all', a + b + c + d - e fr
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_r, n_s, W and density of evt2_l1, by the decomposition."""
     j = FIXTURES["evt2_l1"](spark, sf_dir).clean()
-    n = j.r.agg(F.count("*").alias("n_r")).crossJoin(j.s.agg(F.count("*").alias("n_s"))).crossJoin(decompose.total(decompose.atoms(j)[0]))
+    n = j.r.agg(F.count("*").alias("n_r")).crossJoin(j.s.agg(F.count("*").alias("n_s"))).crossJoin(_whole(decompose.total(decompose.atoms(j)[0])))
     return n.withColumn("alpha", F.col("w") / (F.col("n_r") + F.col("n_s")))

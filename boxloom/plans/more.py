@@ -39,7 +39,7 @@ def _ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 _INSIDE = " and ".join(f"(lo{j} is null or x{j} > lo{j} or (x{j} = lo{j} and not lo{j}_strict)) and (hi{j} is null or x{j} < hi{j} or (x{j} = hi{j} and not hi{j}_strict))" for j in (0, 1))
 _CTE = f"pts as (select p_partkey as id, p_size::double as x0, p_retailprice as x1 from part), q as (select {_RANGE} from part where p_partkey % 10 = 0), m as (select qid, id from q join pts on {_INSIDE})"
-add("range_count_part", lambda spark, sf: ranges.range_count(_points(spark, sf), _ranges(spark, sf), 2, 10.0), f"with {_CTE} select qid, count(id) as n from q left join m using (qid) group by qid")
+add("range_count_part", lambda spark, sf: ranges.range_count(_points(spark, sf), _ranges(spark, sf), 2), f"with {_CTE} select qid, count(id) as n from q left join m using (qid) group by qid")
 add("range_count_scan_part", lambda spark, sf: ranges.range_count(_points(spark, sf), _ranges(spark, sf), 2), SQL["range_count_part"])
 add("range_empty_part", lambda spark, sf: _ranges(spark, sf).select("qid", ranges.provably_empty(2).alias("empty")), f"with {_CTE} select qid, coalesce(lo0 > hi0 or (lo0 = hi0 and (lo0_strict or hi0_strict)), false) or coalesce(lo1 > hi1 or (lo1 = hi1 and (lo1_strict or hi1_strict)), false) as empty from q")
 add(
@@ -47,6 +47,26 @@ add(
     f"with {_CTE}, k as (select *, row_number() over (partition by qid order by id) - 1 as place, count(*) over (partition by qid) as n from m), "
     f"d as (select distinct qid, pos::int as pos, {uniform_sql(SEED, "qid::varchar || ':' || pos", 'n')} as place from (select distinct qid, n from k), range(5) x(pos)) select qid, pos, id from d join k using (qid, place)",
 )
+add(
+    "range_draws_part", lambda spark, sf: ranges.range_draws(_points(spark, sf), _ranges(spark, sf), 2, 5, SEED),
+    f"with {_CTE}, k as (select qid, id, row_number() over (partition by qid order by x1, id) - 1 as place, count(*) over (partition by qid) as n from m join pts using (id)), "
+    f"d as (select distinct qid, pos::int as pos, {uniform_sql(SEED, "qid::varchar || ':' || pos", 'n')} as place from (select distinct qid, n from k), range(5) x(pos)) select qid, pos, id from d join k using (qid, place)",
+)
+
+
+# ranges of three axes over orders (customer, price, day), one for each customer
+def _priced(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").selectExpr("o_orderkey as id", "cast(o_custkey as double) as x0", "o_totalprice as x1", "cast(datediff(o_orderdate, date '1970-01-01') as double) as x2")
+
+
+_CUBES = ["c_custkey as qid", "cast(c_custkey as double) as lo0", "cast(c_custkey + 200 as double) as hi0", "c_acctbal * 10 as lo1", "case when c_custkey % 3 = 0 then null else c_acctbal * 10 + 60000 end as hi1", "cast(9000 + c_custkey % 1000 as double) as lo2", "cast(9400 + c_custkey % 1000 as double) as hi2",
+          *[f"c_custkey % {2 + j} = 0 as {e}{j}_strict" for j in range(3) for e in ("lo", "hi")]]
+_CUBE_SQL = ", ".join(x.replace("cast(", "(").replace(" as double)", ")::double") for x in _CUBES)
+_IN3 = " and ".join(f"(lo{j} is null or x{j} > lo{j} or (x{j} = lo{j} and not lo{j}_strict)) and (hi{j} is null or x{j} < hi{j} or (x{j} = hi{j} and not hi{j}_strict))" for j in range(3))
+add(
+    "range_count_orders", lambda spark, sf: ranges.range_count(_priced(spark, sf), read(spark, sf, "customer").selectExpr(*_CUBES), 3),
+    f"with pts as (select o_orderkey as id, o_custkey::double as x0, o_totalprice as x1, date_diff('day', date '1970-01-01', o_orderdate::date)::double as x2 from orders), q as (select {_CUBE_SQL} from customer) select qid, count(id) as n from q left join pts on {_IN3} group by qid",
+)
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
