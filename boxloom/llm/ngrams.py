@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import WORD, arrow_batches, components, given, groups_of, order_of, stored, table, text_key
 from .text import mixed, runs, word_hashes
 
-#: Words of a shingle, least similarity, trees of the forest, lengths of the prefixes that are matched one after another, recall aimed at.
-SHINGLE, THRESHOLD, TREES, LEVELS, RECALL = 5, 0.8, 20, (12, 8, 6, 5), 0.999
+#: Words of a shingle, least similarity, trees of the forest, minima of a signature in each tree, recall aimed at.
+SHINGLE, THRESHOLD, TREES, LONGEST, RECALL = 5, 0.8, 20, 12, 0.999
 #: Classes and bytes of text of a block in a comparison; columns of its incidence matrix; width of the bins in which links are counted.
 BLOCK, BLOCK_BYTES, COLUMNS, BIN = 512, 4 << 20, 4096, 0.02
 _WORDS = regex.compile(WORD)
@@ -29,7 +29,7 @@ def found_chance(similarity: float, length: int, trees: int = TREES) -> float:
 
 
 def estimated_recall(bins: list[int], length: int, threshold: float = THRESHOLD, trees: int = TREES) -> float:
-    """Share of links found so far, from the numbers of signatures with links in bins of similarity upwards from the threshold.
+    """Share of links found so far, from the numbers of links in bins of similarity upwards from the threshold.
 
     Each one that was found stands for 1 / probability of its being found (Horvitz and Thompson), at its bin's lower end.
     One more in each bin makes few links poor evidence, so that prefixes go on being shortened.
@@ -38,6 +38,23 @@ def estimated_recall(bins: list[int], length: int, threshold: float = THRESHOLD,
     return sum(bins) / whole
 
 
+def enough(bins: list[int], length: int, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> bool:
+    """Whether prefixes needn't be shortened further: the recall is reached over all links, and in each bin that has any, however few."""
+    each = all(found_chance(threshold + BIN * i, length, trees) >= recall for i, n in enumerate(bins) if n)
+    return each and estimated_recall(bins, length, threshold, trees) >= recall
+
+
+def lengths_for(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, longest: int = LONGEST) -> tuple[int, ...]:
+    """Lengths of prefixes from `longest` on, each a third shorter, down to the longest that finds links at the threshold with `recall`."""
+    last = next((n for n in range(longest, 0, -1) if found_chance(threshold, n, trees) >= recall), None)
+    if last is None:
+        raise ValueError(f"{trees} trees find links of {threshold} with less than {recall}: more trees are needed")
+    out = [longest]
+    while out[-1] > last:
+        out.append(max(last, out[-1] - max(1, out[-1] // 3)))
+    return tuple(out)
+
+
 def shingle_sets(texts: list[str | None], k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes, text after text (repeats included), and their number per text; texts of 1 to k-1 words have one, the whole text."""
     h, n = word_hashes(texts, lane)
@@ -170,8 +187,8 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iter
         if not len(i):
             continue
         links = np.bincount(i, copies[j], len(node)).astype(np.int64)
-        bins = np.zeros(len(node), np.int64)
-        np.bitwise_or.at(bins, i, 1 << np.minimum((similarity[i, j] - threshold + 1e-9) / BIN, 62).astype(np.int64))
+        bins = np.zeros((len(node), round((1 - threshold) / BIN) + 1), np.int64)
+        np.add.at(bins, (i, np.minimum((similarity[i, j] - threshold + 1e-9) / BIN, bins.shape[1] - 1).astype(np.int64)), copies[j])
         order = np.array(sorted(range(len(node)), key=node.__getitem__))
         root = np.empty(len(node), np.int64)
         root[order] = np.arange(len(node))
@@ -190,7 +207,7 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iter
 
 
 def _linked(held: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["node", "root", "links", "bins"])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())))], ["node", "root", "links", "bins"])
 
 
 def _prefixes(trees: int, longest: int, length: int) -> Column:
@@ -198,7 +215,7 @@ def _prefixes(trees: int, longest: int, length: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(t), F.substring("signature", 2 * longest * t + 1, 2 * length)) for t in range(trees)])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, levels: tuple[int, ...] = LEVELS, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, levels: tuple[int, ...] | None = None, recall: float = RECALL) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, text_key (128 bits of its SHA-256), class_id, n_links, component_id, kept.
 
     Documents link if the sets of their runs of `shingle` words have a Jaccard similarity of `threshold` or more; a text
@@ -213,12 +230,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     of `levels` minima per tree, are written as sorted arrays of (tree, signature, class), in which a prefix is a range.
     Prefixes are matched from the longest to the shortest: at each length, ranges that hold more than one longer prefix
     have new pairs, and these alone are verified, word by word, each in one range. The similarities found say how many
-    links are still missing (estimated_recall); once `recall` is reached, prefixes are shortened no more. Large ranges
-    are cut into blocks that meet in pairs, so a task holds two blocks, and only counts and one row per linked class leave
+    links are still missing; once `recall` is reached over all links and for those of each similarity met, prefixes are
+    shortened no more (enough). The lengths follow from the threshold (lengths_for); a recall above 1 matches all. Large ranges are cut into blocks that meet in pairs, so a task holds two blocks, and only counts and one row per linked class leave
     it. No link below the threshold is ever made; one at the threshold is missed with probability 0.0004 at length 5.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
+    levels = lengths_for(threshold, trees, min(recall, RECALL)) if levels is None else levels
+    if recall <= 1 and found_chance(threshold, levels[-1], trees) < recall:
+        raise ValueError(f"prefixes of {levels[-1]} find links of {threshold} with less than {recall}")
     longest, shortest = levels[0], levels[-1]
     rows = docs.select(*order_of(F.col("doc_id")), text_key(F.col("text")).alias("key"), "text")
     sketch = functools.partial(_sketch, k=shingle, trees=trees, longest=longest, shortest=shortest)
@@ -243,10 +263,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
         new = _new_links(members, forest, shingle, threshold, trees, longest, length, before)
         links = new if links is None else links.unionAll(new)
         before = length
-        each = links.groupBy("node").agg(F.bit_or("bins").alias("bins"))
-        many = round((1 - threshold) / BIN) + 1
-        bins = each.agg(*[F.sum(F.expr(f"bins >> {i} & 1")) for i in range(many)]).first()
-        if estimated_recall([x or 0 for x in bins], length, threshold, trees) >= recall:
+        bins = [0] * (round((1 - threshold) / BIN) + 1)
+        for row in links.select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row per bin
+            bins[row["bin"]] = row["n"]
+        if enough(bins, length, threshold, trees, recall):
             break
 
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -287,7 +307,7 @@ def _new_links(members: DataFrame, forest: DataFrame, shingle: int, threshold: f
     )
     together = dealt.select("pair", "key", "block", "apart", "node", "copies", "keys", "earlier", "text").repartition("pair").sortWithinPartitions("pair", "apart")
     verify = functools.partial(_verify, k=shingle, threshold=threshold)
-    return stored(together.mapInArrow(verify, "node binary, root binary, links long, bins long"), "links")
+    return stored(together.mapInArrow(verify, "node binary, root binary, links long, bins array<long>"), "links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

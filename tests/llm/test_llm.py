@@ -481,11 +481,17 @@ def test_prefixes_shorten_until_the_recall():
     assert ngrams.estimated_recall([0] * 11, 12) == 0
     assert ngrams.estimated_recall([0] * 9 + [10**6, 10**6], 12) >= ngrams.RECALL  # links of 0.98 and more: the longest prefixes are enough
     at_the_threshold = [10**6] + [0] * 10
-    assert [n for n in ngrams.LEVELS if ngrams.estimated_recall(at_the_threshold, n) >= ngrams.RECALL] == [5]
+    assert ngrams.lengths_for() == (12, 8, 6, 5)
+    assert [n for n in ngrams.lengths_for() if ngrams.enough(at_the_threshold, n)] == [5]
+    # a cluster at the threshold beside very many copies isn't outweighed by them
+    assert not ngrams.enough([1000] + [0] * 9 + [10**9], 12) and ngrams.estimated_recall([1000] + [0] * 9 + [10**9], 12) > ngrams.RECALL
+    assert ngrams.lengths_for(0.5)[-1] == 1 and ngrams.found_chance(0.5, 1) > ngrams.RECALL
+    with pytest.raises(ValueError):
+        ngrams.lengths_for(0.2)
     assert 0.0003 < 1 - ngrams.found_chance(0.8, 5) < 0.0004
 
 
-@pytest.mark.parametrize("levels", [(12, 8, 6, 5), (3,)])
+@pytest.mark.parametrize("levels", [(12, 8, 6, 5), (6, 4), (3,)])
 def test_each_pair_counts_at_one_length(spark, monkeypatch, levels):
     rnd = random.Random(9)
     texts = []
@@ -502,6 +508,23 @@ def test_each_pair_counts_at_one_length(spark, monkeypatch, levels):
     assert got == want
 
 
+def test_a_cluster_at_the_threshold_beside_many_copies(spark):
+    rnd = random.Random(4)
+    core = [f"c{rnd.randint(0, 10**6)}" for _ in range(400)]
+    texts = []
+    for k in range(40):  # each pair shares 352 of about 440 shingles
+        w = list(core)
+        for p in (7, 107, 207, 307):
+            w[p : p + 6] = [f"own{k}p{p + i}" for i in range(6)]
+        texts.append(" ".join(w))
+    texts += [f"copy {k} " + " ".join(f"w{k}x{i}" for i in range(60)) for k in range(150) for _ in range(2)]
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in map(str.split, texts[:40])]
+    similar = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2)]
+    assert 0.8 <= min(similar) and max(similar) < 0.85
+    got = ngrams.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id < 40").agg(F.sum("n_links")).first()[0]
+    assert got >= 0.99 * 40 * 39
+
+
 def test_recall_against_brute_force_for_every_hundredth_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], WORD.findall(r["text"] or "")) for r in docs.collect()]
