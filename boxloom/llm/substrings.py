@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import LAST_ID, WORD, arrow_batches, given, later, order_of, packed, remove, scratch, stored, table, text_key, unpacked, words
 from .text import runs, word_hashes
 
-#: Words of a window; words of the run that stands for a window in the index; batches of a whole table; runs before compaction.
+#: Words of a window; words of the run that stands for a window in the index; batches of a whole table; runs of a tier before they are merged.
 WINDOW, RUN, BATCHES, RUNS = 13, 4, 3, 1
 #: A fingerprint that so many texts share or fewer has so few rows for each of its windows; those of more are split.
 FEW = 256
@@ -67,13 +68,32 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], window: int, run: int) -> I
             yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(t[at]), pa.array(more[s : s + 50_000], pa.list_(pa.int64()))], ["g", "tk", "more"])
 
 
+#: With these Spark takes a bucket's one file as sorted and aggregates it in that order; a compaction reads by buckets too.
+_MERGE = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.execution.replaceHashWithSortAgg": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, given: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for what is planned and written within, and no longer."""
+    old = {k: spark.conf.get(k) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 class FingerprintIndex:
     """Sorted immutable runs (g, tk, more) of historical window fingerprints, as bucketed tables below a folder, with a manifest.
 
-    Every run is dealt by g into the same buckets and sorted, so that a new batch's run meets itself and each older run in
-    merge joins that move no row of either. Runs are only added; compaction writes one run in place of all, then a
-    manifest that names it, then deletes those, so a job that fails leaves a whole index. The bucket count is the session's
-    number of shuffle partitions when the index begins. An index outlives the session: open() finds it by its folder.
+    Every run is dealt by g into the same buckets, one sorted file each, so that a new batch's run meets itself and each
+    older run in merge joins that neither move nor sort a row of either. Runs are only added. Once a tier has more than
+    `most` runs they are merged, bucket by bucket, into one run of the next tier, so that a row is written again once for
+    each tier, of which there are log(batches). A compaction writes its run, then a manifest that names it, then deletes
+    the merged ones, so a job that fails leaves a whole index. The bucket count is the session's number of shuffle
+    partitions when the index begins. An index outlives the session: open() finds it by its folder.
     Spark needs a catalog entry to know of buckets, so an open index has a database of its own, which close() drops.
     """
 
@@ -107,8 +127,8 @@ class FingerprintIndex:
     def _table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.database}.{name}")
 
-    def _put(self, rows: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex}"
+    def _put(self, rows: DataFrame, tier: int = 0) -> str:
+        name = f"run_{tier}_{uuid.uuid4().hex}"
         rows.write.bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.path}/{name}").saveAsTable(f"{self.database}.{name}")
         return name
 
@@ -125,17 +145,19 @@ class FingerprintIndex:
         anything else happens to the index.
         """
         self.compact()
+        with _settings(self.spark, _MERGE):
+            return self._add(texts)
+
+    def _add(self, texts: DataFrame) -> DataFrame:
         fingerprints = functools.partial(_fingerprints, window=self.window, run=self.run)
         rows = texts.select("tk", "text").mapInArrow(fingerprints, "g long, tk long, more array<long>")
         own = self._put(rows.repartition(self.buckets, "g").sortWithinPartitions("g"))
         new = self._table(own)
-        top = F.greatest("tk", F.array_max("more"))
-        span = lambda df: df.groupBy("g").agg(F.min("tk").alias("lo"), F.max(top).alias("hi"))
-        found = new.join(span(new).where("lo < hi"), "g").select("g", "tk", "more")
+        found = self.meeting(new, new).where("lo < hi").select("g", "tk", "more")
         for name in self.runs:
             old = self._table(name)
             for a, b in ((new, old), (old, new)):
-                met = a.join(span(b), "g").where((F.col("lo") < F.col("hi")) | (F.col("tk") != F.col("lo")) | F.col("more").isNotNull())
+                met = self.meeting(a, b).where((F.col("lo") < F.col("hi")) | (F.col("tk") != F.col("lo")) | F.col("more").isNotNull())
                 found = found.unionAll(met.select("g", "tk", "more"))
         each = F.concat(F.array("tk"), F.coalesce("more", F.array().cast("array<long>")))
         found = stored(found.select("g", F.explode(each).alias("tk")), "found")
@@ -143,15 +165,39 @@ class FingerprintIndex:
         self._record()
         return found
 
+    def meeting(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Rows of run a with (lo, hi), the least and greatest text that b has of their fingerprint: a merge join of sorted buckets."""
+        spans = b.groupBy("g").agg(F.min("tk").alias("lo"), F.max(F.greatest("tk", F.array_max("more"))).alias("hi"))
+        return a.hint("merge").join(spans, "g")
+
+    def tiers(self) -> dict[int, list[str]]:
+        """The runs of each tier."""
+        out: dict[int, list[str]] = {}
+        for name in self.runs:
+            out.setdefault(int(name.split("_")[1]), []).append(name)
+        return out
+
     def compact(self) -> None:
-        """Merges the runs into one once there are more than `most`. Their files are of one bucket each, so no row moves: a bucket of the new run has a sorted file of each."""
-        if len(self.runs) > self.most:
-            merged = self._put(functools.reduce(DataFrame.unionAll, [self._table(x) for x in self.runs]))
-            old, self.runs = self.runs, [merged]
-            self._record()
-            for name in old:
-                self.spark.sql(f"drop table {self.database}.{name}")
-                remove(self.spark, f"{self.path}/{name}")
+        """Merges the runs of each tier that has more than `most` into one of the next tier."""
+        tier = 0
+        while tier <= max(self.tiers(), default=-1):
+            old = self.tiers().get(tier, [])
+            if len(old) > self.most:
+                with _settings(self.spark, _MERGE):
+                    merged = self._put(self.merged(old), tier + 1)
+                self.runs = [merged, *(x for x in self.runs if x not in old)]
+                self._record()
+                for name in old:
+                    self.spark.sql(f"drop table {self.database}.{name}")
+                    remove(self.spark, f"{self.path}/{name}")
+            tier += 1
+
+    def merged(self, runs: list[str]) -> DataFrame:
+        """The rows of runs, each bucket's in one task: rows of one fingerprint and text become one, and no row leaves its bucket."""
+        more = F.flatten(F.collect_list("more"))
+        by_row = [self._table(x).where("g is not null") for x in runs]  # a union of rows keeps the buckets, one of columnar batches doesn't
+        rows = functools.reduce(DataFrame.unionAll, by_row).groupBy("g", "tk").agg(more.alias("more"))
+        return rows.select("g", "tk", F.when(F.size("more") > 0, F.col("more")).alias("more"))
 
     def close(self) -> None:
         """Forgets the catalog entries; the folder stays."""

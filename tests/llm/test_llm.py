@@ -263,6 +263,35 @@ def test_index_compacts_and_is_opened_by_its_folder(spark):
     assert not [r for r in spark.sql("show databases").collect() if r[0].startswith("fingerprints_")]
 
 
+def test_runs_are_merged_in_tiers_without_a_sort(spark):
+    rnd = random.Random(2)
+    say = lambda: " ".join(rnd.choice("abcdefgh") for _ in range(60))
+    texts = [(i, f"{say()} shared words that all the texts have in common here one two three four five six seven {say()}") for i in range(9)]
+    with substrings.FingerprintIndex(spark, scratch(spark, "tiers"), most=1, buckets=4) as index:
+        seen = []
+        for tk, text in texts:
+            before = set(index.runs)
+            found = index.add(spark.createDataFrame([(tk, text)], "tk long, text string"))
+            assert tk == 0 or {r["tk"] for r in found.collect()} >= {0, tk}
+            seen.append(sorted(index.tiers(), reverse=True))
+            # the largest run isn't written again by each batch
+            assert tk != 6 or {n for n in before if n.startswith("run_2")} <= set(index.runs)
+        assert seen == [[0], [0], [1, 0], [1, 0], [2, 0], [2, 0], [2, 1, 0], [2, 1, 0], [3, 0]]
+        index.compact()
+        for name in index.runs:
+            files = [f for f in index._table(name).inputFiles()]
+            assert len(files) <= 4
+            for f in files:
+                g = [r["g"] for r in spark.read.parquet(f).coalesce(1).collect()]
+                assert g == sorted(g)
+        assert sorted({t for r in index._table(index.runs[0]).collect() for t in [r["tk"], *(r["more"] or [])]}) == list(range(8))
+        with substrings._settings(spark, substrings._MERGE):
+            a, b = (index._table(n) for n in index.runs[:2])
+            plan = index.meeting(a, b)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
 def test_batches_against_kept_history_give_what_one_pass_gives(spark):
     docs = odd_docs(spark).where("doc_id is not null")
     want = {tuple(r) for r in substrings.dedup(docs).collect()}
