@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from .boxes import BoxJoin, nonempty
 from .decompose import atoms, pairs_of
 from .prefix import running
+from .storage import settled
+
+#: Starts of a strip, and starts that meet the open boxes together.
+STRIP, STARTS = 1 << 17, 256
 
 
 def events(join: BoxJoin) -> DataFrame:
@@ -41,3 +50,81 @@ def weights(join: BoxJoin) -> DataFrame:
         e = swept(join).where("is_end = 0").select("side", "id", F.when(F.col("side") == 0, F.col("active_s")).otherwise(F.col("active_r")).alias("weight"))
         return e.where("weight > 0")
     return pairs_of(*atoms(join, store=True), sweep=True).withColumnRenamed("owner_id", "id")
+
+
+def strips(join: BoxJoin, starts: int = STRIP) -> DataFrame:
+    """(strip, carried, side, id, l0.., u0..): strips of axis 0 with about `starts` starts each, and in each the boxes that are open in it.
+
+    A box is in the strip of its start and, carried over the left border, in each later one that begins before its end. The
+    borders are quantiles of the starts, one for each strip, found in one pass; a coordinate at which very many boxes start
+    stays in one strip.
+    """
+    j = join.clean()
+    ends = [f"{e}{k}" for e in "lu" for k in range(j.d)]
+    both = settled(j.r.select(F.lit(0).alias("side"), "id", *ends).unionAll(j.s.select(F.lit(1).alias("side"), "id", *ends)))
+    many = max(1, -(-both.count() // starts))
+    found = both.agg(F.percentile_approx("l0", [i / many for i in range(1, many)], 20 * many)).first()[0] if many > 1 else []
+    borders = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast(f"array<{dict(both.dtypes)['l0']}>")
+    of = lambda x, inclusive: F.size(F.filter(borders, lambda b: (b <= x) if inclusive else (b < x)))
+    each = both.withColumn("strip", F.explode(F.sequence(of(F.col("l0"), True), of(F.col("u0"), False))))
+    return each.withColumn("carried", F.col("strip") > of(F.col("l0"), True)).select("strip", "carried", "side", "id", *ends)
+
+
+def _pass(t: pa.Table, d: int, listed: bool) -> pa.Table:
+    """A strip in order of its starts: each block of them meets what is open then, and no box that has ended is looked at again.
+
+    A pair belongs to the later start, S's at equal ones, so it is met in one strip only.
+    """
+    side, carried = t.column("side").to_numpy(), t.column("carried").to_numpy()
+    low, high = (np.stack([t.column(f"{e}{k}").to_numpy() for k in range(d)]) for e in "lu")
+    order = np.lexsort((side, low[0], ~carried))  # what is carried is open from the beginning
+    first = int(carried.sum())
+    open_, starts = order[:first], order[first:]
+    owner, other, weight = [], [], []
+    for at in range(0, len(starts), STARTS):
+        now = starts[at : at + STARTS]
+        open_ = open_[high[0, open_] > low[0, now[0]]]
+        met = np.concatenate([open_, now])
+        a, b = now[:, None], met[None, :]
+        before = (low[0, b] < low[0, a]) | ((low[0, b] == low[0, a]) & (side[b] < side[a]))
+        mask = (side[a] != side[b]) & before & (high[0, b] > low[0, a])
+        for k in range(1, d):
+            mask &= (low[k, b] < high[k, a]) & (low[k, a] < high[k, b])
+        if listed:
+            i, k = np.nonzero(mask)
+            owner.append(now[i])
+            other.append(met[k])
+        else:
+            n = mask.sum(axis=1)
+            owner.append(now[n > 0])
+            weight.append(n[n > 0])
+        open_ = met
+    own = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+    ids = t.column("id")
+    if not listed:
+        return pa.table({"side": pa.array(side[own], pa.int32()), "id": ids.take(pa.array(own)), "weight": pa.array(np.concatenate(weight) if weight else own, pa.int64())})
+    with_ = np.concatenate(other) if other else np.zeros(0, np.int64)
+    r, s = np.where(side[own] == 0, own, with_), np.where(side[own] == 0, with_, own)
+    return pa.table({"r_id": ids.take(pa.array(r)), "s_id": ids.take(pa.array(s))})
+
+
+def _passes(d: int, listed: bool) -> Callable[[pa.Table], pa.Table]:
+    def one(table: pa.Table) -> pa.Table:
+        return _pass(table, d, listed)
+
+    return one
+
+
+def strip_pairs(join: BoxJoin, starts: int = STRIP) -> DataFrame:
+    """(r_id, s_id) of each overlapping pair, each once, by one ordered pass over each strip."""
+    of = strips(join, starts)
+    kind = of.schema["id"].dataType
+    schema = StructType().add("r_id", kind).add("s_id", kind)
+    return of.groupBy("strip").applyInArrow(_passes(join.d, True), schema)
+
+
+def strip_weights(join: BoxJoin, starts: int = STRIP) -> DataFrame:
+    """weights() by strips: the pairs of each start event are counted where it stands, none is passed on."""
+    of = strips(join, starts)
+    schema = StructType().add("side", IntegerType()).add("id", of.schema["id"].dataType).add("weight", LongType())
+    return of.groupBy("strip").applyInArrow(_passes(join.d, False), schema)

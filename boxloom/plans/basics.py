@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform_sql
-from ..operators import boxes, decompose, diagnostics, joins, ranges, strata
+from ..operators import boxes, decompose, diagnostics, joins, ranges, strata, sweep
 from .catalog import SEED, SQL, blocks_sql, add
 from .fixtures import FIXTURES, read, sides_sql
 
@@ -52,6 +52,11 @@ for _f in ("part2", "evt2_l1", "emb3"):
 for _f, _d in (("ord1", 1), ("ord_all", 1), ("part2", 2), ("evt2_l1", 2), ("emb3", 3)):
     add(f"box_degree_counted_{_f}", lambda spark, sf, f=_f: joins.degrees_counted(FIXTURES[f](spark, sf)), SQL.get(f"box_degree_{_f}"))
 
+# the plane sweep by strips
+for _f in ("ord1", "part2", "evt2_l1", "emb3"):
+    add(f"strip_pairs_{_f}", lambda spark, sf, f=_f: sweep.strip_pairs(FIXTURES[f](spark, sf), 2000), f"with {sides_sql(_f)} select r_id, s_id from p")
+    add(f"strip_weights_{_f}", lambda spark, sf, f=_f: sweep.strip_weights(FIXTURES[f](spark, sf), 2000), SQL[f"sweep_weights_{_f}"])
+
 # exact quantiles and sums, rounded where the last digit depends on the order of operations
 _at = ((0.0, "q0"), (0.5, "q50"), (0.9, "q90"), (1.0, "q100"))
 add(
