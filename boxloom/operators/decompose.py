@@ -141,11 +141,16 @@ def keys_of(blocks: DataFrame) -> list[str]:
     return [c for c in blocks.columns if c[0] == "k" and c[1:].isdigit()]
 
 
-def total(blocks: DataFrame) -> DataFrame:
-    """W by adding up weights, exactly, as decimal(38, 0); more than that is an error."""
+def exact_total(blocks: DataFrame) -> DataFrame:
+    """W by adding up weights, as decimal(38, 0)."""
     return blocks.agg(F.coalesce(F.sum(F.col("weight").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("w"))
 
 
+def total(blocks: DataFrame) -> DataFrame:
+    """W as a bigint; a greater one is an error, and exact_total() has it."""
+    return exact_total(blocks).select(F.col("w").cast("bigint").alias("w"))
+
+
 def owner_of(blocks: DataFrame, sweep: bool) -> Column:
     """The side that owns a block's pairs: R, or with `sweep` the side whose boxes start later on axis 0."""
     if not sweep:

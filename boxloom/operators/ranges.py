@@ -133,8 +133,8 @@ class Ranges:
         return found.join(self.points.select("val", "id"), "val")
 
 
-def range_count(points: DataFrame, queries: DataFrame, d: int) -> DataFrame:
-    """(qid, n) for every query, zero included; ids of points are unique."""
+def range_count(points: DataFrame, queries: DataFrame, d: int, width: float | None = None) -> DataFrame:
+    """(qid, n) for every query, zero included; ids of points are unique. `width`, which callers may give, has no effect: there are no cells."""
     if d == 1:
         spans = _interval(points, queries.where(~provably_empty(1)), 0, [], ("a", "b")).where("a < b")
         n = spans.select("qid", (F.col("b") - F.col("a")).alias("n"))

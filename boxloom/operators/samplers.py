@@ -96,7 +96,7 @@ class Compiled(Sampler):
         return self
 
     def _count(self) -> int:
-        return int(decompose.total(self.blocks).first()["w"])
+        return int(decompose.exact_total(self.blocks).first()["w"])
 
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
         blocks, lists = self._blocks()
@@ -148,7 +148,7 @@ class Replay(Sampler):
         return ["side", "node"] if self.join.d == 1 else decompose.keys_of(self._nodes()[0])
 
     def _count(self) -> int:
-        return int(decompose.total(self._nodes()[1]).first()["w"])
+        return int(decompose.exact_total(self._nodes()[1]).first()["w"])
 
     def _dealt(self, drawn: DataFrame, w: int) -> DataFrame:
         """(pos, node keys, g): the node of each draw, and its place among the node's pairs."""
@@ -217,7 +217,7 @@ class _Owned(Sampler):
         return self
 
     def _count(self) -> int:
-        return int(decompose.total(self.weights).first()["w"])
+        return int(decompose.exact_total(self.weights).first()["w"])
 
     def _sample(self, drawn: DataFrame, w: int) -> DataFrame:
         blocks, lists, entries, weights = self._parts()
