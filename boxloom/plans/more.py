@@ -144,40 +144,42 @@ for _f, _d in (("part2", 2), ("evt2_l1", 2)):
 _RECORD = """'m' as machine_id, 'c' as code_commit, 'b' as build_sha256, 'e' as experiment_config_sha256, 'a' as algorithm_config_sha256, concat('w', i div 12) as workload_config_sha256,
  concat('g', i div 2) as run_group_id, case i % 2 when 0 then 'time' else 'memory' end as measurement_mode, 'oneshot' as task, case (i div 2) % 4 when 0 then 'AC' when 1 then 'AS' when 2 then 'SweepRT' else 'LiftedRT' end as algorithm,
  'exp' as experiment_id, 'synthetic' as dataset_type, 'd' as dataset_id, concat('x', i div 8) as workload_id, concat('h', i div 8) as workload_sha256, cast(null as string) as subset_id, 'N' as sweep, 'N' as x_name, cast(null as string) as level,
- case when i in (30, 31) then 'OOM' when i = 44 then 'TO' when i in (16, 17, 18, 19, 20, 21, 22, 23) then 'EMPTY-JOIN' else 'OK' end as status, case when i = 3 then '18' when i in (30, 31, 44) then null else '17' end as W,
- cast(1000 as bigint) as t, cast(0 as bigint) as data_seed, cast(0 as bigint) as sample_seed_id, cast(0 as bigint) as process_repeat_id, cast(case when i = 36 then 999 else 1000 end as bigint) as output_length, cast(i div 8 as double) as x_value,
+ case when i % 48 in (30, 31) then 'OOM' when i % 48 = 44 then 'TO' when i % 48 in (16, 17, 18, 19, 20, 21, 22, 23) then 'EMPTY-JOIN' else 'OK' end as status, case when i % 48 = 3 then '18' when i % 48 in (30, 31, 44) then null else '17' end as W,
+ cast(1000 as bigint) as t, cast(0 as bigint) as data_seed, cast(0 as bigint) as sample_seed_id, cast(0 as bigint) as process_repeat_id, cast(case when i % 48 = 36 then 999 else 1000 end as bigint) as output_length, cast(i div 8 as double) as x_value,
  cast(case when i % 2 = 0 then 1 + i end as double) as OneShotTime, cast(case when i % 2 = 0 then 2 + i % 5 end as double) as QueryTime, cast(case when i % 2 = 1 then 100 + i end as double) as PeakMemoryTotal"""
 
 
-def run_records(spark: SparkSession) -> DataFrame:
-    spark.range(48).withColumnRenamed("id", "i").createOrReplaceTempView("boxloom_record_numbers")
+def run_records(spark: SparkSession, sf: str | None = None) -> DataFrame:
+    """A record for each order, by its key; 48 without a folder of tables."""
+    numbers = spark.range(48).withColumnRenamed("id", "i") if sf is None else read(spark, sf, "orders").selectExpr("o_orderkey as i")
+    numbers.createOrReplaceTempView("boxloom_record_numbers")
     return spark.sql(f"select {_RECORD} from boxloom_record_numbers")
 
 
-_R = f"n as (select {_RECORD.replace('i div 12', 'i // 12').replace('i div 2', 'i // 2').replace('i div 8', 'i // 8').replace('as string', 'as varchar')} from range(48) x(i))"
+_R = f"n as (select {_RECORD.replace('i div 12', 'i // 12').replace('i div 2', 'i // 2').replace('i div 8', 'i // 8').replace('as string', 'as varchar')} from (select o_orderkey as i from orders))"
 _REC = f"""{_R}, o as (select *, (count(distinct case when status in ('OK', 'EMPTY-JOIN') then W end) over (partition by workload_id) > 1 or count(*) filter (where status in ('OK', 'EMPTY-JOIN') and W is null) over (partition by workload_id) > 0) and status in ('OK', 'EMPTY-JOIN') as bad_w,
  count(distinct coalesce(status, '')) over (partition by run_group_id) > 1 or count(distinct output_length) over (partition by run_group_id) > 1 as bad_m from n),
 r as (select * replace (case when bad_w then 'COUNT-MISMATCH' else status end as status), status as was, not bad_w and not bad_m as admitted from o)"""
 _BASE = ", ".join(records.BASE)
-_reconciled = lambda spark: records.reconciled(run_records(spark))
-add("records_reconciled", lambda spark, sf: _reconciled(spark).select("run_group_id", "measurement_mode", "status", "original_status", "consistency_admitted", "count_consistency_checked"),
+_reconciled = lambda spark, sf: records.reconciled(run_records(spark, sf))
+add("records_reconciled", lambda spark, sf: _reconciled(spark, sf).select("run_group_id", "measurement_mode", "status", "original_status", "consistency_admitted", "count_consistency_checked"),
     f"with {_REC} select run_group_id, measurement_mode, status, case when bad_w then was end as original_status, admitted as consistency_admitted, admitted and was in ('OK', 'EMPTY-JOIN') and W is not null as count_consistency_checked from r")
 _mode = "case when metric = 'PeakMemoryTotal' then 'memory' else 'time' end"
-add("records_metrics_long", lambda spark, sf: records.metrics_long(_reconciled(spark)),
+add("records_metrics_long", lambda spark, sf: records.metrics_long(_reconciled(spark, sf)),
     f"with {_REC}, l as (select {_BASE}, metric, data_seed, value, measurement_mode from (select *, unnest(['OneShotTime', 'QueryTime', 'PeakMemoryTotal']) as metric, unnest([OneShotTime, QueryTime, PeakMemoryTotal]) as value from r where status = 'OK' and admitted)) select {_BASE}, metric, data_seed, value from l where value is not null and measurement_mode = {_mode}")
-add("records_speedups", lambda spark, sf: records.speedups(_reconciled(spark)),
+add("records_speedups", lambda spark, sf: records.speedups(_reconciled(spark, sf)),
     f"with {_REC}, t as (select * from r where status = 'OK' and admitted and measurement_mode = 'time' and OneShotTime > 0) select t.experiment_id, t.dataset_type, t.dataset_id, t.sweep, t.x_name, t.x_value, t.t, t.level, t.data_seed, t.algorithm, b.algorithm as baseline, b.OneShotTime / t.OneShotTime as speedup from t join t b on b.workload_id = t.workload_id and b.x_value = t.x_value and b.algorithm in ('LiftedRT', 'SweepRT') and b.algorithm <> t.algorithm")
-add("records_status_summary", lambda spark, sf: records.status_summary(_reconciled(spark)), f"with {_REC} select {_BASE}, measurement_mode, task, status, count(*) as runs from r group by all")
-add("records_count_consistency", lambda spark, sf: records.count_consistency(run_records(spark)).withColumn("counts", F.array_join("counts", ";")), f"with {_R} select dataset_id, workload_id, string_agg(distinct W, ';' order by W) as counts, count(distinct W) = 1 as consistent from n where status in ('OK', 'EMPTY-JOIN') and W is not null group by all")
+add("records_status_summary", lambda spark, sf: records.status_summary(_reconciled(spark, sf)), f"with {_REC} select {_BASE}, measurement_mode, task, status, count(*) as runs from r group by all")
+add("records_count_consistency", lambda spark, sf: records.count_consistency(run_records(spark, sf)).withColumn("counts", F.array_join("counts", ";")), f"with {_R} select dataset_id, workload_id, string_agg(distinct W, ';' order by W) as counts, count(distinct W) = 1 as consistent from n where status in ('OK', 'EMPTY-JOIN') and W is not null group by all")
 _differ = lambda c: f"max(coalesce({c}::varchar, '')) filter (where measurement_mode = 'time') <> max(coalesce({c}::varchar, '')) filter (where measurement_mode = 'memory')"
-add("records_run_groups", lambda spark, sf: records.run_group_consistency(_reconciled(spark)).select("run_group_id", F.array_join("mismatched_fields", ";").alias("mismatched"), "consistent"),
+add("records_run_groups", lambda spark, sf: records.run_group_consistency(_reconciled(spark, sf)).select("run_group_id", F.array_join("mismatched_fields", ";").alias("mismatched"), "consistent"),
     f"with {_REC}, g as (select run_group_id, {_differ('W')} as a, {_differ('status')} as b, {_differ('output_length')} as c from r group by 1) select run_group_id, concat_ws(';', case when a then 'W' end, case when b then 'status' end, case when c then 'output_length' end) as mismatched, not (a or b or c) as consistent from g")
-add("records_boundaries", lambda spark, sf: records.resource_boundaries(_reconciled(spark)),
+add("records_boundaries", lambda spark, sf: records.resource_boundaries(_reconciled(spark, sf)),
     f"with {_REC}, x as (select experiment_id, algorithm, measurement_mode, x_value, bool_and(status = 'OK') as fine, bool_or(status in ('OOM', 'TO', 'MEMORY-CAP-EXCEEDED')) as gone from r group by all) select experiment_id, algorithm, measurement_mode, max(x_value) filter (where fine) as last_successful_x, min(x_value) filter (where gone) as first_resource_failure_x from x group by all")
-add("records_preflight", lambda spark, sf: records.preflight(run_records(spark)).groupBy("rule").agg(F.count("*").alias("violations")),
+add("records_preflight", lambda spark, sf: records.preflight(run_records(spark, sf)).groupBy("rule").agg(F.count("*").alias("violations")),
     f"with {_R}, w as (select workload_id from n group by 1 having count(distinct workload_config_sha256) > 1) select 'workload-config' as rule, count(*) as violations from w having count(*) > 0")
-add("records_throughput", lambda spark, sf: records.throughput(run_records(spark)), f"with {_R} select {_BASE}, t / QueryTime as samples_per_second from n where status = 'OK' and QueryTime > 0")
-add("records_resume", lambda spark, sf: records.not_done(run_records(spark), run_records(spark).where("status = 'OK'")).select("run_group_id", "measurement_mode"), f"with {_R} select run_group_id, measurement_mode from n where status <> 'OK'")
+add("records_throughput", lambda spark, sf: records.throughput(run_records(spark, sf)), f"with {_R} select {_BASE}, t / QueryTime as samples_per_second from n where status = 'OK' and QueryTime > 0")
+add("records_resume", lambda spark, sf: records.not_done(run_records(spark, sf), run_records(spark, sf).where("status = 'OK'")).select("run_group_id", "measurement_mode"), f"with {_R} select run_group_id, measurement_mode from n where status <> 'OK'")
 
 
 # validation
@@ -194,4 +196,8 @@ _SAMPLE = f"drawn as ({SQL['sample_part2_lifted']})"
 _BUCKET = "('0x' || substr(sha256('pair-bucket|' || r_id || '|' || s_id), 1, 15))::bigint % 128"
 add("pair_frequencies_part2", _with_drawn(lambda j, s: validation.frequencies(joins.grid_pairs(j), s)), f"with {sides_sql('part2')}, {_SAMPLE}, c as (select r_id, s_id, count(*) as n from drawn group by all) select p.r_id, p.s_id, coalesce(n, 0) as n from p left join c using (r_id, s_id)")
 add("bucket_transitions_part2", _with_drawn(lambda j, s: validation.transitions(s)), f"with {_SAMPLE}, b as (select pos, {_BUCKET} as here from drawn), l as (select here, lead(here) over (order by pos) as there from b) select here, there, count(*) as n from l where there is not null group by all")
-add("holm_values", lambda spark, sf: validation.holm(spark.createDataFrame([("a", 0.001), ("b", 0.004), ("c", 0.2), ("d", 0.0001)], "label string, p double")), "select * from (values ('a', 0.001::double, true), ('b', 0.004::double, true), ('c', 0.2::double, false), ('d', 0.0001::double, true)) v(label, p, rejected)")
+add(
+    "holm_values", lambda spark, sf: validation.holm(read(spark, sf, "part").selectExpr("cast(p_partkey as string) as label", "cast(1e-8 as double) * cast(p_partkey * 37 % 1009 as double) as p")),
+    "with v as (select p_partkey::varchar as label, 1e-8::double * (p_partkey * 37 % 1009)::double as p from part), r as (select *, row_number() over (order by p, label) - 1 as k, count(*) over () as m from v) "
+    "select label, p, bool_and(p <= 0.01::double / (m - k)) over (order by p, label rows unbounded preceding) as rejected from r",
+)
