@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,25 +99,35 @@ def run_one(join: BoxJoin, algorithm: str, task: str, t: int, seed: str, limit:
     return record
 
 
-def run_suite(planned_runs: DataFrame, workload: Callable[[str], BoxJoin], out: str, limit: float | None = None) -> int:
+def run_suite(planned_runs: DataFrame, workload: Callable[[str], BoxJoin], out: str, limit: float | None = None, identity: Mapping[str, str] | None = None) -> int:
     """Runs what is planned and has no record in `out` yet, one after another, appending each record; returns how many ran.
 
-    A suite that was stopped goes on where it ended: records are JSON lines, and a run is known by its group and mode.
+    A suite that was stopped goes on where it ended: records are JSON lines, and a run is known by its group and mode. With an
+    `identity` (values of records.IDENTITY) each record tells it, and records of another one in `out` are an error before anything runs.
     """
     spark = planned_runs.sparkSession
+    identity = dict(identity or {})
+    if set(identity) - set(records.IDENTITY):
+        raise ValueError(f"not of a record's identity: {sorted(set(identity) - set(records.IDENTITY))}")
+    if identity and _exists(spark, out):
+        before = spark.read.schema(", ".join(f"{k} string" for k in identity)).json(out)
+        other = [F.when(~F.col(k).eqNullSafe(F.lit(v)), k) for k, v in identity.items()]
+        odd = before.select(F.array_compact(F.array(*other)).alias("fields")).where("size(fields) > 0").first()
+        if odd:
+            raise ValueError(f"{out} has records of another {', '.join(odd['fields'])}: use another path")
     names = ["run_group_id", "measurement_mode", "workload_id", "algorithm", "task", "t", "x_name", "x_value", "sweep", "sample_seed"]
     todo = planned_runs.select(names)
     done = spark.read.schema("run_group_id string, measurement_mode string").json(out) if _exists(spark, out) else None
     todo = (todo if done is None else records.not_done(todo, done)).orderBy("run_group_id", "measurement_mode").collect()
     for row in todo:
-        record = row.asDict() | run_one(workload(row["workload_id"]), row["algorithm"], row["task"], row["t"], row["sample_seed"], limit)
+        record = row.asDict() | run_one(workload(row["workload_id"]), row["algorithm"], row["task"], row["t"], row["sample_seed"], limit) | identity
         values = {k: v for k, v in record.items() if k in _KEPT}
         runs_out.append_runs(spark.createDataFrame([tuple(values.get(k) for k in _KEPT)], ", ".join(f"{k} {v}" for k, v in _KEPT.items())), out)
     return len(todo)
 
 
 #: Columns of a suite's records.
-_KEPT = dict.fromkeys(("run_group_id", "measurement_mode", "workload_id", "algorithm", "task", "x_name", "sweep", "status", "W", "detail"), "string") | {
+_KEPT = dict.fromkeys((*records.IDENTITY, "run_group_id", "measurement_mode", "workload_id", "algorithm", "task", "x_name", "sweep", "status", "W", "detail"), "string") | {
     "t": "bigint", "output_length": "bigint"
 } | dict.fromkeys(("x_value", "OneShotTime", "PrepareTime", "QueryTime", "CountOnlyTime", "PreparedQueryTime"), "double")
 

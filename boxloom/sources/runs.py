@@ -18,9 +18,9 @@ def append_runs(rows: DataFrame, path: str) -> None:
 
 
 def write_report(report: records.RunReport, folder: str) -> None:
-    """Each section as JSON lines, the metrics also as CSV with a header and nested values as JSON."""
+    """Each section as JSON lines in order of its columns (but maps), the metrics also as CSV with a header and nested values as JSON."""
     for name, df in report.sections().items():
-        df.write.mode("overwrite").json(f"{folder}/{name}")
+        df.orderBy(*[F.col(c).asc_nulls_first() for c, kind in df.dtypes if not kind.startswith("map")]).write.mode("overwrite").json(f"{folder}/{name}")
     write_csv(report.sections()["metrics"], f"{folder}/metrics_csv")
 
 
