@@ -106,3 +106,9 @@ def quantiles(df: DataFrame, group: Sequence[str], column: str, at: Sequence[flo
     """Exact interpolated quantiles of a column by group."""
     q = df.groupBy(*group).agg(F.expr(f"percentile(`{column}`, array({', '.join(map(str, at))}))").alias("_q"))
     return q.select(*group, *[F.col("_q")[i].alias(f"q{round(100 * a)}") for i, a in enumerate(at)])
+
+
+def selection_summary(candidates: DataFrame, selected: DataFrame, user: str, stratum: Sequence[str]) -> DataFrame:
+    """(part, rows, users, strata) of the candidates and of what was selected from them; a null user or stratum counts as one."""
+    told = lambda df, part: df.agg(F.count("*").alias("rows"), F.countDistinct(F.struct(user)).alias("users"), F.countDistinct(F.struct(*stratum)).alias("strata")).select(F.lit(part).alias("part"), "rows", "users", "strata")
+    return told(candidates, "candidates").unionAll(told(selected, "selected"))

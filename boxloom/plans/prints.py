@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fingerprints as fp
-from .catalog import add
+from ..operators import strata
+from .catalog import SQL, add
 from .fixtures import FIXTURES, read, sides_sql
+from .more import _selected
 
 
 def row_sql(*texts: str) -> str:
@@ -87,3 +89,9 @@ add(
 b as (select j::int as level, o_orderkey >> ({fp.BITS} * j)::int as node, count(*) as n, list_sort(list(row(o_orderkey, {_ROW})::varchar)) as x from m, (values (1), (2), (3)) t(j) group by 1, 2)
 select level, node, case when a.n is null then 'added' when b.n is null then 'removed' else 'changed' end as change, a.n as rows_before, b.n as rows_after from a full join b using (level, node) where a.x is distinct from b.x""",
 )
+
+_MONTHS = "select user_id, month(ts) as month, cast(floor(value / 10) as bigint) as tx from events"
+add(
+    "selection_summary_events", lambda spark, sf: strata.selection_summary(read(spark, sf, "events").select("user_id", F.month("ts").alias("month"), strata.tile(F.col("value"), 10).alias("tx")), _selected(spark, sf), "user_id", ["month", "tx"]),
+    " union all ".join(f"select '{n}' as part, count(*) as rows, count(distinct user_id) as users, count(distinct (month, tx)) as strata from ({q})" for n, q in (("candidates", _MONTHS), ("selected", SQL["stratified_select_events"]))),
+)

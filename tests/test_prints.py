@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.operators import fingerprints as fp
-from boxloom.operators import records
+from boxloom.operators import records, strata
 from boxloom.operators.boxes import BoxJoin
 from boxloom.plans import runs
 from boxloom.sources import boxfile, collections, publish
@@ -182,3 +182,9 @@ def test_suite_of_another_identity(spark, tmp_path):
     assert runs.run_suite(planned, load, out, identity={"machine_id": "m", "code_commit": "c"}) == 1
     with pytest.raises(ValueError, match="identity"):
         runs.run_suite(planned, load, out, identity={"host": "m"})
+
+
+def test_selection_summary(spark):
+    a = spark.createDataFrame([(1, 1, None), (1, 2, 5), (None, 2, 5), (None, 2, 6)], "u bigint, m bigint, x bigint")
+    assert [tuple(r) for r in strata.selection_summary(a, a.where("x = 5"), "u", ["m", "x"]).collect()] == [("candidates", 4, 2, 3), ("selected", 2, 2, 1)]
+    assert [tuple(r)[1:] for r in strata.selection_summary(a.limit(0), a.limit(0), "u", ["m", "x"]).collect()] == [(0, 0, 0)] * 2
