@@ -165,8 +165,8 @@ def _meet(lists: pa.ListArray, below: np.ndarray | None = None) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Links within one block of a bucket, or between two: for each class their number, its component's smallest node there, and the bins of their similarities."""
-    held, size = [], 0
+    """Links within one block of a bucket, or between two: for each class their number and its component's smallest node there; for each batch the bins of their similarities, in a row of no class."""
+    held, bins = [], np.zeros(_bins(threshold), np.int64)
     for group in groups_of(batches, "pair"):
         group = group.combine_chunks()
         node = group.column("node").to_pylist()
@@ -187,8 +187,7 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iter
         if not len(i):
             continue
         links = np.bincount(i, copies[j], len(node)).astype(np.int64)
-        bins = np.zeros((len(node), round((1 - threshold) / BIN) + 1), np.int64)
-        np.add.at(bins, (i, np.minimum((similarity[i, j] - threshold + 1e-9) / BIN, bins.shape[1] - 1).astype(np.int64)), copies[j])
+        np.add.at(bins, np.minimum((similarity[i, j] - threshold + 1e-9) / BIN, len(bins) - 1).astype(np.int64), copies[j])
         order = np.array(sorted(range(len(node)), key=node.__getitem__))
         root = np.empty(len(node), np.int64)
         root[order] = np.arange(len(node))
@@ -198,12 +197,16 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iter
             if (root == was).all():
                 break
         for p in np.unique(i).tolist():
-            held.append((node[p], node[order[root[p]]], links[p], bins[p]))
+            held.append((node[p], node[order[root[p]]], links[p], None))
         if len(held) > 20_000:
-            yield _linked(held)
-            held = []
+            yield _linked([*held, (None, None, None, bins)])
+            held, bins = [], np.zeros_like(bins)
     if held:
-        yield _linked(held)
+        yield _linked([*held, (None, None, None, bins)])
+
+
+def _bins(threshold: float) -> int:
+    return round((1 - threshold) / BIN) + 1
 
 
 def _linked(held: list) -> pa.RecordBatch:
@@ -263,12 +266,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
         new = _new_links(members, forest, shingle, threshold, trees, longest, length, before)
         links = new if links is None else links.unionAll(new)
         before = length
-        bins = [0] * (round((1 - threshold) / BIN) + 1)
-        for row in links.select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():  # a row per bin
-            bins[row["bin"]] = row["n"]
+        bins = [n or 0 for n in links.where("node is null").agg(*[F.sum(F.col("bins")[i]) for i in range(_bins(threshold))]).first()]
         if enough(bins, length, threshold, trees, recall):
             break
 
+    links = links.where("node is not null")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     found = (
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 
 
 def _new_links(members: DataFrame, forest: DataFrame, shingle: int, threshold: float, trees: int, longest: int, length: int, before: int | None) -> DataFrame:
-    """(node, root, links, bins): the links of pairs whose longest common prefix in any tree has `length` minima or more, but fewer than `before`."""
+    """(node, root, links, bins), and rows of bins alone: the links of pairs whose longest common prefix in any tree has `length` minima or more, but fewer than `before`."""
     at = forest.withColumn("prefix", F.xxhash64("tree", F.substring("minima", 1, 2 * length)))
     child = F.col("node") if before is None else F.substring("minima", 1, 2 * before)
     ranges = at.groupBy("prefix").agg(
