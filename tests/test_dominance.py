@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from boxloom.operators import boxes, dominance, joins, sweep
+from boxloom.operators import boxes, decompose, dominance, joins, samplers, sweep
 from boxloom.operators.boxes import BoxJoin
 from boxloom.plans.fixtures import FIXTURES
 
@@ -50,3 +50,42 @@ def test_strip_weights_carry_no_box_over_a_border(spark, monkeypatch):
     monkeypatch.setattr(sweep, "strips", None)
     got = sweep.strip_weights(BoxJoin(rows, rows), 2).collect()
     assert sum(x["weight"] for x in got) == 40
+
+
+@pytest.mark.parametrize("d, kind, chunk", [(3, "bigint", 7), (3, "double", 1 << 15), (4, "double", 12)])
+def test_counts_by_tiles(spark, monkeypatch, d, kind, chunk):
+    """Three axes and more: chunks that all meet, none meet or are compared, against brute force; no blocks are made."""
+    rnd = random.Random(chunk + d)
+    r, rdf = _some(spark, rnd, 60, 0, d, kind)
+    s, sdf = _some(spark, rnd, 50, 100, d, kind)
+    full = lambda b: all(b[1 + k] < b[1 + d + k] for k in range(d))
+    pairs = [(a, b) for a in r for b in s if full(a) and full(b) and all(a[1 + k] < b[1 + d + k] and b[1 + k] < a[1 + d + k] for k in range(d))]
+    monkeypatch.setattr(dominance, "CHUNK", chunk)
+    monkeypatch.setattr(decompose, "grouped", None)
+    j = BoxJoin(rdf, sdf)
+    later = collections.Counter((0, a[0]) if a[1] > b[1] else (1, b[0]) for a, b in pairs)
+    assert {(x["side"], x["id"]): x["weight"] for x in sweep.weights(j).collect()} == later
+    anchors = collections.Counter((0, a[0]) if a[d] <= b[d] else (1, b[0]) for a, b in pairs)
+    assert {tuple(x)[:2]: x["weight"] for x in decompose.anchors_counted(j).collect()} == anchors and len(pairs) > 2
+    assert sweep.weights(BoxJoin(rdf.limit(0), sdf)).count() == 0
+
+
+def test_tiles_of_chunks_that_all_meet(spark, monkeypatch):
+    """Boxes that cover all are counted by their chunks' bounds: no task compares rows."""
+    rows = spark.range(60).selectExpr("id", *[f"{e} as {x}{k}" for k in range(3) for x, e in (("l", "-id - 1"), ("u", "id + 1"))])
+    monkeypatch.setattr(dominance, "CHUNK", 20)
+    monkeypatch.setattr(dominance, "_tile", None)
+    got = dominance.weighed(rows, rows, [dominance.overlap(k) for k in range(3)]).collect()
+    assert {x["id"]: x["weight"] for x in got} == dict.fromkeys(range(60), 60)
+
+
+@pytest.mark.parametrize("kind", ["compiled", "sweep", "lifted"])
+def test_samples_without_blocks_are_those_with_them(spark, sf_dir, monkeypatch, kind):
+    """A few draws list the partners of drawn boxes and make no block; the blocks give the same pairs."""
+    j = FIXTURES["part2"](spark, sf_dir)
+    with monkeypatch.context() as m:
+        m.setattr(decompose, "grouped", None)
+        got = sorted(map(tuple, samplers.make_sampler(kind, j, "5e" * 32).sample(40).collect()))
+    found = samplers._Anchored._found
+    monkeypatch.setattr(samplers._Anchored, "_found", lambda self, drawn, w: (found(self, drawn, w)[0], False))
+    assert got == sorted(map(tuple, samplers.make_sampler(kind, j, "5e" * 32).sample(40).collect())) and len(got) == 40
