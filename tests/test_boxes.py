@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from boxloom.operators import boxes, decompose, joins, samplers, sweep, validation
 from boxloom.operators.boxes import BoxError, BoxJoin
@@ -171,3 +172,19 @@ def test_range_prefixes_agree(spark):
     for rows in (1 << 20, 7):
         for r in counts_at(df, at, rows=rows).collect():
             assert r["n_below"] == sum((i * 37) % 50 < r["x"] or (r["inclusive"] and (i * 37) % 50 == r["x"]) for i in range(200))
+
+
+@pytest.mark.parametrize("d, kind", [(1, "bigint"), (2, "bigint"), (2, "double"), (3, "bigint")])
+def test_touching_pairs_are_not_compared_with_each_other(spark, d, kind):
+    """Each pair once, whichever endpoints it touches at; no exchange holds pairs."""
+    rnd = random.Random(d)
+    some = lambda base: [(base + i, *(lo := [rnd.randint(0, 5) for _ in range(d)]), *[x + rnd.choice([0, 1, 2, 3, 90]) for x in lo]) for i in range(50)]
+    r, s = some(0), some(100)
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{e}{j} bigint" for e in "lu" for j in range(d))).select("id", *[F.col(f"{e}{j}").cast(kind) for e in "lu" for j in range(d)])
+    full = lambda b: all(b[1 + k] < b[1 + d + k] for k in range(d))
+    closed = lambda a, b: all(a[1 + k] <= b[1 + d + k] and b[1 + k] <= a[1 + d + k] for k in range(d))
+    strict = lambda a, b: all(a[1 + k] < b[1 + d + k] and b[1 + k] < a[1 + d + k] for k in range(d))
+    want = sorted((a[0], b[0]) for a in r for b in s if full(a) and full(b) and closed(a, b) and not strict(a, b))
+    got = joins.touching_pairs(BoxJoin(frame(r), frame(s)))
+    assert sorted(map(tuple, got.collect())) == want and want
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
