@@ -82,30 +82,26 @@ def suffix_order(b: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray
     follows. The end of the array is below any byte.
     """
     n = len(b)
-    key = np.append(b, np.zeros(8, np.uint8)).astype(np.uint64)
-    packed = np.zeros(n, np.uint64)
-    for j in range(8):
-        packed = packed << np.uint64(8) | key[j : j + n]
-    size, ranks = 8, []
-    order = np.argsort(packed, kind="stable")
-    change = np.append(True, packed[order[1:]] != packed[order[:-1]])
+    packed = np.ndarray(n, ">u8", b.tobytes() + bytes(8), strides=(1,)).astype(np.uint64)
+    order = np.argsort(packed, kind=None if depth > 8 else "stable")  # only longer prefixes tell the array's end from zeros
+    packed = packed[order]
+    change = np.append(True, packed[1:] != packed[:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-    ranks.append(rank)
+    open_ = np.flatnonzero(~(change & np.append(change[1:], True)))
+    size, ranks = 8, [rank]
     while size < depth:
-        new = np.append(True, rank[order[1:]] != rank[order[:-1]])
-        alone = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~alone)
         if len(open_):
             p = order[open_]
             follow = np.where(p + size < n, rank[np.minimum(p + size, n - 1)] + 1, 0)
-            sub = np.argsort(rank[p] << 32 | follow, kind="stable")
-            p, follow = p[sub], follow[sub]
+            key = rank[p] << 32 | follow
+            sub = np.argsort(key)
+            p, key = p[sub], key[sub]
             order[open_] = p
-            change = np.append(True, (rank[p][1:] != rank[p][:-1]) | (follow[1:] != follow[:-1]))
-            fresh = rank.copy()
-            fresh[p] = np.maximum.accumulate(np.where(change, open_, 0))
-            rank = fresh
+            change = np.append(True, key[1:] != key[:-1])
+            rank = rank.copy()
+            rank[p] = np.maximum.accumulate(np.where(change, open_, 0))
+            open_ = open_[~(change & np.append(change[1:], True))]
         size *= 2
         ranks.append(rank)
     return order, ranks
@@ -150,7 +146,8 @@ def previous_factors(b: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     """For each of `starts` (ascending): the longest factor that starts at an earlier one, and at a later one, up to about 2 * length.
 
     The longest previous factor is the longer of the common prefixes with the previous and the next suffix in order
-    whose position is smaller; with larger positions in place of smaller ones, it is the longest next factor.
+    whose position is smaller; with larger positions in place of smaller ones, it is the longest next factor. A start
+    that shares its first bytes, as many as the ranks tell up to `length`, with no other has no factor of `length`: its are given as 0.
     """
     depth = 8
     while depth < length:
@@ -158,6 +155,9 @@ def previous_factors(b: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     order, ranks = suffix_order(b, depth)
     chosen = np.zeros(len(b), bool)
     chosen[starts] = True
+    if length >= 8:
+        told = ranks[(length >> 3).bit_length() - 1]
+        chosen &= (np.bincount(told, chosen, len(b)) > 1)[told]
     order = order[chosen[order]]
     out = []
     for sign in (1, -1):

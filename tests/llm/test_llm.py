@@ -388,6 +388,17 @@ def test_factors_of_random_strings(length):
     assert set(starts[after >= length]) == {p for v in seen.values() for p in v[:-1]}
 
 
+def test_factors_compare_only_starts_that_share_their_first_bytes(monkeypatch):
+    rng = np.random.default_rng(1)
+    b = rng.integers(0, 256, 4000).astype(np.uint8)
+    b[3000:3400] = b[100:500]
+    compared, real = [], suffixes.common_prefix
+    monkeypatch.setattr(suffixes, "common_prefix", lambda b, i, j, ranks: compared.append(len(i)) or real(b, i, j, ranks))
+    before, after = suffixes.previous_factors(b, np.arange(4000), 200)
+    assert np.flatnonzero(before >= 200).tolist() == list(range(3000, 3201)) and np.flatnonzero(after >= 200).tolist() == list(range(100, 301))
+    assert max(compared) <= 2 * 400
+
+
 def test_warc_round_trip(spark):
     rnd = random.Random(2)
     big = "".join(rnd.choice("abé\r\n") for _ in range(5000))
