@@ -292,6 +292,19 @@ def test_runs_are_merged_in_tiers_without_a_sort(spark):
     assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
 
 
+def test_windows_are_digested_once_and_runs_merged_by_hashes(spark):
+    docs = odd_docs(spark)
+    places = substrings._found(docs, 13, 4, 2)[3]
+    assert places._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    with substrings.FingerprintIndex(spark, scratch(spark, "merged"), most=9, buckets=4) as index:
+        for _ in range(2):
+            index.add(substrings._keyed(docs).where("doc_id < 20"))
+        merged = index.merged(index.runs)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in plan and plan.count("Exchange") <= 1
+        assert 0 < merged.count() == index._table(index.runs[0]).distinct().count()
+
+
 def test_batches_against_kept_history_give_what_one_pass_gives(spark):
     docs = odd_docs(spark).where("doc_id is not null")
     want = {tuple(r) for r in substrings.dedup(docs).collect()}
