@@ -103,6 +103,18 @@ def test_range_counts_list_no_match(spark):
     assert rows_shuffled(spark, many) <= rows_shuffled(spark, few) + 400
 
 
+def test_range_counts_of_three_axes_copy_no_point_to_nodes(spark, monkeypatch):
+    from boxloom.operators import dominance, prefix, storage
+
+    rows = []
+    for module in (ranges, dominance, prefix):
+        monkeypatch.setattr(module, "settled", lambda df: rows.append((out := storage.settled(df)).count()) or out)
+    p = spark.range(2000).selectExpr("id", *[f"cast((id * {m}) % 2000 as double) as x{j}" for j, m in enumerate((1, 7919, 104729))])
+    q = spark.range(20).select(F.col("id").alias("qid"), *[c for j in range(3) for c in (F.lit(10.0 if j else None).cast("double").alias(f"lo{j}"), F.lit(1900.0).alias(f"hi{j}"), F.lit(True).alias(f"lo{j}_strict"), F.lit(False).alias(f"hi{j}_strict"))])
+    want = p.where("x0 <= 1900 and x1 > 10 and x1 <= 1900 and x2 > 10 and x2 <= 1900").count()
+    assert {r["n"] for r in ranges.range_count(p, q, 3).collect()} == {want} and sum(rows) < 5 * 2020
+
+
 def test_range_draws(spark):
     p, q, want = points_and_ranges(spark, 2)
     got = ranges.range_draws(p, q, 2, 40, "s").collect()
