@@ -5,6 +5,7 @@ import itertools
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,13 @@ def test_touching_pairs_are_not_compared_with_each_other(spark, d, kind):
     got = joins.touching_pairs(BoxJoin(frame(r), frame(s)))
     assert sorted(map(tuple, got.collect())) == want and want
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strips_pass_pairs_on_as_they_are_met(monkeypatch):
+    """All of 600 boxes overlap: what is held at once is bounded, not a strip's pairs."""
+    monkeypatch.setattr(sweep, "OPEN", 64)
+    n = 600
+    t = pa.table({"side": pa.array([i % 2 for i in range(n)], pa.int32()), "carried": [False] * n, "id": list(range(n)), "l0": [i // 3 for i in range(n)], "u0": [9 * n] * n, "l1": [i * 7 % n for i in range(n)], "u1": [9 * n] * n})
+    parts = list(sweep._pass(t, 2, True))
+    assert max(x.num_rows for x in parts) <= sweep.STARTS * 64
+    assert sorted(p for x in parts for p in zip(*x.to_pydict().values())) == [(i, j) for i in range(0, n, 2) for j in range(1, n, 2)]
