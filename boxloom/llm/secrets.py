@@ -32,12 +32,14 @@ SHORTEST = 16
 #: Characters that the network sees: before a candidate, of its start and its end, after it.
 BEFORE, HEAD, TAIL, AFTER = 32, 40, 8, 8
 WIDTH = BEFORE + HEAD + TAIL + AFTER
-#: Labelled findings: documents they are looked for in, candidates of each label from these, made ones of each label.
-SAMPLE, FOUND, MADE = 20_000, 1_500, 4_000
+#: Labelled findings: different ones that a task fits to at about, made ones of each label that go with these.
+SHARD, MADE = 4_096, 4_000
 #: The share of labelled secrets of each shape that the thresholds keep, at least, and the secrets a shape needs for a threshold of its own.
 RECALL, SHAPED = 0.99, 30
 #: Sizes of the network and its training.
 EMBED, TAPS, FILTERS, EPOCHS, BATCH, RATE = 8, 7, 32, 12, 64, 0.004
+#: How often tasks' weights are averaged, and units that weights and logits are rounded to where they are added up.
+ROUNDS, UNIT, BIN = 3, 1 << 32, 1 << 7
 SHAPES = ("digits", "letters", "hex", "mixed")
 
 
@@ -147,47 +149,72 @@ class Model:
         return score, score >= self.least[shapes(windows)]
 
 
-def fit(windows: list[str], labels: list[int], seed: int = 0) -> Model:
-    """A model of labelled windows. A quarter of the candidates, by their own characters, is held out for calibration and thresholds.
+def _held(windows: list[str]) -> np.ndarray:
+    """Which windows are held out for calibration and thresholds: a quarter, by the candidates' own characters."""
+    return np.array([sum(map(ord, w[BEFORE : BEFORE + HEAD + TAIL])) % 4 == 0 for w in windows], bool)
 
-    The threshold of a shape is the greatest that still finds RECALL of the shape's held-out secrets; shapes with fewer than
-    SHAPED of them take the threshold of all.
-    """
-    x, y = coded(windows), np.array(labels, np.float32)
-    part = np.array([sum(map(ord, w[BEFORE : BEFORE + HEAD + TAIL])) % 4 for w in windows])
-    train, held = np.flatnonzero(part > 0), np.flatnonzero(part == 0)
-    rng = np.random.default_rng(seed)
+
+def _begun(rng: np.random.Generator) -> dict[str, np.ndarray]:
     init = lambda *shape: (rng.standard_normal(shape) * (2 / shape[0]) ** 0.5).astype(np.float32)
-    p = {"embed": rng.standard_normal((256, EMBED)).astype(np.float32) * np.float32(0.5), "filter": init(EMBED * TAPS, FILTERS), "bias": np.zeros(FILTERS, np.float32), "dense": init(3 * FILTERS) * np.float32(0.3), "offset": np.float32(0)}
+    return {"embed": rng.standard_normal((256, EMBED)).astype(np.float32) * np.float32(0.5), "filter": init(EMBED * TAPS, FILTERS), "bias": np.zeros(FILTERS, np.float32), "dense": init(3 * FILTERS) * np.float32(0.3), "offset": np.float32(0)}
+
+
+def _trained(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, epochs: range, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """The weights after some of all EPOCHS over x."""
+    p = dict(p)
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for epoch in range(EPOCHS):
-        for at in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
+    for epoch in epochs:
+        for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             logits, kept = _forward(p, x[at])
-            grads = _gradients(p, x[at], kept, ((_sigmoid(logits) - y[at]) / len(at)).astype(np.float32))
+            grads = _gradients(p, x[at], kept, ((_sigmoid(logits) - y[at]) / max(1, len(at))).astype(np.float32))
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 p[k] = (p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    z = np.concatenate([np.zeros(0), *[_forward(p, x[at])[0] for at in np.array_split(held, len(held) // 512 + 1)]]).astype(np.float64)
-    line = _calibrated(z, y[held].astype(np.float64))
-    score, kind, wanted = _sigmoid(z * line[0] + line[1]), shapes([windows[i] for i in held]), y[held] > 0
-    least_of = lambda s: np.sort(s)[int(len(s) * (1 - RECALL))]
-    overall = least_of(score[wanted]) if wanted.any() else 1.0
-    least = [least_of(score[own]) if (own := wanted & (kind == k)).sum() >= SHAPED else overall for k in range(len(SHAPES))]
-    return Model(p, line, np.array(least))
-
-
-def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of logits by Newton's method, with targets drawn in by one case of each label (Platt, 1999)."""
-    yes, no = y.sum(), (1 - y).sum()
+    return p
+
+
+def _logits(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[_forward(p, part)[0] for part in np.array_split(x, len(x) // 512 + 1)]]).astype(np.float64)
+
+
+def _model(p: dict[str, np.ndarray], z: np.ndarray, y: np.ndarray, kind: np.ndarray, n: np.ndarray) -> Model:
+    """The calibrated network: logits, labels, shapes and numbers of held-out candidates.
+
+    The threshold of a shape is the greatest that still finds RECALL of the shape's held-out secrets; shapes with fewer than
+    SHAPED of them take the threshold of all.
+    """
+    line = _calibrated(z, y, n)
+    score = _sigmoid(z * line[0] + line[1])
+
+    def least_of(own: np.ndarray) -> float:
+        order = np.argsort(score[own], kind="stable")
+        upto = np.cumsum(n[own][order])
+        return score[own][order][np.searchsorted(upto, int(upto[-1] * (1 - RECALL)), "right")]
+
+    wanted = y > 0
+    overall = least_of(wanted) if wanted.any() else 1.0
+    return Model(p, line, np.array([least_of(own) if n[own := wanted & (kind == k)].sum() >= SHAPED else overall for k in range(len(SHAPES))]))
+
+
+def fit(windows: list[str], labels: list[int], seed: int = 0) -> Model:
+    """A model of labelled windows, without tasks."""
+    x, y, held, rng = coded(windows), np.array(labels, np.float32), _held(windows), np.random.default_rng(seed)
+    p = _trained(_begun(rng), x[~held], y[~held], range(EPOCHS), rng)
+    return _model(p, _logits(p, x[held]), y[held].astype(np.float64), shapes([w for w, own in zip(windows, held) if own]), np.ones(int(held.sum()), np.int64))
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of logits, each met n times, by Newton's method, with targets drawn in by one case of each label (Platt, 1999)."""
+    yes, no = (y * n).sum(), ((1 - y) * n).sum()
     target, w = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2)), np.array([1.0, 0.0])
     design = np.stack([z, np.ones_like(z)], 1)
     for _ in range(30):
         s = _sigmoid(design @ w)
-        hessian = design.T @ (design * (s * (1 - s))[:, None]) + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(hessian, design.T @ (s - target) + 1e-3 * (w - [1.0, 0.0]))
+        hessian = design.T @ (design * (n * s * (1 - s))[:, None]) + 1e-3 * np.eye(2)
+        w = w - np.linalg.solve(hessian, design.T @ (n * (s - target)) + 1e-3 * (w - [1.0, 0.0]))
     return max(float(w[0]), 1e-3), float(w[1])
 
 
@@ -272,26 +299,64 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(labels, pa.int32())], ["window", "label"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, found: int = FOUND, made: int = MADE) -> Model:
-    """A model of docs(doc_id, text) and made findings.
+def _cases(t: pa.Table, made: int) -> tuple[list[str], list[int]]:
+    """A task's labelled windows: what was found, the same in other surroundings, so that not the words beside them alone decide, and made ones."""
+    rows = sorted(zip(t.column("window").to_pylist(), t.column("label").to_pylist()))
+    around = sorted({w[:BEFORE].strip("\0") for w, _ in rows})
+    moved = [(around[i * 7919 % len(around)].rjust(BEFORE, "\0") + w[BEFORE:], label) for i, (w, label) in enumerate(rows)]
+    more, labels = made_findings(around, made, int(t.column("shard")[0].as_py()))
+    return [*[w for w, _ in rows + moved], *more], [*[label for _, label in rows + moved], *labels]
+
+
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.ravel(v) for v in p.values()]).astype(np.float64)
+
+
+def _like(p: dict[str, np.ndarray], flat: np.ndarray) -> dict[str, np.ndarray]:
+    parts = np.split(flat.astype(np.float32), np.cumsum([np.size(v) for v in p.values()])[:-1])
+    return {k: x.reshape(np.shape(v)) if np.ndim(v) else x[0] for (k, v), x in zip(p.items(), parts)}
+
+
+def _round(t: pa.Table, p: dict[str, np.ndarray], made: int, epochs: range) -> pa.Table:
+    windows, labels = _cases(t, made)
+    train, y = ~_held(windows), np.array(labels, np.float32)
+    own = _flat(_trained(p, coded(windows)[train], y[train], epochs, np.random.default_rng(epochs.start)))
+    return pa.table({"place": pa.array(np.arange(len(own), dtype=np.int32)), "value": pa.array(np.rint(own * UNIT).astype(np.int64))})
+
+
+def _judged(t: pa.Table, p: dict[str, np.ndarray], made: int) -> pa.Table:
+    windows, labels = _cases(t, made)
+    held = np.flatnonzero(_held(windows))
+    mine = [windows[i] for i in held]
+    z = np.rint(np.clip(_logits(p, coded(mine)), -30, 30) * BIN).astype(np.int64)
+    rows, n = np.unique(np.stack([np.array(labels, np.int64)[held], shapes(mine), z]), axis=1, return_counts=True)
+    return pa.table({"label": rows[0], "kind": rows[1], "z": rows[2], "n": n})
+
+
+def train(docs: DataFrame, made: int = MADE) -> Model:
+    """A model of all of docs(doc_id, text), and of made findings.
 
-    Labelled findings are the candidates in the documents of the `sample` least hashes of doc_id, secrets where an exact
-    pattern matches, `found` of each label by least hash, and `made` of each label by known formats; the sample bounds what
-    is fitted on, never what is scanned. A table without findings, or without rows, leaves the made ones.
+    Labelled findings are the candidates of every document, secrets where an exact pattern matches; equal ones in equal
+    surroundings are one. Shards of them, each with `made` findings of each label by known formats, train in tasks, and
+    weights are averaged ROUNDS times. The line and the thresholds come from counts of all held-out logits. A table without
+    candidates leaves the made findings.
     """
     arrow_batches(docs.sparkSession)
-    hashes = docs.select(F.xxhash64("doc_id").alias("h"))
-    last = hashes.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    some = docs.where(F.xxhash64("doc_id") <= F.lit(last if last is not None else 0)).select(F.col("text").alias("_text"))
-    windows = stored(some.mapInArrow(_labelled, "window string, label int"), "labelled").select("*", F.xxhash64("window").alias("h"))
-    rows = [r for label in (1, 0) for r in windows.where(F.col("label") == label).orderBy("h", "window").limit(found).collect()]
-    x, y = [r["window"] for r in rows], [r["label"] for r in rows]
-    around = sorted({w[:BEFORE].strip("\0") for w in x})
-    more, labels = made_findings(around, made)
-    # the found ones in other surroundings too, so that not the words beside them alone decide
-    bodies = [(w[BEFORE:], label) for w, label in zip(x, y)]
-    moved = [(around[i * 7919 % len(around)].rjust(BEFORE, "\0") + body, label) for i, (body, label) in enumerate(bodies)] if around else []
-    return fit([*x, *more, *[w for w, _ in moved]], [*y, *labels, *[label for _, label in moved]])
+    windows = docs.select(F.col("text").alias("_text")).mapInArrow(_labelled, "window string, label int").distinct()
+    windows = stored(windows, "labelled")
+    shards = -(-windows.count() // SHARD)
+    if not shards:
+        return fit(*made_findings([], made))
+    dealt = windows.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard")
+    p, each = _begun(np.random.default_rng(0)), EPOCHS // ROUNDS
+    for k in range(ROUNDS):
+        now, epochs = p, range(k * each, (k + 1) * each)
+        found = dealt.applyInArrow(lambda t: _round(t, now, made, epochs), "place int, value bigint")  # noqa: B023
+        mean = found.groupBy("place").agg((F.sum(F.col("value").cast("decimal(38,0)")) / F.count("*")).cast("double").alias("v"))
+        p = _like(p, np.array([r["v"] for r in sorted(mean.collect())]) / UNIT)
+    rows = dealt.applyInArrow(lambda t: _judged(t, p, made), "label bigint, kind bigint, z bigint, n bigint").groupBy("label", "kind", "z").agg(F.sum("n").alias("n"))
+    y, kind, z, n = np.array(sorted(rows.collect()), np.int64).reshape(-1, 4).T
+    return _model(p, z / BIN, y.astype(np.float64), kind, n)
 
 
 _SPAN = StructType().add("kind", "string").add("start", "long").add("end", "long").add("score", "double")

@@ -139,3 +139,19 @@ def test_query_on_whole_table(spark, tmp_path, monkeypatch):
     # the same rows give the same model and the same spans
     again = sorted((order(r["doc_id"]), r["spans"]) for r in secrets.query(spark, str(tmp_path)).collect())
     assert again == [(x[0], x[-1]) for x in got]
+
+
+def test_the_model_is_fitted_to_every_document(spark, monkeypatch):
+    """Candidates of all documents are in some shard, equal ones once, and shards give one model."""
+    monkeypatch.setattr(secrets, "SHARD", 20)
+    seen = []
+    monkeypatch.setattr(secrets, "stored", lambda df, name: seen.append(df.cache()) or seen[-1])
+    docs = spark.range(60).selectExpr("id as doc_id", "concat('see key ', sha2(cast(id div 2 as string), 256), ' and some/longer/path/number', id div 2) as text")
+    model = secrets.train(docs, made=1200)
+    assert seen[0].where("label = 1").count() == 30 and seen[0].where("label = 0").count() == 30
+    again = secrets.train(docs.repartition(5), made=1200)
+    assert all((model.weights[k] == again.weights[k]).all() for k in model.weights) and (model.least == again.least).all()
+    held, wanted = secrets.made_findings(["some other words"], 300, seed=7)
+    _, yes = model.secret(held)
+    wanted = np.array(wanted) > 0
+    assert yes[wanted].mean() > 0.9 and yes[~wanted].mean() < 0.1
