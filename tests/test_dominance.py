@@ -7,6 +7,7 @@ import pytest
 
 from boxloom.operators import boxes, decompose, dominance, joins, samplers, sweep
 from boxloom.operators.boxes import BoxJoin
+from boxloom.plans.catalog import QUERIES
 from boxloom.plans.fixtures import FIXTURES
 
 
@@ -70,6 +71,32 @@ def test_counts_by_tiles(spark, monkeypatch, d, kind, chunk):
     assert sweep.weights(BoxJoin(rdf.limit(0), sdf)).count() == 0
 
 
+@pytest.mark.parametrize("d, kind, chunk", [(1, "bigint", 7), (2, "double", 11), (2, "bigint", 1 << 15), (4, "double", 12)])
+def test_totals_by_tiles(spark, monkeypatch, d, kind, chunk):
+    """The plain predicate, and the anchors of the decomposition: no pair is formed, no block is made."""
+    rnd = random.Random(chunk)
+    r, rdf = _some(spark, rnd, 60, 0, d, kind)
+    s, sdf = _some(spark, rnd, 50, 100, d, kind)
+    full = lambda b: all(b[1 + k] < b[1 + d + k] for k in range(d))
+    want = sum(full(a) and full(b) and all(a[1 + k] < b[1 + d + k] and b[1 + k] < a[1 + d + k] for k in range(d)) for a in r for b in s)
+    monkeypatch.setattr(dominance, "CHUNK", chunk)
+    monkeypatch.setattr(joins, "theta_pairs", None)
+    assert joins.theta_total(BoxJoin(rdf, sdf)).first()["w"] == want > 2
+    assert joins.theta_total(BoxJoin(rdf.limit(0), sdf)).first()["w"] == 0
+    if d > 2:
+        monkeypatch.setattr(decompose, "atoms", None)
+    assert decompose.total_counted(BoxJoin(rdf, sdf)).first()["w"] == want
+
+
+def test_theta_counts_pass_one_number_per_tile(spark, sf_dir, monkeypatch):
+    """The queries themselves: no nested loop over rows, and tiles that meet whole are a product."""
+    monkeypatch.setattr(joins, "theta_pairs", None)
+    assert QUERIES["box_theta_join_count_ord1"](spark, sf_dir).first()["w"] == 5297
+    monkeypatch.setattr(dominance, "_tile", None)
+    rows = spark.range(60).selectExpr("id", "-id - 1 as l0", "id + 1 as u0")
+    assert joins.theta_total(BoxJoin(rows, rows), 20).first()["w"] == 3600
+
+
 def test_tiles_of_chunks_that_all_meet(spark, monkeypatch):
     """Boxes that cover all are counted by their chunks' bounds: no task compares rows."""
     rows = spark.range(60).selectExpr("id", *[f"{e} as {x}{k}" for k in range(3) for x, e in (("l", "-id - 1"), ("u", "id + 1"))])
