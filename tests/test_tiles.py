@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from boxloom.operators import joins, sweep, tiles, validation
+from boxloom.operators import joins, ranges, sweep, tiles, validation
 from boxloom.operators.boxes import BoxJoin
 from boxloom.plans.catalog import QUERIES
 from boxloom.plans.fixtures import FIXTURES
@@ -67,3 +67,21 @@ def test_strips_of_many_borders(spark):
             first[x["strip"]] = min(first.get(x["strip"], x["l0"]), x["l0"])
     assert len(starts) == 400 and len(first) > 30
     assert all(x["strip"] > starts[x["id"]] and x["u0"] > first[x["strip"]] for x in found if x["carried"])
+
+
+def test_active_points_are_listed_in_many_tasks(spark, monkeypatch):
+    """Every moment with every active point, against a loop; the pairs are made where the arrays meet."""
+    monkeypatch.setattr(tiles, "WORK", 512)
+    rnd = random.Random(3)
+    log, state, want = [], {}, []
+    for seq in range(600):
+        i = rnd.randint(0, 39)
+        state[i] = -state.get(i, -1)
+        log.append((seq, i, state[i]))
+        if seq % 7 == 0:
+            want += [(seq, x) for x, on in state.items() if on == 1]
+    moments = spark.createDataFrame([(q, q) for q in range(0, 600, 7)], "qid bigint, seq bigint")
+    found = ranges.active_at(spark.createDataFrame(log, "seq bigint, id bigint, delta int"), moments)
+    rows = found.select("qid", "id", F.spark_partition_id()).collect()
+    assert sorted((x[0], x[1]) for x in rows) == sorted(want)
+    assert len({x[2] for x in rows}) >= 3
