@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -120,8 +120,8 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, held: tuple, d: np.ndarr
     de = np.zeros((len(x), WIDTH, EMBED), a.dtype)
     for k in range(TAPS):
         de[:, k : k + back.shape[1]] += back[..., k]
-    embed = np.zeros_like(p["embed"])
-    np.add.at(embed, x, de)
+    at = (x[..., None] * EMBED + np.arange(EMBED)).ravel()
+    embed = np.bincount(at, de.ravel(), p["embed"].size).reshape(p["embed"].shape).astype(a.dtype)
     return {"embed": embed, "filter": cols.reshape(-1, EMBED * TAPS).T @ flat, "bias": flat.sum(axis=0), "dense": pooled.T @ d, "offset": d.sum()}
 
 
@@ -299,13 +299,20 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(labels, pa.int32())], ["window", "label"])
 
 
-def _cases(t: pa.Table, made: int) -> tuple[list[str], list[int]]:
-    """A task's labelled windows: what was found, the same in other surroundings, so that not the words beside them alone decide, and made ones."""
+def _cases(t: pa.Table, made: int) -> pa.Table:
+    """A shard's labelled windows, in an order of their own: what was found, the same in other surroundings, so that not the words beside them alone decide, and made ones."""
     rows = sorted(zip(t.column("window").to_pylist(), t.column("label").to_pylist()))
     around = sorted({w[:BEFORE].strip("\0") for w, _ in rows})
     moved = [(around[i * 7919 % len(around)].rjust(BEFORE, "\0") + w[BEFORE:], label) for i, (w, label) in enumerate(rows)]
-    more, labels = made_findings(around, made, int(t.column("shard")[0].as_py()))
-    return [*[w for w, _ in rows + moved], *more], [*[label for _, label in rows + moved], *labels]
+    shard = int(t.column("shard")[0].as_py())
+    more, labels = made_findings(around, made, shard)
+    windows, labels = [*[w for w, _ in rows + moved], *more], [*[label for _, label in rows + moved], *labels]
+    return pa.table({"shard": pa.array([shard] * len(windows), pa.int32()), "place": pa.array(range(len(windows)), pa.int32()), "window": pa.array(windows, pa.string()), "label": pa.array(labels, pa.int32())})
+
+
+def _read(t: pa.Table) -> tuple[list[str], np.ndarray]:
+    t = t.sort_by("place")
+    return t.column("window").to_pylist(), t.column("label").to_numpy()
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -317,28 +324,33 @@ def _like(p: dict[str, np.ndarray], flat: np.ndarray) -> dict[str, np.ndarray]:
     return {k: x.reshape(np.shape(v)) if np.ndim(v) else x[0] for (k, v), x in zip(p.items(), parts)}
 
 
-def _round(t: pa.Table, p: dict[str, np.ndarray], made: int, epochs: range) -> pa.Table:
-    windows, labels = _cases(t, made)
-    train, y = ~_held(windows), np.array(labels, np.float32)
+def _round(t: pa.Table, p: dict[str, np.ndarray], epochs: range) -> pa.Table:
+    windows, labels = _read(t)
+    train, y = ~_held(windows), labels.astype(np.float32)
     own = _flat(_trained(p, coded(windows)[train], y[train], epochs, np.random.default_rng(epochs.start)))
     return pa.table({"place": pa.array(np.arange(len(own), dtype=np.int32)), "value": pa.array(np.rint(own * UNIT).astype(np.int64))})
 
 
-def _judged(t: pa.Table, p: dict[str, np.ndarray], made: int) -> pa.Table:
-    windows, labels = _cases(t, made)
+def _judged(t: pa.Table, p: dict[str, np.ndarray]) -> pa.Table:
+    windows, labels = _read(t)
     held = np.flatnonzero(_held(windows))
     mine = [windows[i] for i in held]
     z = np.rint(np.clip(_logits(p, coded(mine)), -30, 30) * BIN).astype(np.int64)
-    rows, n = np.unique(np.stack([np.array(labels, np.int64)[held], shapes(mine), z]), axis=1, return_counts=True)
+    rows, n = np.unique(np.stack([labels[held].astype(np.int64), shapes(mine), z]), axis=1, return_counts=True)
     return pa.table({"label": rows[0], "kind": rows[1], "z": rows[2], "n": n})
 
 
+def _dealt(df: DataFrame, shards: int) -> GroupedData:
+    """df by shard, dealt by ranges of them: by hashes some tasks would have several shards and others none, which each round would wait for."""
+    return df.repartitionByRange(shards, "shard").groupBy("shard")
+
+
 def train(docs: DataFrame, made: int = MADE) -> Model:
     """A model of all of docs(doc_id, text), and of made findings.
 
     Labelled findings are the candidates of every document, secrets where an exact pattern matches; equal ones in equal
     surroundings are one. Shards of them, each with `made` findings of each label by known formats, train in tasks, and
-    weights are averaged ROUNDS times. The line and the thresholds come from counts of all held-out logits. A table without
+    weights are averaged ROUNDS times; a shard's cases are made once and written. The line and the thresholds come from counts of all held-out logits. A table without
     candidates leaves the made findings.
     """
     arrow_batches(docs.sparkSession)
@@ -347,14 +359,16 @@ def train(docs: DataFrame, made: int = MADE) -> Model:
     shards = -(-windows.count() // SHARD)
     if not shards:
         return fit(*made_findings([], made))
-    dealt = windows.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard")
+    found = windows.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int"))
+    cases = _dealt(found, shards).applyInArrow(lambda t: _cases(t, made), "shard int, place int, window string, label int")
+    dealt = _dealt(stored(cases, "cases"), shards)
     p, each = _begun(np.random.default_rng(0)), EPOCHS // ROUNDS
     for k in range(ROUNDS):
         now, epochs = p, range(k * each, (k + 1) * each)
-        found = dealt.applyInArrow(lambda t: _round(t, now, made, epochs), "place int, value bigint")  # noqa: B023
-        mean = found.groupBy("place").agg((F.sum(F.col("value").cast("decimal(38,0)")) / F.count("*")).cast("double").alias("v"))
+        own = dealt.applyInArrow(lambda t: _round(t, now, epochs), "place int, value bigint")  # noqa: B023
+        mean = own.groupBy("place").agg((F.sum(F.col("value").cast("decimal(38,0)")) / F.count("*")).cast("double").alias("v"))
         p = _like(p, np.array([r["v"] for r in sorted(mean.collect())]) / UNIT)
-    rows = dealt.applyInArrow(lambda t: _judged(t, p, made), "label bigint, kind bigint, z bigint, n bigint").groupBy("label", "kind", "z").agg(F.sum("n").alias("n"))
+    rows = dealt.applyInArrow(lambda t: _judged(t, p), "label bigint, kind bigint, z bigint, n bigint").groupBy("label", "kind", "z").agg(F.sum("n").alias("n"))
     y, kind, z, n = np.array(sorted(rows.collect()), np.int64).reshape(-1, 4).T
     return _model(p, z / BIN, y.astype(np.float64), kind, n)
 

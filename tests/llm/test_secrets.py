@@ -6,7 +6,9 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from test_llm import odd_docs, order
 
 from boxloom.llm import secrets
@@ -155,3 +157,21 @@ def test_the_model_is_fitted_to_every_document(spark, monkeypatch):
     _, yes = model.secret(held)
     wanted = np.array(wanted) > 0
     assert yes[wanted].mean() > 0.9 and yes[~wanted].mean() < 0.1
+
+
+def test_shards_lie_in_tasks_of_their_own(spark):
+    """A round waits for the task with most shards; dealt by hashes, some would have several and others none."""
+    def where(t):
+        return pa.table({"task": pa.array([TaskContext.get().partitionId()], pa.int32())})
+
+    df = spark.range(2400).selectExpr("cast(id % 24 as int) as shard")
+    tasks = [x["task"] for x in secrets._dealt(df, 24).applyInArrow(where, "task int").collect()]
+    assert len(tasks) == 24 and len(set(tasks)) == 24
+
+
+def test_cases_are_written_once_and_read_in_their_order():
+    t = pa.table({"shard": pa.array([3, 3], pa.int32()), "window": [secrets.window(f"key {x * 20}", 4, 24) for x in "ba"], "label": pa.array([1, 0], pa.int32())})
+    cases = secrets._cases(t, 5)
+    windows, labels = secrets._read(cases.take(pa.array(range(cases.num_rows - 1, -1, -1))))
+    assert windows == cases.column("window").to_pylist() and len(windows) == 2 * 2 + 2 * 5
+    assert labels.tolist() == [0, 1, 0, 1] + [1] * 5 + [0] * 5
